@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` (which may use it many times)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from coobs.functions.binding import let
 
 
 def repeat_unit(seq: Column, times: int | Column) -> Column:
@@ -36,14 +33,18 @@ def smallest_period(seq: Column) -> Column:
     p is a period when the sequence equals itself shifted by p, which one slice
     comparison tells; only divisors of the length are compared.
     """
-    n = F.size(seq)
 
-    def is_period(p: Column) -> Column:
-        same = F.slice(seq, F.lit(1), n - p) == F.slice(seq, p + 1, n - p)
-        return (n % p == 0) & ((p == n) | same)
+    def period_of(a: Column) -> Column:
+        n = F.size(a)
+
+        def is_period(p: Column) -> Column:
+            same = F.slice(a, F.lit(1), n - p) == F.slice(a, p + 1, n - p)
+            return (n % p == 0) & ((p == n) | same)
+
+        hits = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), is_period)
+        return F.when(n > 0, F.element_at(hits, 1)).otherwise(F.lit(0))
 
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), is_period)
-    return F.when(n > 0, F.element_at(hits, 1)).otherwise(F.lit(0))
+    return let(seq, period_of)
 
 
 def unit(seq: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from coobs.functions.binding import let
+
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -40,12 +42,16 @@ def char_tokens(s: Column) -> Column:
 
 def shingles(tokens: Column, width: int) -> Column:
     """The set of ``width``-grams of a token array."""
-    n = F.size(tokens) - F.lit(width - 1)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, width), " "),
-    )
-    return F.when(n > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        n = F.size(t) - F.lit(width - 1)
+        every = F.transform(
+            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+            lambda i: F.array_join(F.slice(t, i, width), " "),
+        )
+        return F.when(n > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, grams)
 
 
 def hash_bit(token: Column, bits: int) -> Column:
