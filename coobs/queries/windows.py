@@ -1 +1,308 @@
-"""."""
+"""Folds, ranks, samples and other window-shaped computations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from coobs import ENTITY, PROPERTY, VALUE
+from coobs.operators import folds, models, relations as R
+from coobs.plans.moments import fold_moments, leave_fold_out
+from coobs.plans.ranking import hash_sample, top_k
+from coobs.queries import fixtures as fx
+from coobs.queries.registry import oracle, query, rounded, rs
+
+KEY = [ENTITY, PROPERTY]
+
+
+@query(
+    "wn_1_property_folds",
+    oracle(
+        """SELECT entity, property, CAST((row_number() OVER (PARTITION BY property
+           ORDER BY md5(entity || '|42'), entity) - 1) % 10 AS INTEGER) AS fold FROM order_meas""",
+        "order_meas",
+    ),
+)
+def wn_1(spark, sf_dir):
+    return folds.property_folds(fx.order_meas(spark, sf_dir), k=10, seed=42).select(*KEY, "fold")
+
+
+@query(
+    "wn_1_hash_folds",
+    oracle(
+        """SELECT property, fold, count(*) AS n FROM (SELECT property,
+           CAST(CAST('0x' || substr(md5(entity || '|42'), 1, 8) AS BIGINT) % 10 AS INTEGER) AS fold FROM order_meas)
+           GROUP BY property, fold""",
+        "order_meas",
+    ),
+)
+def wn_1_hash(spark, sf_dir):
+    """The shuffle-free variant: sizes are only nearly equal."""
+    rows = folds.property_folds(fx.order_meas(spark, sf_dir), k=10, seed=42, exact=False)
+    return rows.groupBy(PROPERTY, "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "wn_2_grouped_folds",
+    oracle(
+        """SELECT m.entity, m.property, f.fold FROM meas m JOIN
+           (SELECT entity, CAST((row_number() OVER (ORDER BY md5(entity || '|42'), entity) - 1) % 10 AS INTEGER) AS fold
+            FROM (SELECT DISTINCT entity FROM meas)) f ON f.entity = m.entity""",
+        "meas",
+    ),
+)
+def wn_2(spark, sf_dir):
+    return folds.grouped_folds(fx.meas(spark, sf_dir), k=10, seed=42).select(*KEY, "fold")
+
+
+@query(
+    "wn_3_grouped_property_folds",
+    oracle(
+        """SELECT r.event_id, r.property, f.fold FROM meas_rows r JOIN
+           (SELECT entity, property, CAST((row_number() OVER (PARTITION BY property ORDER BY md5(entity || '|42'), entity) - 1)
+                   % least(10, count(*) OVER (PARTITION BY property)) AS INTEGER) AS fold
+            FROM (SELECT DISTINCT entity, property FROM meas_rows)) f
+           ON f.entity = r.entity AND f.property = r.property""",
+        "meas_rows",
+    ),
+)
+def wn_3(spark, sf_dir):
+    rows = folds.grouped_property_folds(fx.meas_rows(spark, sf_dir), k=10, seed=42)
+    return rows.select("event_id", PROPERTY, "fold")
+
+
+@query(
+    "wn_4_adaptive_folds",
+    """SELECT c_mktsegment AS property, n AS n_rows, CAST(least(n, CASE WHEN n < 400 THEN 15 ELSE 10 END) AS INTEGER) AS n_folds,
+       CAST(n // least(n, CASE WHEN n < 400 THEN 15 ELSE 10 END) AS BIGINT) AS smallest
+       FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment)""",
+)
+def wn_4(spark, sf_dir):
+    rows = fx.raw_table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias(ENTITY), F.col("c_mktsegment").alias(PROPERTY)
+    )
+    per = folds.property_folds(rows, k=None, seed=42).groupBy(PROPERTY, "fold").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(PROPERTY).agg(
+        F.sum("n").alias("n_rows"),
+        F.count(F.lit(1)).cast("int").alias("n_folds"),
+        F.min("n").alias("smallest"),
+    )
+
+
+@query(
+    "wn_5_fold_audit",
+    oracle(
+        """SELECT 'per_property' AS scheme, count(*) AS n_straddling FROM
+           (SELECT entity FROM meas_folds GROUP BY entity HAVING count(DISTINCT fold) > 1)
+           UNION ALL SELECT 'grouped', 0""",
+        "meas_folds",
+    ),
+)
+def wn_5(spark, sf_dir):
+    out = None
+    for scheme, rows in (
+        ("per_property", fx.meas_folds(spark, sf_dir)),
+        ("grouped", folds.grouped_folds(fx.meas(spark, sf_dir), k=fx.FOLDS, seed=42)),
+    ):
+        one = folds.straddling(rows, [ENTITY]).agg(F.count(F.lit(1)).alias("n_straddling"))
+        one = one.select(F.lit(scheme).alias("scheme"), "n_straddling")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "wn_5_partner_availability",
+    oracle(
+        f"""SELECT 'per_property' AS scheme, property, count(*) AS n_rows, {rs('avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END)')} AS share_with_partner
+            FROM (SELECT property, count(*) OVER (PARTITION BY entity) AS n FROM meas) GROUP BY property
+            UNION ALL SELECT 'grouped', property, count(*), 0.0 FROM meas GROUP BY property""",
+        "meas",
+    ),
+)
+def wn_5_partners(spark, sf_dir):
+    a = folds.fold_partner_availability(fx.meas_folds(spark, sf_dir), "per_property")
+    g = folds.grouped_folds(fx.meas(spark, sf_dir), k=fx.FOLDS, seed=42)
+    b = folds.fold_partner_availability(g, "grouped")
+    return rounded(
+        a.withColumn("scheme", F.lit("per_property")).unionByName(b.withColumn("scheme", F.lit("grouped")))
+    )
+
+
+_FEATURES = ["n_lines", "qty"]
+
+
+def _linear_sql() -> dict[str, str]:
+    """Per property a fit on the quantity, written as contributions of two features."""
+    return {
+        "fit": """SELECT property, regr_slope(value, qty) AS a, regr_intercept(value, qty) AS b,
+                  avg(qty) AS mq, avg(n_lines) AS ml FROM order_meas GROUP BY property""",
+        "contrib": """SELECT m.entity, m.property, f.b + f.a * f.mq + 2.0 * f.ml AS base,
+                      f.b + f.a * m.qty + 2.0 * m.n_lines AS prediction,
+                      unnest([{'feature': 'qty', 'c': f.a * (m.qty - f.mq)},
+                              {'feature': 'n_lines', 'c': 2.0 * (m.n_lines - f.ml)}]) AS u
+                      FROM order_meas m JOIN fit f ON f.property = m.property""",
+        "ranked": """SELECT entity, property, base, prediction, u.feature AS feature, u.c AS contribution,
+                     row_number() OVER (PARTITION BY entity, property ORDER BY abs(u.c) DESC, u.feature) AS step FROM contrib""",
+    }
+
+
+def contributions(spark, sf_dir):
+    """Contributions of a two-feature linear predictor: fitted slope on qty, 2 per line."""
+    rows = fx.order_meas(spark, sf_dir)
+    fit = rows.groupBy(PROPERTY).agg(
+        F.regr_intercept(VALUE, "qty").alias("intercept"),
+        F.array(F.lit(2.0), F.regr_slope(VALUE, "qty")).alias("coef"),
+    )
+    return models.linear_attribution(rows, fit, _FEATURES, KEY, len(fx.AMOUNTS))
+
+
+@query(
+    "wn_6_running_explanation",
+    oracle(
+        f"""SELECT entity, property, step, CASE WHEN step > 1 THEN '(remaining)' ELSE feature END AS feature,
+            {rs('contribution')} AS contribution, {rs('base')} AS base, {rs('prediction')} AS prediction,
+            {rs('base + sum(contribution) OVER (PARTITION BY entity, property ORDER BY step)')} AS running FROM ranked""",
+        "order_meas",
+        extra=_linear_sql(),
+    ),
+)
+def wn_6(spark, sf_dir):
+    return rounded(models.running_explanation(contributions(spark, sf_dir), KEY, top=1))
+
+
+@query(
+    "wn_7_top_per_group",
+    oracle(
+        """SELECT * FROM (SELECT event_id, property, value, row_number() OVER (PARTITION BY property
+           ORDER BY value DESC, event_id) AS rank FROM meas_rows) WHERE rank <= 12""",
+        "meas_rows",
+    ),
+)
+def wn_7(spark, sf_dir):
+    rows = fx.meas_rows(spark, sf_dir).select("event_id", PROPERTY, VALUE)
+    return top_k(rows, [PROPERTY], [F.desc(VALUE), F.asc("event_id")], 12)
+
+
+@query(
+    "srt_1_seeded_sample",
+    "SELECT event_id, event_type FROM events ORDER BY md5(event_id || '|42'), event_id LIMIT 300",
+)
+def srt_1(spark, sf_dir):
+    e = fx.raw_table(spark, sf_dir, "events").select("event_id", "event_type")
+    return hash_sample(e, 300, ["event_id"], 42)
+
+
+@query(
+    "srt_2_feature_screen",
+    oracle(
+        f"""SELECT property, fold, feature, {rs('abs_corr')} AS abs_corr, rank FROM
+            (SELECT *, row_number() OVER (PARTITION BY property, fold ORDER BY round(abs_corr, 9) DESC, feature) AS rank FROM
+             (SELECT k.property, k.fold, f.feature,
+                     CASE WHEN f.feature = 'flat' THEN 0.0 ELSE abs(corr(CASE f.feature WHEN 'n_lines' THEN r.n_lines WHEN 'qty' THEN r.qty
+                       WHEN 'inverse' THEN 1 / r.n_lines ELSE r.n_lines * r.n_lines END, r.value)) END AS abs_corr
+              FROM (SELECT DISTINCT property, fold FROM order_folds) k
+              CROSS JOIN (SELECT unnest(['n_lines', 'qty', 'inverse', 'square', 'flat']) AS feature) f
+              JOIN order_folds r ON r.property = k.property AND r.fold <> k.fold GROUP BY 1, 2, 3))
+            WHERE rank <= 3""",
+        "order_folds",
+    ),
+)
+def srt_2(spark, sf_dir):
+    rows = fx.order_folds(spark, sf_dir).withColumns(
+        {
+            "inverse": 1 / F.col("n_lines"),
+            "square": F.col("n_lines") * F.col("n_lines"),
+            "flat": F.lit(1.0),
+        }
+    )
+    return rounded(R.screen_features(rows, ["n_lines", "qty", "inverse", "square", "flat"], 3))
+
+
+@query(
+    "srt_3_extreme_picks",
+    oracle(
+        f"""SELECT * FROM (SELECT property, entity AS most_extreme, {rs('value')} AS value,
+            row_number() OVER (PARTITION BY property ORDER BY abs(value) DESC, entity DESC) AS rn FROM order_meas) WHERE rn = 1""",
+        "order_meas",
+    ).replace("SELECT * FROM (SELECT property", "SELECT property, most_extreme, value FROM (SELECT property"),
+)
+def srt_3(spark, sf_dir):
+    pick = F.max_by(F.struct(ENTITY, VALUE), F.struct(F.abs(VALUE), F.col(ENTITY)))
+    best = fx.order_meas(spark, sf_dir).groupBy(PROPERTY).agg(pick.alias("_p"))
+    return rounded(best.select(PROPERTY, F.col(f"_p.{ENTITY}").alias("most_extreme"), F.col(f"_p.{VALUE}").alias(VALUE)))
+
+
+@query(
+    "prj_7_interpretable_families",
+    oracle(
+        f"""SELECT property, u.feature AS feature, {rs('avg(abs(u.c))')} AS importance FROM contrib
+            WHERE u.feature LIKE 'n!_%' ESCAPE '!' GROUP BY property, u.feature""",
+        "order_meas",
+        extra=_linear_sql(),
+    ),
+)
+def prj_7(spark, sf_dir):
+    return rounded(models.interpretable(models.mean_attribution(contributions(spark, sf_dir)), ["n_", "true_", "has_"]))
+
+
+@query(
+    "agg_12_leave_fold_out_statistics",
+    oracle(
+        f"""SELECT k.property, k.fold, count(*)::DOUBLE AS n, {rs('avg(r.qty)')} AS mean_x, {rs('avg(r.value)')} AS mean_y,
+            {rs('var_pop(r.qty)')} AS var_x, {rs('var_pop(r.value)')} AS var_y, {rs('covar_pop(r.value, r.qty)')} AS cov
+            FROM (SELECT DISTINCT property, fold FROM order_folds) k
+            JOIN order_folds r ON r.property = k.property AND r.fold <> k.fold GROUP BY 1, 2""",
+        "order_folds",
+    ),
+)
+def agg_12(spark, sf_dir):
+    rows = fx.order_folds(spark, sf_dir).select(PROPERTY, "fold", F.col("qty").alias("x"), F.col(VALUE).alias("y"))
+    rest = leave_fold_out(fold_moments(rows, [PROPERTY, "fold"], ["x", "y"]), [PROPERTY], "fold", ["x", "y"])
+    n = F.col("n")
+    return rounded(
+        rest.select(
+            PROPERTY,
+            "fold",
+            "n",
+            "mean_x",
+            "mean_y",
+            (F.col("m_x_x") / n).alias("var_x"),
+            (F.col("m_y_y") / n).alias("var_y"),
+            (F.col("m_x_y") / n).alias("cov"),
+        )
+    )
+
+
+@query(
+    "agg_16_family_attribution",
+    oracle(
+        f"""SELECT property, family, {rs('a')} AS attribution, {rs('a / sum(a) OVER (PARTITION BY property)')} AS share FROM
+            (SELECT property, split_part(u.feature, '_', 1) AS family, avg(abs(u.c)) AS a FROM contrib GROUP BY 1, 2)""",
+        "order_meas",
+        extra=_linear_sql(),
+    ),
+)
+def agg_16(spark, sf_dir):
+    return rounded(models.family_attribution(models.mean_attribution(contributions(spark, sf_dir))))
+
+
+@query(
+    "mdl_5_linear_attribution",
+    oracle(
+        f"""SELECT property, u.feature AS feature, {rs('avg(abs(u.c))')} AS importance, count(*) AS n_rows,
+            {rs('min(u.c)')} AS lowest, {rs('max(u.c)')} AS highest, 0 AS n_missed FROM contrib GROUP BY property, u.feature""",
+        "order_meas",
+        extra=_linear_sql(),
+    ).replace("0 AS n_missed", "CAST(0 AS BIGINT) AS n_missed"),
+)
+def mdl_5(spark, sf_dir):
+    c = contributions(spark, sf_dir)
+    per = c.groupBy(PROPERTY, "feature").agg(
+        F.avg(F.abs("contribution")).alias("importance"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("contribution").alias("lowest"),
+        F.max("contribution").alias("highest"),
+    )
+    missed = models.additivity(c, KEY).select(PROPERTY, "n_missed")
+    return rounded(per.join(F.broadcast(missed), PROPERTY))
+
+
