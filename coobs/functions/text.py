@@ -37,7 +37,7 @@ def word_tokens(s: Column) -> Column:
 
 def char_tokens(s: Column) -> Column:
     """One token per character."""
-    return F.when(F.length(s) > 0, F.split(s, "(?!^)")).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
 
 
 def shingles(tokens: Column, width: int) -> Column:
