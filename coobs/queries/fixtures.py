@@ -165,7 +165,7 @@ def pivot_sql(source: str, properties: list[str], prefix: str = "") -> str:
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = raw_table(spark, sf_dir, "lineitem")
-    price, d, t = F.col("l_extendedprice") / 1000.0, F.col("l_discount"), F.col("l_tax")
+    price, d, t = F.col("l_extendedprice") / 997.0, F.col("l_discount"), F.col("l_tax")
     has = lambda c: F.max(F.when(c, 1).otherwise(0))
     return (
         li.groupBy("l_orderkey")
@@ -209,9 +209,9 @@ def order_meas(spark: SparkSession, sf_dir: str) -> DataFrame:
 table(
     "order_features",
     """SELECT CAST(l_orderkey AS VARCHAR) AS entity, CAST(count(*) AS DOUBLE) AS n_lines,
-       sum(l_quantity) AS qty, sum(l_extendedprice / 1000.0) AS g,
-       sum(l_extendedprice / 1000.0 * l_discount) AS d,
-       sum(l_extendedprice / 1000.0 * (1 - l_discount) * l_tax) AS t,
+       sum(l_quantity) AS qty, sum(l_extendedprice / 997.0) AS g,
+       sum(l_extendedprice / 997.0 * l_discount) AS d,
+       sum(l_extendedprice / 997.0 * (1 - l_discount) * l_tax) AS t,
        bool_or(l_returnflag = 'A') AS fa, bool_or(l_returnflag = 'N') AS fn,
        bool_or(l_linestatus = 'F') AS ff, bool_or(l_linestatus = 'O') AS fo,
        bool_or(l_tax >= 0.04) AS ft

@@ -1 +1,49 @@
-"""."""
+"""Per-property models of the ML library and the linear ones."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from coobs import ENTITY, PROPERTY, VALUE
+from coobs.operators import models
+from coobs.queries import fixtures as fx
+from coobs.queries.registry import query, rounded
+
+KEY = [ENTITY, PROPERTY]
+FEATURES = ["n_lines", "qty"]
+
+
+@query("mdl_1_ridge_per_property")
+def mdl_1(spark, sf_dir):
+    rows = fx.order_meas(spark, sf_dir)
+    model = models.Ridge(tuple(FEATURES), max_groups=len(fx.AMOUNTS))
+    out = model.predict(model.fit(rows.where(F.col(PROPERTY) != "tax")), rows)
+    return rounded(out.select(*KEY, "pred"))
+
+
+def _split(spark, sf_dir):
+    rows = fx.order_folds(spark, sf_dir, k=fx.FOLDS)
+    # fold 3 and 4 stay away as test rows; 0..2 are the cross-fitting folds
+    return rows.where("fold < 3"), rows.where("fold >= 3")
+
+
+@query("mdl_2_boosted_trees")
+def mdl_2(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    out = models.per_property_oof(train, test, FEATURES, ["gross"], kind="gbt", folds=3, size=0.004)
+    return rounded(out)
+
+
+@query("mdl_3_randomised_forest")
+def mdl_3(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    out = models.per_property_oof(train, test, FEATURES, ["net"], kind="forest", folds=3, size=0.02)
+    return rounded(out)
+
+
+@query("mdl_4_oof_driver")
+def mdl_4(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    oof, tested = models.oof_and_test(train, test, FEATURES, max_groups=len(fx.AMOUNTS))
+    both = oof.withColumn("split", F.lit("oof")).unionByName(tested.withColumn("split", F.lit("test")))
+    return rounded(both.select(*KEY, "fold", "split", VALUE, "pred"))
