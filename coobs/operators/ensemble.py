@@ -334,7 +334,11 @@ def nested_feature(
 
 
 def pseudo_labels(
-    train: DataFrame, test_preds: DataFrame, keys: Sequence[str], max_groups: int = 1000
+    train: DataFrame,
+    test_preds: DataFrame,
+    keys: Sequence[str],
+    max_groups: int = 1000,
+    below: int | Column = PSEUDO_MAX_ROWS,
 ) -> DataFrame:
     """Mark test rows of small properties on which the models agree most.
 
@@ -346,7 +350,7 @@ def pseudo_labels(
     stats = (
         train.groupBy(PROPERTY)
         .agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(VALUE).alias("_sd"))
-        .where(F.col("_n") < PSEUDO_MAX_ROWS)
+        .where(F.col("_n") < below)
     )
     cut = exact_quantiles(agree, [PROPERTY], "spread", {"_q1": 0.25}, max_groups)
     limits = stats.join(cut, PROPERTY).select(PROPERTY, "_q1", "_sd")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Protocol
 
 import pandas as pd
@@ -17,12 +18,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from coobs import PROPERTY, VALUE
 from coobs.functions.text import family
 from coobs.operators.ensemble import FIT_SCHEMA, FULL
 from coobs.plans.joins import bounded
 from coobs.plans.ridge import Cells, moment_cells, solve, with_linear
+from coobs.session import cut_lineage
 
 RIDGE_MIN_ROWS = 5
 TIER_SMALL = 400
@@ -202,6 +205,7 @@ def per_property_oof(
     size: float = 1.0,
     key: Sequence[str] = ("entity", "property"),
     augment: DataFrame | None = None,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Fit per (property, fold); predict validation and test; average the fold models on
     test and never refit on everything.  Returns (key.., split, pred).
@@ -209,22 +213,28 @@ def per_property_oof(
     ``augment`` rows (with parent folds) join training parts only.
     """
     feats = list(features)
-    clean = rows.fillna(0.0, subset=feats)
-    clean_test = test.fillna(0.0, subset=feats)
-    parts: list[DataFrame] = []
-    for p in properties:
+    clean = cut_lineage(rows.fillna(0.0, subset=feats))
+    clean_test = cut_lineage(test.fillna(0.0, subset=feats))
+
+    def one(job: tuple[str, int]) -> DataFrame:
+        p, k = job
         mine = clean.where(F.col(PROPERTY) == p)
+        train = mine.where(F.col("fold") != k).select(*feats, VALUE)
+        if augment is not None:
+            extra = augment.where((F.col(PROPERTY) == p) & (F.col("fold") != k))
+            train = train.unionByName(extra.select(*feats, VALUE))
+        fitted = fit_one(train, feats, kind, seed, size)
         theirs = clean_test.where(F.col(PROPERTY) == p)
-        for k in range(folds):
-            train = mine.where(F.col("fold") != k)
-            if augment is not None:
-                extra = augment.where((F.col(PROPERTY) == p) & (F.col("fold") != k))
-                train = train.select(*feats, VALUE).unionByName(extra.select(*feats, VALUE))
-            fitted = fit_one(train, feats, kind, seed, size)
-            for part, split in ((mine.where(F.col("fold") == k), "oof"), (theirs, "test")):
-                parts.append(
-                    fitted.predict(part, feats).select(*key, F.lit(split).alias("split"), "pred")
-                )
+        oof = fitted.predict(mine.where(F.col("fold") == k), feats)
+        tested = fitted.predict(theirs, feats)
+        return oof.select(*key, F.lit("oof").alias("split"), "pred").unionByName(
+            tested.select(*key, F.lit("test").alias("split"), "pred")
+        )
+
+    # independent fits are submitted together, as the library's own cross-validator does
+    jobs = [(p, k) for p in properties for k in range(folds)]
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(one), jobs)
     return reduce(DataFrame.unionByName, parts).groupBy(*key, "split").agg(F.avg("pred").alias("pred"))
 
 

@@ -149,6 +149,41 @@ def crossfit_affine(
     return joined.withColumn(estimate, F.col("a") * F.col(x) + F.col("b")).drop("a", "b")
 
 
+def crossfit_many(
+    rows: DataFrame,
+    features: dict[str, str],
+    mean: str | None = None,
+    y: str = VALUE,
+    min_n: int = REFIT_MIN,
+    max_groups: int = 1000,
+) -> DataFrame:
+    """Several single-feature fits ``{output: feature}`` at once, and optionally the
+    leave-out mean: one aggregate over the rows and one join back, whatever their number.
+    """
+    cols = ["x", "y"]
+    names = sorted(set(features.values()))
+    cells = feature_moments(rows, [PROPERTY, "fold"], names, y)
+    rest = leave_fold_out(cells, [PROPERTY, "feature"], "fold", cols)
+    fits = rest.select(
+        PROPERTY, "fold", "feature", *_fit_columns(min_n), F.when(F.col("n") > 0, F.col(mean_of("y"))).alias("_m")
+    )
+    table = fits.groupBy(PROPERTY, "fold").agg(
+        *[
+            F.max(F.when(F.col("feature") == f, F.struct("a", "b"))).alias(f"_f{i}")
+            for i, f in enumerate(names)
+        ],
+        F.max("_m").alias("_m"),
+    )
+    joined = rows.join(bounded(table, max_groups * MAX_FOLDS), [PROPERTY, "fold"], "left")
+    out = {
+        o: F.col(f"_f{names.index(f)}.a") * F.col(f) + F.col(f"_f{names.index(f)}.b")
+        for o, f in features.items()
+    }
+    if mean:
+        out[mean] = F.col("_m")
+    return joined.withColumns(out).drop("_m", *[f"_f{i}" for i in range(len(names))])
+
+
 def leave_out_mean(
     rows: DataFrame, y: str = VALUE, out: str = "pred", max_groups: int = 1000
 ) -> DataFrame:

@@ -225,8 +225,9 @@ def partner_block(
 
 
 def partner_lookup(rows: DataFrame, pool: DataFrame, properties: Sequence[str]) -> DataFrame:
-    """Left lookup of partner values by entity, NULL where not measured."""
-    return rows.join(wide(pool, properties, prefix="p_"), ENTITY, "left")
+    """Left lookup of partner values by entity, NULL where not measured; entities that
+    many rows ask for are salted."""
+    return salted_join(rows, wide(pool, properties, prefix="p_"), [ENTITY])
 
 
 def partner_coverage(block: DataFrame, properties: Sequence[str]) -> DataFrame:
@@ -277,7 +278,7 @@ def coverage_gaps(
 def measured_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Left join on (entity, property): the known value of each row, if any."""
     known = labels.groupBy(*KEY).agg(F.avg(VALUE).alias("known"))
-    return rows.join(known, KEY, "left").withColumn("is_known", F.col("known").isNotNull())
+    return salted_join(rows, known, KEY).withColumn("is_known", F.col("known").isNotNull())
 
 
 def overlap_agreement(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -357,7 +358,7 @@ def override(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """
     known = labels.groupBy(*KEY).agg(F.avg(finite(F.col(VALUE))).alias("known"))
     return (
-        predictions.join(known, KEY, "left")
+        salted_join(predictions, known, KEY)
         .withColumn("model_pred", F.col("pred"))
         .withColumn("source", F.when(F.col("known").isNotNull(), "measured").otherwise("model"))
         .withColumn("pred", F.coalesce("known", "pred"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -21,8 +21,20 @@ SALTS = 64
 
 
 def bounded(table: DataFrame, rows: int) -> DataFrame:
-    """Mark a table for broadcast when its proven row bound is small enough."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+    """Broadcast a table whose row bound is small and follows from its construction
+    (properties of the closed domain x folds); a larger bound leaves the join to Spark.
+
+    The bound is checked where the table is built: one row too many stops the job
+    instead of flooding the executors.
+    """
+    if rows > BROADCAST_ROWS:
+        return table
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    fits = F.when(n <= rows, True).otherwise(
+        F.raise_error(F.concat(n.cast("string"), F.lit(f" rows in a table bounded by {rows}"))).cast("boolean")
+    )
+    checked = table.withColumn("_fits", fits).where("_fits").drop("_fits")
+    return F.broadcast(checked)
 
 
 def lookup(
@@ -37,7 +49,7 @@ def lookup(
     """Join ``rows`` with ``table`` (unique on ``on``); ``bound`` is a proven size."""
     on = list(on)
     if bound is not None and bound <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), on, how)
+        return rows.join(bounded(table, bound), on, how)
     return salted_join(rows, table, on, how=how, spread_by=spread_by)
 
 

@@ -252,10 +252,8 @@ def order_models(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
     """Three cross-fitted predictors beside each row: on the line count, the property mean
     and on the quantity."""
     rows = order_folds(spark, sf_dir, seed)
-    n = len(AMOUNTS)
-    out = R.crossfit_affine(rows, x="n_lines", estimate="lines", max_groups=n)
-    out = R.leave_out_mean(out, out="mean", max_groups=n)
-    return R.crossfit_affine(out, x="qty", estimate="qty_model", max_groups=n)
+    models = {"lines": "n_lines", "qty_model": "qty"}
+    return R.crossfit_many(rows, models, mean="mean", max_groups=len(AMOUNTS))
 
 
 def order_preds(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
