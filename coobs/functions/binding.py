@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     that means n evaluations.  A lambda variable is bound.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def explode_once(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """One row per element of a costly array expression, empty arrays dropped.
+
+    For a plain ``explode`` the optimizer infers size and null filters from the array and
+    evaluates its expression again for each; the outer form infers nothing.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

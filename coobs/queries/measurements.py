@@ -674,7 +674,7 @@ def agg_10(spark, sf_dir):
 )
 def agg_11(spark, sf_dir):
     ours, others = fx.shingle_sets(spark, sf_dir)
-    df = corpus.document_frequency(others, ours)
+    df = corpus.document_frequency(others, ours).where("df > 0")
     return df.groupBy("df").agg(
         F.count(F.lit(1)).alias("n_shingles"), F.min("shingle").alias("first"), F.max("shingle").alias("last")
     )

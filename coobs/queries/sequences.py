@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coobs import ENTITY, PROPERTY
 from coobs.functions import sequences as S, text as T
+from coobs.functions.binding import explode_once
 from coobs.functions.numeric import ratio
 from coobs.operators import corpus, folds, variants as V
 from coobs.queries import fixtures as fx
@@ -223,9 +224,8 @@ def sq_10(spark, sf_dir):
 
 def _tokens(spark, sf_dir):
     ours, others = fx.documents(spark, sf_dir)
-    every = ours.unionByName(others).select(F.explode(T.word_tokens(F.col("text"))).alias("token"))
-    required = ours.select(F.explode(T.word_tokens(F.col("text"))).alias("token"))
-    return every, required
+    words = T.word_tokens(F.col("text"))
+    return explode_once(ours.unionByName(others), [], words, "token"), explode_once(ours, [], words, "token")
 
 
 _VOCAB = {
