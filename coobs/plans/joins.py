@@ -75,6 +75,8 @@ def salted_join(
     never a random number, so a recomputed task gives the same rows again.
     """
     on = list(on)
+    if rows.isStreaming:  # a stream cannot be counted first; its table side is static
+        return rows.join(table, on, how)
     hot = hot_keys(rows, on) if hot is None else hot
     flags = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
     spread: list[Column] = [F.col(c) for c in (spread_by or rows.columns)]

@@ -15,6 +15,7 @@ from coobs.functions.text import char_tokens, compact_key, map_placeholder, word
 from coobs.operators import corpus, folds, relations as R, tables
 from coobs.plans.moments import fold_moments, intercept, slope
 from coobs.queries.registry import table
+from coobs.session import cut_lineage
 
 EVENT_TYPES = ["view", "click", "purchase", "signup", "error"]
 ARCHIVE_TYPES = ["view", "click"]
@@ -241,7 +242,8 @@ table("meas_folds", fold_sql("meas"), "meas")
 
 
 def order_folds(spark: SparkSession, sf_dir: str, seed: int = 42, k: int = FOLDS) -> DataFrame:
-    return folds.property_folds(order_meas(spark, sf_dir), k=k, seed=seed)
+    """Folds are assigned once and written: every later step reads the same table."""
+    return cut_lineage(folds.property_folds(order_meas(spark, sf_dir), k=k, seed=seed), "folds")
 
 
 def meas_folds(spark: SparkSession, sf_dir: str, seed: int = 42, k: int = FOLDS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coobs import ENTITY, PROPERTY, VALUE
-from coobs.operators import models
+from coobs.operators import models, runs
 from coobs.queries import fixtures as fx
 from coobs.queries.registry import query, rounded
 
@@ -47,3 +47,25 @@ def mdl_4(spark, sf_dir):
     oof, tested = models.oof_and_test(train, test, FEATURES, max_groups=len(fx.AMOUNTS))
     both = oof.withColumn("split", F.lit("oof")).unionByName(tested.withColumn("split", F.lit("test")))
     return rounded(both.select(*KEY, "fold", "split", VALUE, "pred"))
+
+
+@query("run_cross_validation")
+def run_cv(spark, sf_dir):
+    """Any model of the protocol, cross-validated: fold scores per property."""
+    rows = fx.order_folds(spark, sf_dir, k=3)
+    model = models.Ridge(tuple(FEATURES), max_groups=len(fx.AMOUNTS))
+    oof = runs.cross_validate(rows, model, 3, fx.AMOUNTS)
+    return rounded(runs.cv_report(oof, len(fx.AMOUNTS))[0])
+
+
+@query("run_full_ensemble")
+def run_ensemble(spark, sf_dir):
+    """From labels to a finished output table; fold 4 plays the test side."""
+    rows = fx.order_folds(spark, sf_dir)
+    train = rows.where("fold < 4")
+    test = rows.where("fold = 4").select(
+        F.xxhash64(*KEY).alias("id"), *KEY, *FEATURES
+    )
+    entities = fx.order_features(spark, sf_dir).select(ENTITY, *FEATURES)
+    run = runs.full_ensemble(train, test, entities, FEATURES, fx.CATALOGUE, fx.AMOUNTS)
+    return rounded(run.output.select(*KEY, "pred", "source"))
