@@ -8,7 +8,7 @@ from coobs import ENTITY, PROPERTY, VALUE
 from coobs.operators import ensemble as E, relations as R, score, tables
 from coobs.plans.ridge import with_linear
 from coobs.queries import fixtures as fx
-from coobs.queries.registry import oracle, query, rounded, rs
+from coobs.queries.registry import oracle, query, ridge2_fit, ridge2_gcv, ridge2_stats, rounded, rs
 
 KEY = [ENTITY, PROPERTY]
 N = len(fx.AMOUNTS)
@@ -489,3 +489,99 @@ def xf_20(spark, sf_dir):
     gate = train.groupBy(PROPERTY).count().agg(F.avg("count") + 1).scalar()
     agree = E.pseudo_labels(train, preds, KEY, len(fx.EVENT_TYPES), below=gate)
     return rounded(agree.select(*KEY, "pred", "pseudo"))
+
+
+# -- the same operators on two predictors, where SQL can solve the systems ----------
+
+
+_PAIR = ["gross", "net"]
+_P2 = {
+    "d": """SELECT m.entity, m.property, m.value, m.fold, m.lines AS pred,
+            CASE m.property WHEN 'gross' THEN coalesce(w.net, 0.0) ELSE coalesce(w.gross, 0.0) END AS x,
+            CAST(CASE m.property WHEN 'gross' THEN w.is_net ELSE w.is_gross END AS DOUBLE) AS f
+            FROM order_models m JOIN order_frame_wide w ON w.entity = m.entity WHERE m.property IN ('gross', 'net')""",
+    "st": f"""SELECT k.property, k.fold, {ridge2_stats("r.value", "r.x", "r.f")} FROM (SELECT DISTINCT property, fold FROM d) k
+              JOIN d r ON r.property = k.property AND r.fold <> k.fold GROUP BY k.property, k.fold""",
+    "fit": ridge2_gcv("st", "property, fold"),
+    "est": """SELECT d.*, t.b0 + t.b1 * d.x + t.b2 * d.f AS estimate FROM d JOIN fit t ON t.property = d.property AND t.fold = d.fold""",
+    "ws": f"""SELECT k.property, k.fold, g.w, sum((r.value - ((1 - g.w) * r.pred + g.w * r.estimate)) ^ 2) AS sse
+              FROM (SELECT DISTINCT property, fold FROM est) k JOIN est r ON r.property = k.property AND r.fold <> k.fold
+              CROSS JOIN ({GRID}) g GROUP BY ALL""",
+    "ww": "SELECT property, fold, w * 0.75 AS weight FROM ws QUALIFY row_number() OVER (PARTITION BY property, fold ORDER BY round(sse, 6), w) = 1",
+}
+
+
+@query(
+    "xf_12_partner_regression_pair",
+    oracle(
+        f"""SELECT e.entity, e.property, e.fold, {rs('estimate', 5)} AS estimate, {rs('weight')} AS weight,
+            {rs('(1 - weight) * pred + weight * estimate', 5)} AS blended FROM est e JOIN ww ON ww.property = e.property AND ww.fold = e.fold""",
+        "order_models",
+        "order_frame_wide",
+        extra=_P2,
+    ),
+)
+def xf_12_pair(spark, sf_dir):
+    """gross on net and net on gross, with their measured flags."""
+    rows, frame = _partner_rows(spark, sf_dir)
+    pair = rows.where(F.col(PROPERTY).isin(*_PAIR))
+    out = E.partner_regression(pair, frame, _PAIR, max_groups=2)
+    return rounded(out.select(*KEY, "fold", "estimate", "weight", "blended"), 5, weight=6)
+
+
+_N2 = {
+    "d": "SELECT *, CAST(floor(CAST('0x' || substr(md5(entity || '|inner-0'), 1, 8) AS BIGINT) / 4294967296.0 * 5) AS INTEGER) AS inn FROM order_folds",
+    "jobs": "SELECT DISTINCT property, j FROM d CROSS JOIN (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS j)",
+    "st": f"""SELECT k.property, k.j, {ridge2_stats("r.value", "r.n_lines", "r.qty")} FROM jobs k
+              JOIN d r ON r.property = k.property AND r.fold <> 2 AND r.inn <> k.j GROUP BY k.property, k.j""",
+    "fit": ridge2_gcv("st", "property, j"),
+}
+
+
+@query(
+    "xf_13_nested_feature_two_columns",
+    oracle(
+        f"""SELECT d.entity, d.property, d.fold, CASE WHEN d.fold = 2 THEN 'valid' ELSE 'train' END AS role,
+            {rs('t.b0 + t.b1 * d.n_lines + t.b2 * d.qty', 5)} AS ridge_feature
+            FROM d JOIN fit t ON t.property = d.property AND t.j = CASE WHEN d.fold = 2 THEN -1 ELSE d.inn END""",
+        "order_folds",
+        extra=_N2,
+    ),
+)
+def xf_13_two(spark, sf_dir):
+    rows = fx.order_folds(spark, sf_dir)
+    out = E.nested_feature(rows, ["n_lines", "qty"], outer=2, max_groups=N)
+    return rounded(out.select(*KEY, "fold", "role", "ridge_feature"), 5)
+
+
+_S2 = {
+    "d": "SELECT *, CAST(floor(CAST('0x' || substr(md5(entity || '|inner-0'), 1, 8) AS BIGINT) / 4294967296.0 * 3) AS INTEGER) AS inn FROM order_models",
+    "al": "SELECT unnest([0.001, 0.01, 0.1, 1.0, 10.0, 100.0]) AS alpha",
+    "ist": f"""SELECT k.property, k.inn, {ridge2_stats("r.value", "r.lines", "r.qty_model")} FROM (SELECT DISTINCT property, inn FROM d) k
+               JOIN d r ON r.property = k.property AND r.inn <> k.inn GROUP BY k.property, k.inn""",
+    "ifit": ridge2_fit("(SELECT * FROM ist CROSS JOIN al)", "property", "alpha", standardise=True),
+    "isc": """SELECT t.property, t.alpha, t.inn, 1 - sum((d.value - (t.b0 + t.b1 * d.lines + t.b2 * d.qty_model)) ^ 2) / (var_pop(d.value) * count(*)) AS r2
+              FROM ifit t JOIN d ON d.property = t.property AND d.inn = t.inn GROUP BY ALL""",
+    "pick": """SELECT property, alpha FROM (SELECT property, alpha, avg(r2) AS s FROM isc GROUP BY ALL)
+               QUALIFY row_number() OVER (PARTITION BY property ORDER BY s DESC, alpha) = 1""",
+    "ost": f"""SELECT k.property, k.fold, {ridge2_stats("r.value", "r.lines", "r.qty_model")} FROM (SELECT DISTINCT property, fold FROM d) k
+               JOIN d r ON r.property = k.property AND r.fold <> k.fold GROUP BY k.property, k.fold""",
+    "ofit": ridge2_fit("(SELECT ost.*, alpha FROM ost JOIN pick USING (property))", "property", "alpha", standardise=True),
+}
+
+
+@query(
+    "xf_17_standardised_stack_pair",
+    oracle(
+        f"""SELECT d.entity, d.property, d.fold, {rs('t.b0 + t.b1 * d.lines + t.b2 * d.qty_model', 4)} AS stacked
+            FROM d JOIN ofit t ON t.property = d.property AND t.fold = d.fold""",
+        "order_models",
+        extra=_S2,
+    ),
+)
+def xf_17_pair(spark, sf_dir):
+    rows = _stack_rows(spark, sf_dir)
+    pair = ["lines", "qty"]
+    fits = E.standard_stack_fits(rows, pair)
+    out = with_linear(rows, fits, [PROPERTY, "fold"], pair, "stacked", N * 65)
+    return rounded(out.select(*KEY, "fold", "stacked"), 4)

@@ -7,13 +7,27 @@ from pyspark.sql import functions as F
 from coobs import ENTITY, PROPERTY, VALUE
 from coobs.operators import models, runs
 from coobs.queries import fixtures as fx
-from coobs.queries.registry import query, rounded
+from coobs.queries.registry import oracle, query, ridge2_fit, ridge2_stats, rounded, rs
 
 KEY = [ENTITY, PROPERTY]
 FEATURES = ["n_lines", "qty"]
 
 
-@query("mdl_1_ridge_per_property")
+_ST = ridge2_stats("r.value", "r.n_lines", "r.qty")
+_PRED = "f.b0 + f.b1 * o.n_lines + f.b2 * o.qty"
+
+
+@query(
+    "mdl_1_ridge_per_property",
+    oracle(
+        f"SELECT o.entity, o.property, {rs(f'coalesce({_PRED}, 0.0)')} AS pred FROM order_meas o LEFT JOIN f ON f.property = o.property",
+        "order_meas",
+        extra={
+            "st": f"SELECT r.property, {_ST} FROM order_meas r WHERE r.property <> 'tax' GROUP BY r.property",
+            "f": ridge2_fit("st", "property", "1.0", standardise=True),
+        },
+    ),
+)
 def mdl_1(spark, sf_dir):
     rows = fx.order_meas(spark, sf_dir)
     model = models.Ridge(tuple(FEATURES), max_groups=len(fx.AMOUNTS))
@@ -41,7 +55,26 @@ def mdl_3(spark, sf_dir):
     return rounded(out)
 
 
-@query("mdl_4_oof_driver")
+def _fold_fits(rows: str) -> dict[str, str]:
+    return {
+        "st": f"""SELECT k.property, k.fold, {_ST} FROM (SELECT DISTINCT property, fold FROM {rows}) k
+                  JOIN {rows} r ON r.property = k.property AND r.fold <> k.fold GROUP BY k.property, k.fold""",
+        "f": ridge2_fit("st", "property, fold", "1.0", standardise=True),
+    }
+
+
+@query(
+    "mdl_4_oof_driver",
+    oracle(
+        f"""SELECT o.entity, o.property, o.fold, 'oof' AS split, {rs('o.value')} AS value, {rs(_PRED)} AS pred
+            FROM tr o JOIN f ON f.property = o.property AND f.fold = o.fold
+            UNION ALL SELECT o.entity, o.property, o.fold, 'test', {rs('o.value')}, {rs(_PRED)} FROM order_folds o
+            JOIN (SELECT property, avg(b0) AS b0, avg(b1) AS b1, avg(b2) AS b2 FROM f GROUP BY property) f
+            ON f.property = o.property WHERE o.fold >= 3""",
+        "order_folds",
+        extra={"tr": "SELECT * FROM order_folds WHERE fold < 3", **_fold_fits("tr")},
+    ),
+)
 def mdl_4(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     oof, tested = models.oof_and_test(train, test, FEATURES, max_groups=len(fx.AMOUNTS))
@@ -49,7 +82,16 @@ def mdl_4(spark, sf_dir):
     return rounded(both.select(*KEY, "fold", "split", VALUE, "pred"))
 
 
-@query("run_cross_validation")
+@query(
+    "run_cross_validation",
+    oracle(
+        f"""SELECT property, count(*) AS n_folds, {rs('avg(r2)')} AS mean_r2, {rs('stddev_pop(r2)')} AS std_r2 FROM
+            (SELECT o.property, o.fold, 1 - sum((o.value - ({_PRED})) ^ 2) / (var_pop(o.value) * count(*)) AS r2
+             FROM o3 o JOIN f ON f.property = o.property AND f.fold = o.fold GROUP BY o.property, o.fold) GROUP BY property""",
+        "order_meas",
+        extra={"o3": fx.fold_sql("order_meas", k=3), **_fold_fits("o3")},
+    ),
+)
 def run_cv(spark, sf_dir):
     """Any model of the protocol, cross-validated: fold scores per property."""
     rows = fx.order_folds(spark, sf_dir, k=3)

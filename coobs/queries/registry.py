@@ -64,3 +64,37 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
             c = (F.round(c.cast("double"), special.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
         cols.append(c)
     return df.select(*cols)
+
+
+def ridge2_stats(y: str, a: str, b: str) -> str:
+    """SQL aggregates of a two-predictor ridge: n, means, centred cross products."""
+    return (
+        f"count(*) AS n, avg({y}) AS my, avg({a}) AS m1, avg({b}) AS m2, var_pop({y}) * count(*) AS yy,"
+        f" var_pop({a}) * count(*) AS g11, var_pop({b}) * count(*) AS g22, covar_pop({a}, {b}) * count(*) AS g12,"
+        f" covar_pop({y}, {a}) * count(*) AS c1, covar_pop({y}, {b}) * count(*) AS c2"
+    )
+
+
+def ridge2_fit(source: str, keys: str, alpha: str, standardise: bool = False) -> str:
+    """SQL: (keys, n, stats.., b0, b1, b2) by Cramer's rule; ``alpha`` may be a column."""
+    if standardise:
+        # the penalty acts on unit-variance columns: alpha times the variance on the diagonal
+        d1, d2 = f"({alpha} * g11 / n)", f"({alpha} * g22 / n)"
+    else:
+        d1 = d2 = alpha
+    det = f"((g11 + {d1}) * (g22 + {d2}) - g12 * g12)"
+    return (
+        f"SELECT *, my - b1 * m1 - b2 * m2 AS b0 FROM (SELECT *,"
+        f" ((g22 + {d2}) * c1 - g12 * c2) / {det} AS b1, ((g11 + {d1}) * c2 - g12 * c1) / {det} AS b2 FROM {source})"
+    )
+
+
+def ridge2_gcv(source: str, keys: str) -> str:
+    """SQL: the fit per key whose penalty of 0.1, 1, 10, 100 has the least GCV score."""
+    fits = ridge2_fit(f"(SELECT * FROM {source} CROSS JOIN (SELECT unnest([0.1, 1.0, 10.0, 100.0]) AS alpha))", keys, "alpha")
+    det = "((g11 + alpha) * (g22 + alpha) - g12 * g12)"
+    score = (
+        "(yy - 2 * (b1 * c1 + b2 * c2) + b1 * b1 * g11 + 2 * b1 * b2 * g12 + b2 * b2 * g22)"
+        f" / (1 - (3 - alpha * (g11 + g22 + 2 * alpha) / {det}) / n) ^ 2"
+    )
+    return f"SELECT * FROM ({fits}) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {score}, alpha) = 1"
