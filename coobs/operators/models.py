@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from coobs import PROPERTY, VALUE
+from coobs import ENTITY, PROPERTY, VALUE
 from coobs.functions.text import family
-from coobs.operators.ensemble import FIT_SCHEMA, FULL
+from coobs.operators.ensemble import FIT_SCHEMA, FULL, STANDARD_INNER, inner_fold, standard_stack_fits
+from coobs.operators.score import r2_by
 from coobs.plans.joins import bounded
 from coobs.plans.ridge import Cells, moment_cells, solve, with_linear
 from coobs.session import cut_lineage
@@ -152,6 +153,16 @@ def make_estimator(kind: str, n_rows: int, seed: int, size: float = 1.0):
             subsamplingRate=0.8,
             seed=seed,
         )
+    if kind == "meta":  # a shallow learner on top of other predictions
+        return GBTRegressor(
+            featuresCol="features",
+            labelCol=VALUE,
+            maxIter=max(1, int(200 * size)),
+            maxDepth=3,
+            stepSize=0.05 if size >= 1 else min(0.3, 0.05 / size),
+            minInstancesPerNode=5,
+            seed=seed,
+        )
     if kind == "forest":
         trees, leaf = FOREST[t]
         return RandomForestRegressor(
@@ -238,6 +249,28 @@ def per_property_oof(
     return reduce(DataFrame.unionByName, parts).groupBy(*key, "split").agg(F.avg("pred").alias("pred"))
 
 
+def choose_meta(
+    rows: DataFrame, models: Sequence[str], properties: Sequence[str], seed: int = 0, size: float = 1.0
+) -> DataFrame:
+    """Per property the mean R2 of three inner folds for the standardised ridge and for
+    shallow boosted trees on the same predictions, and which of them is better."""
+    n = len(properties)
+    inner = cut_lineage(rows.withColumn("fold", inner_fold(STANDARD_INNER, seed)), "meta")
+    fits = standard_stack_fits(inner, models, seed)
+    ridge = with_linear(inner, fits, [PROPERTY, "fold"], models, "pred", n * 65)
+    trees = per_property_oof(
+        inner, inner.limit(0), models, properties, kind="meta", folds=STANDARD_INNER, seed=seed, size=size
+    ).where("split = 'oof'")
+    boosted = inner.join(trees.drop("split"), [ENTITY, PROPERTY])
+
+    def nested(df: DataFrame, name: str) -> DataFrame:
+        return r2_by(df, [PROPERTY, "fold"]).groupBy(PROPERTY).agg(F.avg("r2").alias(name))
+
+    return nested(ridge, "ridge_score").join(nested(boosted, "tree_score"), PROPERTY).withColumn(
+        "meta", F.when(F.col("tree_score") > F.col("ridge_score"), "trees").otherwise("ridge")
+    )
+
+
 # -- attribution -------------------------------------------------------------------
 
 

@@ -359,7 +359,8 @@ def blend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         ENTITY, PROPERTY, VALUE, "fold", "n_lines", F.col("lines").alias("pred")
     )
     frame = R.frame_wide(order_frame(spark, sf_dir), AMOUNTS)
-    return R.with_frame_estimate(rows, frame, CATALOGUE)
+    # read twice by every blend (moments, then apply), so written once
+    return cut_lineage(R.with_frame_estimate(rows, frame, CATALOGUE), "blend_rows")
 
 
 table(

@@ -111,3 +111,10 @@ def run_ensemble(spark, sf_dir):
     entities = fx.order_features(spark, sf_dir).select(ENTITY, *FEATURES)
     run = runs.full_ensemble(train, test, entities, FEATURES, fx.CATALOGUE, fx.AMOUNTS)
     return rounded(run.output.select(*KEY, "pred", "source"))
+
+
+@query("xf_17_meta_choice")
+def xf_17_meta(spark, sf_dir):
+    """Ridge against shallow trees as the stacking learner, by nested score."""
+    m = fx.order_models(spark, sf_dir).drop("qty").withColumnRenamed("qty_model", "qty")
+    return rounded(models.choose_meta(m.select(*KEY, VALUE, *fx.MODELS), fx.MODELS, fx.AMOUNTS, size=0.02), 4)
