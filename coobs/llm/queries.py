@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coobs.llm import winnowing
+from coobs.llm import differencing, digest_array, partenum, raking, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,91 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op2_differencing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near equal bytes; equal texts stay together."""
+    placed = differencing.assignments(read(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def raking_sql(rounds: int = 30) -> str:
+    """Proportional fitting as a chain of window sums, then the same probabilities and draws."""
+    steps = [
+        f"""rows AS (
+    SELECT doc_id, coalesce('=' || source, '') AS s, coalesce('=' || lang, '') AS l, n AS n_tokens,
+           CASE WHEN contains(t, 'License') THEN '=legal' WHEN contains(t, '@') THEN '=contact' WHEN n < 100 THEN '=short'
+                WHEN n >= 1000 THEN '=long' ELSE '=prose' END AS p,
+           CAST('0x' || substr(md5(concat_ws('|', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), md5(t))), 1, 13) AS BIGINT) / {float(1 << 52)!r} AS u
+    FROM (SELECT *, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS n FROM documents)
+)""",
+        "cells AS (SELECT s, l, p, sum(n_tokens) AS tokens FROM rows GROUP BY ALL)",
+    ]
+    for d in "slp":
+        steps.append(f"t_{d} AS (SELECT {d}, target / sum(target) OVER () AS t_{d} FROM (SELECT {d}, sum(tokens) ^ {raking.TEMPER} AS target FROM cells GROUP BY {d} HAVING sum(tokens) > 0))")
+    steps.append("w0 AS (SELECT s, l, p, tokens, CAST(tokens AS DOUBLE) AS w, t_s, t_l, t_p, (SELECT sum(tokens) FROM cells) AS total FROM cells JOIN t_s USING (s) JOIN t_l USING (l) JOIN t_p USING (p) WHERE tokens > 0)")
+    n = 0
+    for _ in range(rounds):
+        for d in "slp":
+            steps.append(f"w{n + 1} AS (SELECT * REPLACE (w * t_{d} * total / sum(w) OVER (PARTITION BY {d}) AS w) FROM w{n})")
+            n += 1
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, s AS source_level, l AS lang_level, p AS topic_level, n_tokens, round(coalesce(q, 1), 6) AS probability, u < coalesce(q, 1) AS kept
+FROM rows LEFT JOIN (SELECT s, l, p, (w / tokens) / max(w / tokens) OVER () AS q FROM w{n}) USING (s, l, p)
+"""
+    )
+
+
+@query("op6_raking", raking_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's calibrated probability and whether it is drawn."""
+    rows, cells = raking.calibrated(read(spark, sf_dir, "documents"))
+    q = F.col("probability")
+    return rows.join(cells, ["_source", "_lang", "_topic"]).select(
+        F.col("_id").alias("doc_id"),
+        F.col("_source").alias("source_level"),
+        F.col("_lang").alias("lang_level"),
+        F.col("_topic").alias("topic_level"),
+        F.col("_tokens").alias("n_tokens"),
+        F.round(q, 6).alias("probability"),
+        (F.col("_u") < q).alias("kept"),
+    )
+
+
+#: Host, path prefix, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+URL_SQL = """
+WITH u AS (
+    SELECT page_id,
+           translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+),
+j AS (
+    SELECT *, CASE
+        WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM u
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM j
+"""
+
+
+@query("op7_digest_array", URL_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the longest rule that fits."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return digest_array.filter_urls(read(spark, sf_dir, "pages"), rules)
+
+
+@query("op10_partenum")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets are similar to 0.75 or more."""
+    return partenum.near_duplicates(read(spark, sf_dir, "documents"))
