@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coobs.llm import differencing, digest_array, partenum, raking, winnowing
+import corpus_pipeline
+from coobs.llm import differencing, digest_array, multiprobe, partenum, raking, surrogates, templates, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +152,39 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets are similar to 0.75 or more."""
     return partenum.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op4_recurrent_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; one id in five never taught."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline`` on the whole table of documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op1_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for the personal data in them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # a fixed key, so that results can be compared; a real one is a secret of the caller
+    return surrogates.pseudonymise(docs, b"example key", count="n_replaced")
+
+
+@query("op8_templates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    texts = templates.extract_text(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op3_multiprobe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector."""
+    return multiprobe.nearest(read(spark, sf_dir, "embeddings"))

@@ -1,21 +1,51 @@
-"""A corpus pipeline of five stages over the ``documents`` table."""
+"""A corpus pipeline of five stages over the ``documents`` table.
+
+Each stage is a function of (spark, docs, sf_dir); ``run`` writes what a stage returns and reads it
+again for the next one.  All but the last return the columns they were given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coobs.llm import winnowing
+from coobs.llm import differencing, partenum, raking, toxicity, winnowing
 from coobs.llm.tables import cut_lineage
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the network does not reject."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least id."""
+    return partenum.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return winnowing.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", decontamination)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with probabilities raked to source, language and topic shares."""
+    return raking.mix_sample(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the shard each belongs to."""
+    return differencing.shard_groups(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix),
+    ("sharding", shard),
+]
 
-#: The classifier has no SQL form; the stages are tested against brute force instead.
+#: The classifier has no SQL form; each stage is tested against brute force instead.
 ORACLE_SQL = None
 
 
