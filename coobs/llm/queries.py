@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from coobs.llm import differencing, digest_array, multiprobe, partenum, raking, surrogates, templates, toxicity, winnowing
+from coobs.llm import differencing, digest_array, multiprobe, partenum, raking, suffixes, surrogates, templates, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +188,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every twentieth vector."""
     return multiprobe.nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query("op9_deep_shallow")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats for 400 bytes or more, removed from every whole text."""
+    summary, cuts = suffixes.deduplicate(read(spark, sf_dir, "documents"))
+    cuts = cuts.select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
+    none = F.lit(0).cast("bigint")
+    return summary.join(cuts, "digest", "left").select(
+        "doc_id",
+        "n_bytes",
+        F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
+        F.when(F.col("whole"), F.lit(1).cast("bigint")).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
+        F.when(F.col("whole"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", F.lower(F.hex("digest")))).alias("kept_sha256"),
+    )
