@@ -191,7 +191,7 @@ def validate_output(
     ]
     for name, c in checks.items():
         aggs.append(F.sum(F.when(c, weight.get(name, F.lit(1))).otherwise(0)).alias(f"{name}_n"))
-        aggs.append(F.min(F.when(c, F.col("id"))).cast("string").alias(f"{name}_e"))
+        aggs.append(F.min(F.when(c, F.col("id"))).alias(f"{name}_e"))
     per = joined.groupBy(PROPERTY).agg(*aggs)
 
     def row(check, prop, severity, n, example):
@@ -218,7 +218,7 @@ def validate_output(
         F.sum("_n_out").alias("_n_out"),
         F.sum("_n_test").alias("_n_test"),
         *[F.sum(f"{c}_n").alias(f"{c}_n") for c in everything],
-        *[F.min(F.col(f"{c}_e").cast("bigint")).alias(f"{c}_e") for c in everything],
+        *[F.min(f"{c}_e").alias(f"{c}_e") for c in everything],
     )
     none = F.lit(None)
     overall = [row(c, none, "fail", F.col(f"{c}_n"), F.col(f"{c}_e")) for c in everything]

@@ -414,8 +414,8 @@ def task_weights(df: DataFrame, properties: Sequence[str], alpha: float = 0.25)
     )
 
 
-def gate_small(df: DataFrame, min_rows: int, n_properties: int) -> DataFrame:
-    """Keep the rows of properties with at least ``min_rows`` rows."""
+def gate_small(df: DataFrame, min_rows: int | Column, n_properties: int) -> DataFrame:
+    """Keep the rows of properties with at least ``min_rows`` rows (a number or a scalar column)."""
     sizes = df.groupBy(PROPERTY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
     return df.join(bounded(sizes.select(PROPERTY), n_properties), PROPERTY, "left_semi")
 

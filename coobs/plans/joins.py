@@ -5,7 +5,7 @@ Two shapes, both exact:
 * the lookup table has a bound known from its construction (closed property
   domain x folds, for instance) and the bound is small: broadcast it;
 * otherwise the table grows with the data: shuffle, and spread the keys that
-  hold more than ``HOT_SHARE`` of the rows over ``SALTS`` tasks.
+  hold more rows than a task should, each over as many tasks as its rows need.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-HOT_SHARE = 0.002
+#: Rows of one key that one task may hold; no more keys than ``HOT_KEYS`` are ever split.
+TASK_ROWS = 1_000_000
+HOT_KEYS = 100_000
+#: Tasks for a key that the caller names as hot without a count.
 SALTS = 64
 
 
@@ -53,11 +56,15 @@ def lookup(
     return salted_join(rows, table, on, how=how, spread_by=spread_by)
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys holding more than ``HOT_SHARE`` of the rows: at most ``1/HOT_SHARE`` of them."""
+def hot_keys(rows: DataFrame, on: Sequence[str], task_rows: int | None = None) -> DataFrame:
+    """Keys with more rows than a task should hold, and the number of tasks to spread each over.
+
+    The threshold rises with the table, so that there are at most ``HOT_KEYS`` of them.
+    """
     freq = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_c"))
     total = freq.agg(F.sum("_c").alias("_t"))
-    return freq.where(F.col("_c") > F.lit(HOT_SHARE) * total.scalar()).select(*on)
+    limit = F.greatest(F.lit(task_rows or TASK_ROWS), (total.scalar() / HOT_KEYS).cast("bigint"))
+    return freq.where(F.col("_c") > limit).select(*on, F.ceil(F.col("_c") / limit).cast("int").alias("_salts"))
 
 
 def salted_join(
@@ -78,18 +85,10 @@ def salted_join(
     if rows.isStreaming:  # a stream cannot be counted first; its table side is static
         return rows.join(table, on, how)
     hot = hot_keys(rows, on) if hot is None else hot
-    flags = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    salts = F.col("_salts") if "_salts" in hot.columns else F.lit(SALTS)
+    flags = F.broadcast(hot.select(*on, salts.alias("_salts")))
     spread: list[Column] = [F.col(c) for c in (spread_by or rows.columns)]
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    left = rows.join(flags, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-    )
-    right = table.join(flags, on, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
-    )
-    return left.drop("_hot").join(right.drop("_hot"), on + ["_salt"], how).drop("_salt")
+    n = F.coalesce("_salts", F.lit(1))
+    left = rows.join(flags, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), n).cast("int"))
+    right = table.join(flags, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    return left.drop("_salts").join(right.drop("_salts"), on + ["_salt"], how).drop("_salt")

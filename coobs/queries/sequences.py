@@ -11,6 +11,7 @@ from coobs.functions.numeric import ratio
 from coobs.operators import corpus, folds, variants as V
 from coobs.queries import fixtures as fx
 from coobs.queries.registry import oracle, query, rounded, rs
+from coobs.session import cut_lineage
 
 SEED = 7
 MAX_LEN = 64
@@ -252,9 +253,9 @@ def sq_11(spark, sf_dir):
 def _encoded(spark, sf_dir):
     ours, others = fx.documents(spark, sf_dir)
     every, required = _tokens(spark, sf_dir)
-    vocab = corpus.vocabulary(every, required)
+    vocab = cut_lineage(corpus.vocabulary(every, required), "vocabulary")
     rows = ours.unionByName(others).select(ENTITY, T.word_tokens(F.col("text")).alias("tokens"))
-    return corpus.encode(rows, vocab, ENTITY, MAX_LEN)
+    return corpus.encode(rows, vocab, ENTITY, MAX_LEN), vocab
 
 
 _ENC = {
@@ -273,7 +274,7 @@ _ENC = {
     oracle("SELECT entity, array_to_string(ids, ' ') AS ids FROM enc", "doc_tokens", extra=_ENC),
 )
 def sq_12(spark, sf_dir):
-    return _encoded(spark, sf_dir).select(ENTITY, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return _encoded(spark, sf_dir)[0].select(ENTITY, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query(
@@ -299,7 +300,7 @@ def _u(what: str) -> str:
             array_to_string(list(new ORDER BY pos), ' ') AS ids,
             array_to_string(list(CASE WHEN chosen THEN x ELSE -100 END ORDER BY pos), ' ') AS labels FROM
             (SELECT *, CASE WHEN NOT chosen THEN x WHEN {_u('kind')} < 0.8 THEN 1
-                 WHEN {_u('kind')} < 0.9 THEN CAST(floor({_u('token')} * 495) + 5 AS INTEGER) ELSE x END AS new FROM
+                 WHEN {_u('kind')} < 0.9 THEN CAST(floor({_u('token')} * (SELECT count(*) FROM vocab)) + 5 AS INTEGER) ELSE x END AS new FROM
              (SELECT *, x NOT IN (0, 3, 4) AND {_u('pick')} < 0.15 AS chosen FROM
               (SELECT entity, unnest(ids) AS x, unnest(range(1, {MAX_LEN + 1})) AS pos FROM enc)))
             GROUP BY entity""",
@@ -308,7 +309,9 @@ def _u(what: str) -> str:
     ),
 )
 def sq_14(spark, sf_dir):
-    out = corpus.mask_tokens(_encoded(spark, sf_dir), ENTITY, vocab_size=500, seed=SEED)
+    encoded, vocab = _encoded(spark, sf_dir)
+    size = vocab.agg(F.count(F.lit(1))).scalar()
+    out = corpus.mask_tokens(encoded, ENTITY, vocab_size=size, seed=SEED)
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
     return out.select(
         ENTITY,

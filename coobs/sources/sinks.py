@@ -128,19 +128,19 @@ def run_stage(
 
 
 def run_report(sections: Mapping[str, DataFrame], max_rows: int = 1000) -> DataFrame:
-    """Small result tables as one nested JSON document (a row of text)."""
+    """Small result tables as one nested JSON document (a row of text).
+
+    A section of more than ``max_rows`` rows is no report table: it is counted first, and the
+    job stops before any of its rows are gathered.
+    """
     parts = None
     for name, df in sections.items():
-        one = df.agg(
-            F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("rows"),
-            F.count(F.lit(1)).alias("_n"),
-        ).select(F.lit(name).alias("section"), "rows", "_n")
-        checked = one.withColumn(
-            "rows",
-            F.when(F.col("_n") <= max_rows, F.col("rows")).otherwise(
-                F.raise_error(F.lit(f"section {name} is not a report table")).cast("string")
-            ),
-        ).drop("_n")
+        fits = F.when(df.agg(F.count(F.lit(1))).scalar() <= max_rows, True).otherwise(
+            F.raise_error(F.lit(f"section {name} is not a report table")).cast("boolean")
+        )
+        checked = df.where(fits).agg(
+            F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("rows")
+        ).select(F.lit(name).alias("section"), "rows")
         parts = checked if parts is None else parts.unionByName(checked)
     return parts.agg(
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "rows"))))).alias("report")

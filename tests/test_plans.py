@@ -56,8 +56,10 @@ def test_hash_sample_takes_exactly_the_smallest(spark, n):
 def test_salted_join_splits_the_hot_key_and_keeps_everything(spark):
     rows = skewed(spark)
     table = rows.select("property").distinct().withColumn("w", F.length("property"))
-    assert [r["property"] for r in joins.hot_keys(rows, ["property"]).where("property = 'hot'").collect()] == ["hot"]
-    out = joins.salted_join(rows, table, ["property"], spread_by=["id"])
+    hot = joins.hot_keys(rows, ["property"], task_rows=rows.where("property = 'hot'").count() // 3)
+    assert [(r["property"], r["_salts"]) for r in hot.collect()][0][0] == "hot"
+    assert all(r["_salts"] >= 2 for r in hot.collect())
+    out = joins.salted_join(rows, table, ["property"], spread_by=["id"], hot=hot)
     assert out.count() == rows.count()
     assert out.where(F.col("w") != F.length("property")).count() == 0
 
