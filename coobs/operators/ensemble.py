@@ -16,6 +16,7 @@ from coobs.plans.joins import bounded
 from coobs.plans.quantiles import exact_quantiles
 from coobs.plans.ranking import seeded_uniform
 from coobs.plans.ridge import Cells, gcv_alpha, inner_alpha, moment_cells, solve, with_linear
+from coobs.session import cut_lineage
 
 # They decide results.
 STACK_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
@@ -251,18 +252,41 @@ def partner_regression(
     properties: Sequence[str],
     shrink: float = SHRINK,
     max_groups: int = 1000,
+    test: DataFrame | None = None,
 ) -> DataFrame:
     """Ridge of the target on all other properties, cross-fitted, then blended into
     ``pred`` with a cross-fitted shrunk weight.  Adds ``estimate``, ``weight``, ``blended``.
+
+    A property keeps its blend only if that lowers its squared error; else ``blended`` is
+    ``pred``.  Rows of ``test`` (the same columns without ``value`` and ``fold``) follow with a
+    null value and fold: the fit on all rows, the mean fold weight, under the same gate.
     """
     sizes = rows.groupBy(PROPERTY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= PARTNER_MIN_ROWS)
     big = rows.join(bounded(sizes.select(PROPERTY), max_groups), PROPERTY, "left_semi")
     design, features = partner_design(big, frame, properties)
-    fits = ridge_fits(design, features)
+    design = cut_lineage(design, "partner_design")
+    fits = cut_lineage(ridge_fits(design, features), "partner_fits")
     est = with_linear(design, fits, [PROPERTY, "fold"], features, "estimate", max_groups * 65).drop(*features)
-    weights = plain_weights(est, shrink)
+    est = cut_lineage(est, "partner_estimates")
+    weights = cut_lineage(plain_weights(est, shrink), "partner_weights")
     joined = est.join(bounded(weights, max_groups * 64), [PROPERTY, "fold"], "left")
-    return joined.withColumn("blended", blend(F.col("pred"), F.col("estimate"), F.col("weight")))
+    mixed = F.coalesce(blend(F.col("pred"), F.col("estimate"), F.col("weight")), F.col("pred"))
+    joined = joined.withColumn("blended", mixed)
+    error = [F.sum(F.pow(F.col(VALUE) - F.col(c), 2)) for c in ("blended", "pred")]
+    gains = joined.groupBy(PROPERTY).agg((error[0] < error[1]).alias("_gain"))
+    gains = cut_lineage(gains, "partner_gains")
+    gated = F.when(F.col("_gain"), F.col("blended")).otherwise(F.col("pred"))
+    out = joined.join(bounded(gains, max_groups), PROPERTY, "left").withColumn("blended", gated).drop("_gain")
+    if test is None:
+        return out
+    known = bounded(gains, max_groups)
+    asked, _ = partner_design(test.join(known.select(PROPERTY), PROPERTY, "left_semi"), frame, properties)
+    whole = fits.where(F.col("fold") == FULL).drop("fold")
+    mean = weights.groupBy(PROPERTY).agg(F.avg("weight").alias("weight"))
+    unseen = with_linear(asked, whole, [PROPERTY], features, "estimate", max_groups).drop(*features)
+    unseen = unseen.join(bounded(mean, max_groups), PROPERTY, "left").withColumn("blended", mixed)
+    unseen = unseen.join(known, PROPERTY, "left").withColumn("blended", gated).drop("_gain")
+    return out.unionByName(unseen, allowMissingColumns=True)
 
 
 def plain_weights(rows: DataFrame, shrink: float = SHRINK, min_train: int = PARTNER_MIN_TRAIN) -> DataFrame:
@@ -314,17 +338,22 @@ def nested_feature_fits(
 
 
 def nested_feature(
-    rows: DataFrame, features: Sequence[str], outer: int, seed: int = 0, max_groups: int = 1000
+    rows: DataFrame, features: Sequence[str], outer: int | None = None, seed: int = 0, max_groups: int = 1000
 ) -> DataFrame:
-    """The partner ridge as one leak-free feature for the model of outer fold ``outer``:
-    validation rows get the fit on all training rows, training rows an inner OOF value."""
-    fits = nested_feature_fits(rows, features, seed=seed).where(F.col("fold") == outer).drop("fold")
-    valid = F.col("fold") == outer
-    keyed = rows.withColumn(
+    """The partner ridge as one leak-free feature for the model of each outer fold (or of
+    ``outer`` alone): validation rows get the fit on all training rows, training rows an
+    inner OOF value.  Each row comes once per outer fold of its property (column ``outer``)."""
+    fits = nested_feature_fits(rows, features, seed=seed).withColumnRenamed("fold", "outer")
+    if outer is not None:
+        fits = fits.where(F.col("outer") == outer)
+    fits = cut_lineage(fits, "nested_fits")
+    models = bounded(fits.select(PROPERTY, "outer").distinct(), max_groups * 64)
+    valid = F.col("fold") == F.col("outer")
+    keyed = rows.join(models, PROPERTY).withColumn(
         "inner", F.when(valid, F.lit(FULL)).otherwise(inner_fold(INNER_FOLDS, seed))
     )
     return (
-        with_linear(keyed, fits, [PROPERTY, "inner"], features, "ridge_feature", max_groups * 8)
+        with_linear(keyed, fits, [PROPERTY, "outer", "inner"], features, "ridge_feature", max_groups * 64 * 8)
         .withColumn("role", F.when(valid, "valid").otherwise("train"))
         .drop("inner")
     )

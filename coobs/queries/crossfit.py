@@ -329,12 +329,21 @@ def xf_12(spark, sf_dir):
     return rounded(out.select(*KEY, "fold", "estimate", "weight", "blended"), 4)
 
 
+@query("xf_12_partner_regression_test")
+def xf_12_test(spark, sf_dir):
+    """The test side: fold 4 is predicted by fits, weights and gates of the other folds."""
+    rows, frame = _partner_rows(spark, sf_dir)
+    test = rows.where("fold = 4").drop(VALUE, "fold")
+    out = E.partner_regression(rows.where("fold < 4"), frame, fx.AMOUNTS, max_groups=N, test=test)
+    return rounded(out.where("fold IS NULL").select(*KEY, "pred", "estimate", "weight", "blended"), 4)
+
+
 @query("xf_13_nested_ridge_feature")
 def xf_13(spark, sf_dir):
     rows, frame = _partner_rows(spark, sf_dir)
     design, features = E.partner_design(rows, frame, fx.AMOUNTS)
-    out = E.nested_feature(design, features, outer=2, max_groups=N)
-    return rounded(out.select(*KEY, "fold", "role", "ridge_feature"), 4)
+    out = E.nested_feature(design, features, max_groups=N)
+    return rounded(out.select(*KEY, "fold", "outer", "role", "ridge_feature"), 4)
 
 
 _FEATURE = {
@@ -508,6 +517,8 @@ _P2 = {
               FROM (SELECT DISTINCT property, fold FROM est) k JOIN est r ON r.property = k.property AND r.fold <> k.fold
               CROSS JOIN ({GRID}) g GROUP BY ALL""",
     "ww": "SELECT property, fold, w * 0.75 AS weight FROM ws QUALIFY row_number() OVER (PARTITION BY property, fold ORDER BY round(sse, 6), w) = 1",
+    "gg": """SELECT e.property, sum((value - ((1 - weight) * pred + weight * estimate)) ^ 2) < sum((value - pred) ^ 2) AS gain
+             FROM est e JOIN ww ON ww.property = e.property AND ww.fold = e.fold GROUP BY e.property""",
 }
 
 
@@ -515,7 +526,8 @@ _P2 = {
     "xf_12_partner_regression_pair",
     oracle(
         f"""SELECT e.entity, e.property, e.fold, {rs('estimate', 5)} AS estimate, {rs('weight')} AS weight,
-            {rs('(1 - weight) * pred + weight * estimate', 5)} AS blended FROM est e JOIN ww ON ww.property = e.property AND ww.fold = e.fold""",
+            {rs('CASE WHEN gain THEN (1 - weight) * pred + weight * estimate ELSE pred END', 5)} AS blended
+            FROM est e JOIN ww ON ww.property = e.property AND ww.fold = e.fold JOIN gg ON gg.property = e.property""",
         "order_models",
         "order_frame_wide",
         extra=_P2,
@@ -531,27 +543,35 @@ def xf_12_pair(spark, sf_dir):
 
 _N2 = {
     "d": "SELECT *, CAST(floor(CAST('0x' || substr(md5(entity || '|inner-0'), 1, 8) AS BIGINT) / 4294967296.0 * 5) AS INTEGER) AS inn FROM order_folds",
-    "jobs": "SELECT DISTINCT property, j FROM d CROSS JOIN (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS j)",
-    "st": f"""SELECT k.property, k.j, {ridge2_stats("r.value", "r.n_lines", "r.qty")} FROM jobs k
-              JOIN d r ON r.property = k.property AND r.fold <> 2 AND r.inn <> k.j GROUP BY k.property, k.j""",
-    "fit": ridge2_gcv("st", "property, j"),
+    # sums per (property, fold, inner fold) once; a fit pools the cells it may see
+    "cells": f"SELECT property, fold, inn, {ridge2_stats('value', 'n_lines', 'qty')} FROM d GROUP BY ALL",
+    "jobs": "SELECT DISTINCT property, fold AS o, j FROM cells CROSS JOIN (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS j)",
+    "st": "SELECT k.property, k.o, k.j, sum(n) AS n, "
+    + ", ".join(f"sum(n * {m}) / sum(n) AS {m}" for m in ("my", "m1", "m2"))
+    + ", "
+    + ", ".join(
+        f"sum({c} + n * {a} * {b}) - sum(n * {a}) * sum(n * {b}) / sum(n) AS {c}"
+        for c, a, b in (("yy", "my", "my"), ("g11", "m1", "m1"), ("g22", "m2", "m2"), ("g12", "m1", "m2"), ("c1", "my", "m1"), ("c2", "my", "m2"))
+    )
+    + " FROM jobs k JOIN cells c ON c.property = k.property AND c.fold <> k.o AND c.inn <> k.j GROUP BY k.property, k.o, k.j",
+    "fit": ridge2_gcv("st", "property, o, j"),
 }
 
 
 @query(
     "xf_13_nested_feature_two_columns",
     oracle(
-        f"""SELECT d.entity, d.property, d.fold, CASE WHEN d.fold = 2 THEN 'valid' ELSE 'train' END AS role,
+        f"""SELECT d.entity, d.property, d.fold, t.o AS outer, CASE WHEN d.fold = t.o THEN 'valid' ELSE 'train' END AS role,
             {rs('t.b0 + t.b1 * d.n_lines + t.b2 * d.qty', 5)} AS ridge_feature
-            FROM d JOIN fit t ON t.property = d.property AND t.j = CASE WHEN d.fold = 2 THEN -1 ELSE d.inn END""",
+            FROM d JOIN fit t ON t.property = d.property AND t.j = CASE WHEN d.fold = t.o THEN -1 ELSE d.inn END""",
         "order_folds",
         extra=_N2,
     ),
 )
 def xf_13_two(spark, sf_dir):
     rows = fx.order_folds(spark, sf_dir)
-    out = E.nested_feature(rows, ["n_lines", "qty"], outer=2, max_groups=N)
-    return rounded(out.select(*KEY, "fold", "role", "ridge_feature"), 5)
+    out = E.nested_feature(rows, ["n_lines", "qty"], max_groups=N)
+    return rounded(out.select(*KEY, "fold", "outer", "role", "ridge_feature"), 5)
 
 
 _S2 = {
