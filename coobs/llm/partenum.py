@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coobs.llm.components import components
-from coobs.llm.tables import BITS, cut_lineage, filter_bits
+from coobs.llm.tables import BITS, cut_lineage, digest, filter_bits
 from coobs.llm.words import Hasher, in_one_row, mix, ngrams, space_table, text_blocks
 
 SHINGLE = 5
@@ -136,62 +136,162 @@ def signatures(row: np.ndarray, grams: np.ndarray, sizes: np.ndarray, levels: np
     return np.concatenate(out_rows), np.concatenate(out)
 
 
-def emit(batches: Iterator[pa.RecordBatch], table: np.ndarray, levels: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per batch: its rows' ids with set size and key, and packed signatures per bucket."""
+def describe(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Id, set size, key and histogram of each row; no key for the empty set.
+
+    The histogram counts shingles by leading hash bits in one to two bins a shingle, two bins to a
+    byte; it is empty (no bound) if a count is over 15.
+    """
     hasher = Hasher(table)
     for batch in batches:
-        sizes, keys, rows, sigs = [], [], [], []
-        seen: set[int] = set()
+        size, key, hist = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
         for lo, hi, data, offsets in text_blocks(batch.column("_text")):
             row, grams = shingle_sets(hasher, data, offsets)
             n, k = set_keys(row, grams, hi - lo)
-            fresh = np.zeros(hi - lo, bool)
-            for i, key in enumerate(k.tolist()):  # equal sets of a batch sign once
-                if key and key not in seen:
-                    seen.add(key)
-                    fresh[i] = True
-            pick = fresh[row]
-            r, s = signatures(row[pick], grams[pick], np.where(fresh, n, 0), levels)
-            sizes.append(n)
-            keys.append(k)
-            rows.append(k[r])
-            sigs.append(s)
-        n_rows = batch.num_rows
-        size, key = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((sizes, np.int64), (keys, np.uint64)))
-        null = pa.nulls
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), pa.array(size, pa.int64()), pa.array(key.view(np.int64), pa.int64(), mask=size == 0), null(n_rows, pa.int32()), null(n_rows, pa.binary()), null(n_rows, pa.binary()), null(n_rows, pa.binary())],
-            names=["_id", "n", "key", "bucket", "sigs", "owners", "counts"],
-        )
-        if not sigs:
-            continue
+            size.append(n)
+            key.append(k)
+            bits = np.maximum(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 1)
+            base = np.cumsum(1 << bits) - (1 << bits)
+            lead = mix(grams ^ np.uint64(0x5151515151)) >> np.uint64(1)
+            bins = np.bincount(base[row] + (lead >> (63 - bits[row]).astype(np.uint64)).astype(np.int64), minlength=int((1 << bits).sum()))
+            hist += [b"" if h.max() > 15 else (h[::2] | h[1::2] << 4).astype(np.uint8).tobytes() for h in np.split(bins, base[1:])]
+        size, key = np.concatenate(size), np.concatenate(key)
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_digest"), pa.array(size, pa.int64()), pa.array(key.view(np.int64), pa.int64(), mask=size == 0), pa.array(hist, pa.binary())], names=["_id", "_digest", "n", "key", "hist"])
+
+
+def unpacked(hist: bytes) -> np.ndarray:
+    x = np.frombuffer(hist, np.uint8)
+    return np.stack([x & 15, x >> 4], axis=1).ravel().astype(np.int32)
+
+
+def room(x: bytes, y: bytes, n: int, m: int) -> int:
+    """Upper bound of the shared shingles: they share a bin."""
+    if not x or not y:
+        return min(n, m)
+    p, q = unpacked(x), unpacked(y)
+    w = min(len(p), len(q))
+    return int(np.minimum(p.reshape(w, -1).sum(axis=1), q.reshape(w, -1).sum(axis=1)).sum())
+
+
+def may_reach(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose histograms leave room for the similarity."""
+    for batch in batches:
+        keep = []
+        for i, (x, y, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ha", "hb", "na", "nb")))):
+            both = room(x, y, n, m)
+            if den * both >= num * (n + m - both):
+                keep.append(i)
+        keep = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+
+def cross_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group from different components whose sizes and histograms leave room for a link.
+
+    Rows come sorted by group; a set is compared with the larger ones of its size band at once.
+    """
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        rows.sort(key=lambda r: (r[3], r[1]))
+        key, comp, size = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+        unbounded = np.array([not r[4] for r in rows])
+        folded: dict[int, np.ndarray] = {}
+        for i, (_, _, c, n, hist) in enumerate(rows):
+            j = int(np.searchsorted(size, n * den // num, "right"))
+            if j <= i + 1:
+                continue
+            other = comp[i + 1 : j] != c
+            if not other.any():
+                continue
+            if hist:
+                w = 2 * len(hist)
+                if w not in folded:  # bins of larger sets merge in pairs
+                    folded[w] = np.stack([unpacked(r[4]).reshape(w, -1).sum(axis=1, dtype=np.int16) if 2 * len(r[4]) >= w else np.zeros(w, np.int16) for r in rows])
+                both = np.minimum(folded[w][i + 1 : j], folded[w][i]).sum(axis=1)
+                both = np.where(unbounded[i + 1 : j], n, both)
+            else:
+                both = np.full(j - i - 1, n)
+            for k in np.flatnonzero(other & (den * both >= num * (n + size[i + 1 : j] - both))).tolist():
+                a, b = int(key[i]), int(key[i + 1 + k])
+                yield (a, b) if a < b else (b, a)
+
+    grp, rows, out = None, [], set()
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "key", "comp", "n", "hist"))):
+            if row[0] != grp:
+                out.update(pairs(rows))
+                grp, rows = row[0], []
+                if len(out) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                    out = set()
+            rows.append(row)
+    out.update(pairs(rows))
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def emit(batches: Iterator[pa.RecordBatch], table: np.ndarray, levels: np.ndarray, labels: list[int]) -> Iterator[pa.RecordBatch]:
+    """Packed signatures of a batch per bucket: six bytes of each, grouped by set."""
+    hasher, buckets = Hasher(table), len(labels)
+
+    def pack(rows: list[np.ndarray], sigs: list[np.ndarray]) -> pa.RecordBatch:
         owner, sig = np.concatenate(rows), np.concatenate(sigs)
         bucket = (sig % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((owner, bucket))
-        owner, sig, bucket = owner[order], sig[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        owner, sig = owner[order], sig[order]
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         packed = {"bucket": [], "sigs": [], "owners": [], "counts": []}
         for i in range(buckets):
             a, z = cut[i], cut[i + 1]
             if a < z:
                 who, many = np.unique(owner[a:z], return_counts=True)
-                packed["bucket"].append(i)
-                packed["sigs"].append(sig[a:z].tobytes())
+                packed["bucket"].append(labels[i])
+                packed["sigs"].append(six_bytes(sig[a:z] // np.uint64(buckets)))
                 packed["owners"].append(who.tobytes())
                 packed["counts"].append(many.astype(np.uint32).tobytes())
-        m = len(packed["bucket"])
-        yield pa.RecordBatch.from_arrays(
-            [null(m, batch.schema.field("_id").type), null(m, pa.int64()), null(m, pa.int64()), pa.array(packed["bucket"], pa.int32()), *[pa.array(packed[c], pa.binary()) for c in ("sigs", "owners", "counts")]],
-            names=["_id", "n", "key", "bucket", "sigs", "owners", "counts"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array(packed["bucket"], pa.int32()), *[pa.array(packed[c], pa.binary()) for c in ("sigs", "owners", "counts")]], names=list(packed))
+
+    for batch in batches:
+        rows, sigs, held = [], [], 0
+        seen: set[int] = set()
+        for lo, hi, data, offsets in text_blocks(batch.column("_text")):
+            row, grams = shingle_sets(hasher, data, offsets)
+            n, k = set_keys(row, grams, hi - lo)
+            fresh = np.zeros(hi - lo, bool)
+            for i, key in enumerate(k.tolist()):  # equal sets of a batch sign once
+                if key and key not in seen:
+                    seen.add(key)
+                    fresh[i] = True
+            pick = fresh[row]
+            r, s = signatures(row[pick], grams[pick], np.where(fresh, n, 0), levels)
+            rows.append(k[r])
+            sigs.append(s)
+            held += len(s)
+            if held > 500_000:
+                yield pack(rows, sigs)
+                rows, sigs, held = [], [], 0
+        if held:
+            yield pack(rows, sigs)
+
+
+def six_bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six(blob) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets that share a signature, once per group of sets; keys ascend."""
+    """Sets that share a signature, once per group of sets; keys ascend.
+
+    A chance agreement of six bytes in one bucket only adds a candidate.
+    """
     sigs, owners = [], []
     for batch in batches:
         for s, o, c in zip(batch.column("sigs"), batch.column("owners"), batch.column("counts")):
-            sigs.append(np.frombuffer(s.as_py(), np.uint64))
+            sigs.append(from_six(s.as_py()))
             owners.append(np.repeat(np.frombuffer(o.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32)))
     if not sigs:
         return
@@ -223,7 +323,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], table: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the rows whose key is in the filter."""
+    """Whole sets, six bytes a shingle, of the rows whose key is in the filter."""
     hasher = Hasher(table)
     for batch in batches:
         out: dict[int, list[int]] = {}
@@ -234,7 +334,7 @@ def sets_of(batches: Iterator[pa.RecordBatch], table: np.ndarray, bits: np.ndarr
             hit = (keys > 0) & ((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0)
             first = np.searchsorted(row, np.arange(hi - lo + 1))
             for i in np.flatnonzero(hit).tolist():
-                out.setdefault(int(keys[i : i + 1].view(np.int64)[0]), grams[first[i] : first[i + 1]].tobytes())
+                out.setdefault(int(keys[i : i + 1].view(np.int64)[0]), six_bytes(np.sort(grams[first[i] : first[i + 1]] & np.uint64((1 << 48) - 1))))
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["key", "shingles"])
 
 
@@ -243,7 +343,7 @@ def compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
     for batch in batches:
         keep = []
         for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            p, q = from_six(x.as_buffer()), from_six(y.as_buffer())
             joined = np.sort(np.concatenate([p, q]), kind="stable")
             both = int((joined[1:] == joined[:-1]).sum())
             if den * both >= num * (len(p) + len(q) - both):
@@ -256,11 +356,11 @@ def similar(pairs: DataFrame, texts: DataFrame, table: np.ndarray) -> DataFrame:
     """The pairs (``a``, ``b``) of set keys whose whole sets have similarity 3/4 or more."""
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     bits = texts.sparkSession.sparkContext.broadcast(filter_bits(keys, "key", BITS))
-    sets = texts.mapInArrow(lambda it: sets_of(it, table, bits.value), "key bigint, shingles binary")
-    sets = cut_lineage(sets.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "partenum_sets")
-    x = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return cut_lineage(pairs.join(x, "a").join(y, "b").mapInArrow(lambda it: compare(it, 75, 100), "a bigint, b bigint"), "partenum_links")
+    sets = texts.mapInArrow(lambda it: sets_of(it, table, bits.value), "key bigint, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    # sets are dealt by key once; a pair then carries one set to the other
+    y = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    x = pairs.select("a").distinct().join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+    return cut_lineage(y.join(x, "a").mapInArrow(lambda it: compare(it, 75, 100), "a bigint, b bigint"), "partenum_links")
 
 
 def candidates(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -272,52 +372,89 @@ def candidates(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Data
     for r in parts.collect():  # a table of fixed size
         counts[r["segment"]] = np.frombuffer(r["counts"], np.int64)
     counts, total = counts.reshape(-1), int(counts.sum())
-    often = counts / (4 * total / SLOTS + 8)
+    mean = total / SLOTS
+    often = (counts - mean) / (4 * mean**0.5 + 4)  # how far beyond chance
     levels = spark.sparkContext.broadcast(np.clip(np.floor(np.log2(np.maximum(often, 1))), 0, 31).astype(np.uint8))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2 // PER_TASK)
-    given = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    given = docs.select(F.col(f"`{doc_id}`").alias("_id"), digest(text).alias("_digest"), F.col(f"`{text}`").alias("_text"))
     kind = given.schema["_id"].dataType.simpleString()
-    shape = f"_id {kind}, n bigint, key bigint, bucket int, sigs binary, owners binary, counts binary"
-    emitted = cut_lineage(given.mapInArrow(lambda it: emit(it, table, levels.value, 4 * tasks), shape), "partenum_signatures")
-    rows = emitted.where("bucket IS NULL").select("_id", "n", "key")
-    packed = emitted.where("bucket IS NOT NULL").select("bucket", "sigs", "owners", "counts").repartition(tasks, "bucket").drop("bucket")
+    rows = cut_lineage(given.mapInArrow(lambda it: describe(it, table), f"_id {kind}, _digest binary, n bigint, key bigint, hist binary"), "partenum_rows")
+    # one bucket per task: numbers that Spark's hash deals to different tasks
+    dealt = spark.range(40 * tasks).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(tasks))).agg(F.min("label").alias("label"))
+    labels = sorted(r["label"] for r in dealt.collect())
+    packed = texts.mapInArrow(lambda it: emit(it, table, levels.value, labels), "bucket int, sigs binary, owners binary, counts binary").repartition(tasks, "bucket").drop("bucket")
     groups = packed.mapInArrow(meet, "grp bigint, members array<bigint>").groupBy("grp").agg(F.first("members").alias("members"))
     return rows, cut_lineage(groups, "partenum_groups"), table
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (least id reachable over links) per row of ``docs``.
-
-    Two rows link when the Jaccard similarity of their sets of five-word shingles is 0.75 or more.
-    Null, empty and blank texts have no set and link with nothing; repeated rows and equal sets
-    are one node; a null id is kept and never the least unless all of its component are null;
-    other columns are not read.  All links between different sets are found, but links are only
-    compared until their component is known.
-    """
+def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Per row its id, digest, set size and component (a set key; null for the empty set)."""
     rows, groups, table = candidates(docs, doc_id, text)
     texts = docs.select(F.col(f"`{text}`").alias("_text"))
-    sizes = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"))
+    sizes = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("hist").alias("hist"))
+    sizes = cut_lineage(sizes.join(groups.select(F.explode("members").alias("key")).distinct(), "key", "left_semi"), "partenum_sizes")
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        """Sizes within 3 to 4 of each other."""
-        a, b = sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), sizes.select(F.col("key").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(a, "a").join(b, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
-
-    star = groups.select(F.col("members")[0].alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
-    star = cut_lineage(fitting(star), "partenum_star")
+        """Pairs whose sizes and histograms leave room for a link."""
+        a, b = (sizes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("hist").alias(f"h{c}")) for c in "ab")
+        near = pairs.join(a, "a").join(b, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+        return near.mapInArrow(lambda it: may_reach(it, 75, 100), "a bigint, b bigint")
+
+    # the centre of a group is its member that meets most others: an original more than its copies
+    met = groups.select("grp", F.size("members").alias("m"), F.explode("members").alias("key"))
+    met = met.join(met.groupBy("key").agg(F.sum("m").alias("meets")), "key")
+    centre = met.groupBy("grp").agg(F.max(F.struct("meets", "key")).alias("c")).select("grp", F.col("c.key").alias("centre"))
+    star = groups.join(centre, "grp").select(F.explode("members").alias("key"), "centre").where("key <> centre")
+    star = cut_lineage(fitting(star.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()), "partenum_star")
     links = similar(star, texts, table)
     comp = cut_lineage(components(links), "partenum_comp")
-    # groups that the stars did not join: every pair of members from different components, once
+    # groups that the stars did not join: members of different components, once
     member = groups.select("grp", F.explode("members").alias("key")).join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     split = member.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
-    apart = cut_lineage(member.join(split, "grp"), "partenum_apart")
-    left, right = apart.select("grp", F.col("key").alias("a"), F.col("comp").alias("ca")), apart.select("grp", F.col("key").alias("b"), F.col("comp").alias("cb"))
-    rest = left.join(right, "grp").where("a < b AND ca <> cb").select("a", "b").distinct()
-    rest = cut_lineage(fitting(rest).join(star, ["a", "b"], "left_anti"), "partenum_rest")
+    apart = member.join(split, "grp").join(sizes, "key").select("grp", "key", "comp", "n", "hist")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = apart.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(lambda it: cross_pairs(it, 75, 100), "a bigint, b bigint").distinct()
+    rest = cut_lineage(rest.join(star, ["a", "b"], "left_anti"), "partenum_rest")
     if not rest.isEmpty():
         links = links.union(similar(rest, texts, table))
         comp = cut_lineage(components(links), "partenum_comp")
     joined = rows.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    joined = cut_lineage(joined.select("_id", "n", "comp"), "partenum_rows")
-    least = joined.where("comp IS NOT NULL").groupBy("comp").agg(F.min("_id").alias("least"))
-    return joined.join(least, "comp", "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "_id").alias("component_id"))
+    return cut_lineage(joined.select("_id", "_digest", "n", "comp"), "partenum_components")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` (least id reachable over links) per row of ``docs``.
+
+    Two rows link when the Jaccard similarity of their sets of five-word shingles is 0.75 or more.
+    Null, empty and blank texts have no set and link with nothing; repeated rows and equal sets
+    are one node; a null id is kept and never the least unless all of its component are null;
+    other columns are not read.  All links between different sets are found, but links are only
+    compared until their component is known.
+    """
+    rows = grouped(docs, doc_id, text)
+    least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("_id").alias("least"))
+    return rows.join(least, "comp", "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near copies: of each component the row with the least id stays.
+
+    Rows without a set all stay.  Of several rows with the least id the one with the least digest
+    of its text stays, and of repeated rows one.  A null id is greater than any other.
+    """
+    rows = grouped(docs, doc_id, text).where("comp IS NOT NULL")
+    name = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id"), F.col("_digest"))
+    first = rows.groupBy("comp").agg(F.min(name).alias("first"))
+    drop = rows.join(first, "comp").where(name != F.col("first")).select("_id", "_digest").distinct()
+    twice = rows.groupBy("_id", "_digest").count().where("count > 1").select("_id", "_digest")
+    drop, twice = cut_lineage(drop, "partenum_drop"), cut_lineage(twice, "partenum_twice")
+
+    def matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        r = right.select(F.col("_id").alias("_rid"), F.col("_digest").alias("_rdigest"))
+        return left.join(r, (F.col("_digest") == F.col("_rdigest")) & F.col("_id").eqNullSafe(F.col("_rid")), how)
+
+    kept = matched(docs.withColumns({"_id": F.col(f"`{doc_id}`"), "_digest": digest(text)}), drop, "left_anti")
+    if not twice.isEmpty():
+        again = matched(kept, twice, "left_semi").dropDuplicates(["_id", "_digest"])
+        kept = matched(kept, twice, "left_anti").union(again)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
