@@ -26,7 +26,7 @@ HIDDEN = 8
 DIM = 8
 WORD_SLOTS, GRAM_SLOTS = 1 << 17, 1 << 17
 #: Bounds of the training sample: rows per class, and bytes of a text that may teach.
-TOXIC_ROWS, CLEAN_ROWS, TEACH_BYTES = 1500, 4500, 1 << 18
+TOXIC_ROWS, CLEAN_ROWS, TEACH_BYTES = 1000, 3000, 1 << 14
 EPOCHS, STEPS = 8, 400
 #: Windows per training text that epochs choose from: by prior, and at random.
 BY_PRIOR, AT_RANDOM = 6, 6
@@ -88,11 +88,13 @@ def new_model(seed: int = 7) -> dict[str, np.ndarray]:
 def inputs(p: dict, slots: np.ndarray, grams: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
     """Input vector of each distinct word, and a last one of zeros for padding."""
     x = np.zeros((len(slots) + 1, 2 * DIM), np.float32)
-    if len(slots):
-        x[:-1, :DIM] = p["word"][slots]
-        for ids, n in zip(grams, counts):
-            x[:-1, DIM:] += np.add.reduceat(p["gram"][ids], np.cumsum(n) - n, axis=0)
-        x[:-1, DIM:] *= np.float32(0.4)
+    x[:-1, :DIM] = p["word"][slots]
+    for ids, n in zip(grams, counts):
+        at = np.append(0, np.cumsum(n))
+        for lo in range(0, len(slots), CHUNK):
+            hi = min(lo + CHUNK, len(slots))
+            x[lo:hi, DIM:] += np.add.reduceat(p["gram"][ids[at[lo] : at[hi]]], at[lo:hi] - at[lo], axis=0)
+    x[:-1, DIM:] *= np.float32(0.4)
     return x
 
 
@@ -195,18 +197,23 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     first, word, slots, grams, counts = Words(*tables()).of(data, offsets)
     pad = len(word)
     at, row, head = windows(first, pad)
-    at = np.append(word, len(slots))[at]
+    at = np.append(word, len(slots)).astype(np.int32)[at]
     # all grams of a word, in one run per word
-    owner = np.concatenate([np.repeat(np.arange(len(n)), n) for n in counts])
-    order = np.argsort(owner, kind="stable")
-    gram, many = np.concatenate(grams)[order], counts[0] + counts[1]
+    owner = np.concatenate([np.repeat(np.arange(len(n), dtype=np.int32), n) for n in counts])
+    gram, many = np.concatenate(grams).astype(np.int32)[np.argsort(owner, kind="stable")], counts[0] + counts[1]
     gram_at = np.cumsum(many) - many
+    del owner, grams, counts
 
     # log-odds of grams by text: where to look first
-    doc = np.repeat(np.repeat(np.arange(len(y)), np.diff(first)), many[word])
-    pairs = np.unique(doc * GRAM_SLOTS + gram[ranges(gram_at[word], many[word])])
-    pos = np.bincount(pairs % GRAM_SLOTS, weights=y[pairs // GRAM_SLOTS], minlength=GRAM_SLOTS)
-    neg = np.bincount(pairs % GRAM_SLOTS, minlength=GRAM_SLOTS) - pos
+    pos, neg = np.zeros(GRAM_SLOTS), np.zeros(GRAM_SLOTS)
+    for lo in range(0, len(y), 64):  # few texts at a time: all their grams at once are many
+        hi = min(lo + 64, len(y))
+        here = word[first[lo] : first[hi]]
+        doc = np.repeat(np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1])), many[here])
+        pairs = np.unique(doc * GRAM_SLOTS + gram[ranges(gram_at[here], many[here])])
+        toxic = y[lo + pairs // GRAM_SLOTS] > 0
+        pos += np.bincount(pairs[toxic] % GRAM_SLOTS, minlength=GRAM_SLOTS)
+        neg += np.bincount(pairs[~toxic] % GRAM_SLOTS, minlength=GRAM_SLOTS)
     odds = np.log((pos + 0.1) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
     best = np.append(np.maximum.reduceat(odds[gram], gram_at), -99) if len(many) else np.array([-99.0])
     prior = best[at].max(axis=1)
@@ -227,7 +234,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     span = np.searchsorted(row, np.arange(len(y) + 1))
 
     def logits(at: np.ndarray) -> np.ndarray:
-        x = inputs(p, slots, grams, counts)
+        x = inputs(p, slots, [gram], [many])
         return np.concatenate([forward(p, x, at[i : i + CHUNK]) for i in range(0, len(at), CHUNK)])
 
     epoch = 0
