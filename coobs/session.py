@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,8 +31,8 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster the
-    executors that read a checkpoint need not be the ones that wrote it.
+    Only a local master may fall back to a temporary folder, which is removed at the end: on a
+    cluster the executors that read a checkpoint need not be the ones that wrote it.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -38,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # our own, so ours to remove
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
