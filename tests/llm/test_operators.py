@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +309,19 @@ def test_multiprobe(spark):
     assert multiprobe.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_multiprobe_ties_of_different_vectors():
+    n, dim, k = 300, 301, 21
+    vectors = np.hstack([np.ones((n, 1)), np.eye(n)])[np.random.default_rng(1).permutation(n)]
+    ids = np.random.default_rng(2).permutation(n) + 1000
+    query = np.zeros((1, dim))
+    query[0, 0] = 0.1
+    cells = [pa.array([0] * n + [0], kind) for kind in (pa.int32(), pa.int64(), pa.int32())]
+    raw = [x.tobytes() for x in np.concatenate([vectors, query])]
+    batch = pa.RecordBatch.from_arrays([*cells, pa.array([0] * n + [1], pa.int32()), pa.array([*ids.tolist(), 7], pa.int64()), pa.array(raw, pa.binary())], names=["t", "bucket", "blk", "kind", "id", "raw"])
+    got = [r for b in multiprobe.rerank(iter([batch]), dim, k) for r in b.to_pylist()]
+    assert [r["q"] for r in got] == [7] and [x["id"] for x in got[0]["near"]] == list(range(1000, 1000 + k))
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["grobel", "snirk"]
