@@ -309,6 +309,33 @@ def test_multiprobe(spark):
     assert multiprobe.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("case", ["few", "one long", "lognormal", "apart"])
+def test_multiprobe_is_filled(spark, case, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(15 if case == "few" else 1500, 24))
+    if case == "one long":
+        v[7] *= 50
+    elif case == "lognormal":
+        v *= rng.lognormal(0, 1, size=(1500, 1))
+    elif case == "apart":  # a query far from a crowd that is more than a block
+        v = 0.05 * v + 3
+        v[20] = -3
+        monkeypatch.setattr(multiprobe, "PROBES", 1)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asks = F.col("vec_id") == 20 if case == "apart" else F.col("vec_id") % 20 == 0
+    got = collections.defaultdict(list)
+    for r in multiprobe.nearest(rows, is_query=asks).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    due, hit = min(20, len(v) - 1), []
+    for q in [20] if case == "apart" else range(0, len(v), 20):
+        score = (v * v[q]).sum(axis=1)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(len(v)), -score))[:due]
+        assert len(got[q]) == due == len(set(got[q]))
+        hit.append(len(set(best.tolist()) & set(got[q])) / due)
+    assert np.mean(hit) >= (0.9 if case in ("one long", "lognormal") else 1) and min(hit) >= 0.5
+
+
 def test_multiprobe_ties_of_different_vectors():
     n, dim, k = 300, 301, 21
     vectors = np.hstack([np.ones((n, 1)), np.eye(n)])[np.random.default_rng(1).permutation(n)]
