@@ -92,6 +92,11 @@ def scan(batches: Iterator[pa.RecordBatch], table: np.ndarray, window: int, k: i
         )
 
 
+def split(words: str) -> list[str]:
+    """Words that ``scan`` joined by a blank; white space beyond ASCII belongs to words."""
+    return words.split(" ") if words else []
+
+
 def extend(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Joined fingerprints -> word interval of the document that the item shares, if long enough."""
     for batch in batches:
@@ -102,11 +107,11 @@ def extend(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
                 continue
             l = r = 0
             if size > 0:
-                for a, b in zip(reversed(rows["left"][i].split()), reversed(rows["i_left"][i].split())):
+                for a, b in zip(reversed(split(rows["left"][i])), reversed(split(rows["i_left"][i]))):
                     if a != b:
                         break
                     l += 1
-                for a, b in zip(rows["right"][i].split(), rows["i_right"][i].split()):
+                for a, b in zip(split(rows["right"][i]), split(rows["i_right"][i])):
                     if a != b:
                         break
                     r += 1

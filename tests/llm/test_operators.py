@@ -74,6 +74,17 @@ def test_winnowing(spark, docs, texts):
     assert {r["n_hit"] for r in winnowing.decontaminate(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_winnowing_wide_blanks(spark):
+    wide = ["\u00a0", "\u3000", "\u2003", "\u0085", "\u202f", "\u00ab\u00a0Bonjour", "l\u00a0un"]
+    text = lambda n, at, lone: " ".join(lone if i == at else f"w{i}" for i in range(n))
+    items = [(i, f"alpha{i} " + text(10, at, w).replace("w", f"v{i}x") + f" omega{i}") for i, (w, at) in enumerate((w, at) for w in wide for at in range(10))]
+    short = [(i, t.split(" ")[1:-1]) for i, t in items]
+    rows = [(i, "here " + " ".join(t) + " there") for i, t in short] + [(1000 + i, "here " + " ".join(t[:9]) + " there") for i, t in short]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in winnowing.decontaminate(docs, bench).collect()}
+    assert got == {**{i: (12, 10, [str(i)]) for i, _ in short}, **{1000 + i: (11, 0, []) for i, _ in short}}
+
+
 def components_of(rows: list) -> dict[int, tuple[int, int | None]]:
     """Size and least id per row number, by comparing all pairs."""
     sets = []
