@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 from coobs.llm.tables import cut_lineage, digest
 
-#: A text without any of these holds no entity; spares most texts the Python pass.
-MAYBE = r"[0-9@]|(?i:passw|secret|token|api[_-]?key)|\b(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sr|Sra|Г-н|Г-жа)\b"
-
 # Honorifics and the gender they tell, and names to draw from per gender and script.
 GENDER = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Г-н": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Mme": "f", "Mlle": "f", "Madame": "f", "Señora": "f", "Sra": "f", "Г-жа": "f", "Dr": "n"}
 GIVEN = {
@@ -40,17 +37,25 @@ SURNAME = {
 }
 SYLLABLE = {"latin": "an bel cor den el far gan hol is jor kam lin mar nor ol per ron sel tan vor".split(), "cyrillic": "ан бор вел гор дин ер зор ин кам лан мир нов ол пет ров".split()}
 
-NAME = r"[^\W\d_][^\W\d_'’-]+"
+SECRET = "password|passwd|pwd|secret|token|api[_-]?key"
+HONORIFIC = "|".join(sorted(map(re.escape, GENDER), key=len, reverse=True))
+#: A text without any of these holds no entity; spares most texts the Python pass.  Every pattern needs one
+#: of them.  Read by Java, whose digits and word bounds differ: unassigned characters count as digits here.
+MAYBE = rf"[@\p{{Nd}}\p{{Cn}}]|AKIA|ASIA|(?iu:{SECRET})|(?:{HONORIFIC})(?![a-z])"
+
+# An apostrophe is part of a name unless an ending like 's follows; initials may come before any name.
+NAME = r"[^\W\d_](?:(?:['’](?!(?:s|S|d|m|t|ll|re|ve)\b))?[^\W\d_])+"
+INITIAL = r"-?[^\W\d_]\. ?"
 PATTERNS = [
     ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-])")),
     ("credential", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
-    ("credential", re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{6,})")),
+    ("credential", re.compile(rf"(?i)(?:{SECRET})[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{{6,}})")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")),
     ("card", re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.])\+\d{8,14}(?!\w)")),
-    ("person", re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, GENDER), key=len, reverse=True))})\.?\s+({NAME}(?:[ -]{NAME}){{0,2}})")),
+    ("person", re.compile(rf"\b(?:{HONORIFIC})\.?\s+((?:[A-ZÀ-ÖØ-ÞА-ЯЁ] )?(?:{INITIAL})*{NAME}(?:[ -](?:{INITIAL})*{NAME}){{0,2}})")),
 ]
 
 
@@ -93,7 +98,7 @@ def canonical(kind: str, text: str, before: str = "") -> str | None:
         words = text.split()
         while words and not words[-1][:1].isupper():
             words.pop()
-        if not words or not words[0][:1].isupper():
+        if not words or not words[0][:1].isupper() or not re.search(NAME, " ".join(words)):
             return None
         return f"{GENDER[re.match(r'[\w-]+', before)[0]]}|{' '.join(words).casefold()}"
     return text
