@@ -3,7 +3,7 @@
 import collections
 
 import pytest
-from test_operators import components_of
+from test_llm_operators import components_of
 
 import corpus_pipeline
 from coobs.llm import toxicity
