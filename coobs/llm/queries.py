@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from coobs.llm import differencing, digest_array, multiprobe, partenum, raking, suffixes, surrogates, templates, toxicity, winnowing
+from coobs.llm import burst_trie, differencing, digest_array, equal_average, hidden_markov, multiprobe, partenum, raking, suffixes, surrogates, templates, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,3 +203,106 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("whole"), F.lit(1).cast("bigint")).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
         F.when(F.col("whole"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", F.lower(F.hex("digest")))).alias("kept_sha256"),
     )
+
+
+def codes_sql(rounds: int = equal_average.ROUNDS) -> str:
+    """Rounds of assignment and floored means as a chain of tables; a distance and an index in one number."""
+    steps = [
+        """kept AS MATERIALIZED (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, len(embedding) // 8 AS w,
+           list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        "parts AS MATERIALIZED (SELECT rid, p, v[p * w + 1 : (p + 1) * w] AS x FROM kept, (SELECT unnest(range(8)) AS p))",
+        "c0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x FROM parts WHERE rid <= 16)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+    SELECT rid, p, min(CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda j: (q.x[j] - c.x[j]) * (q.x[j] - c.x[j]))) AS BIGINT) * 16 + e) AS m
+    FROM parts q JOIN c{i} c USING (p) GROUP BY rid, p
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (
+    SELECT p, e, coalesce(n.x, c{i}.x) AS x FROM c{i} LEFT JOIN (
+        SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM (
+            SELECT p, m % 16 AS e, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n
+            FROM a{i} JOIN parts USING (rid, p), (SELECT unnest(range(1, (SELECT max(w) FROM kept) + 1)) AS j) GROUP BY ALL
+        ) GROUP BY p, e
+    ) n USING (p, e)
+)"""
+            )
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM kept JOIN (SELECT rid, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY rid) USING (rid)
+"""
+    )
+
+
+@query("op11_equal_average", codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, their errors, and the errors of equal labels."""
+    vectors = read(spark, sf_dir, "embeddings")
+    books = equal_average.fit(vectors)
+    coded = equal_average.with_group_error(equal_average.encode(vectors, books, keep=["vec_id", "label"]), "label")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+@query("op12_hidden_markov")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every whole text under a hidden Markov model of the texts that teach."""
+    return hidden_markov.language_model(read(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of an ASCII string, bit by bit.
+CRC_SQL = (
+    "xor(list_reduce(list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),"
+    " lambda acc, b: list_reduce(range(8), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)), xor(acc, b)),"
+    " CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+)
+
+TRIE_SQL = f"""
+WITH t AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS r,
+           md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, length(coalesce(text, '')) AS chars
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (SELECT c, count(*) AS n, c - c % 100 AS b, {CRC_SQL.format("CAST(c AS VARCHAR)")} % 6 AS h FROM t GROUP BY c),
+counted AS (SELECT o.*, least(o.h, coalesce(f.n, 0)) AS nb FROM own o LEFT JOIN own f ON f.c = o.b),
+rebuilt AS (
+    SELECT o.c, t.r AS k, t.id, t.chars FROM counted o JOIN t ON t.c = o.b AND t.r <= o.h
+    UNION ALL SELECT o.c, o.nb + t.r - o.h, t.id, t.chars FROM counted o JOIN t ON t.c = o.c AND t.r > o.h
+),
+paths AS (
+    SELECT own.c, list(id ORDER BY k) FILTER (id IS NOT NULL) AS ids, list(chars ORDER BY k) FILTER (id IS NOT NULL) AS ch
+    FROM own LEFT JOIN rebuilt USING (c) GROUP BY own.c
+),
+prefixes AS (
+    SELECT c, d, coalesce(array_to_string(ids[1:d], ''), '') AS pre, coalesce(ch[d], 0) AS chars, d = coalesce(len(ids), 0) AS ends
+    FROM (SELECT *, unnest(range(coalesce(len(ids), 0) + 1)) AS d FROM paths)
+),
+nodes AS (
+    SELECT d, pre, min(c) AS conv, count(*) AS n, max(chars) AS chars, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ends
+    FROM prefixes GROUP BY d, pre
+),
+kids AS (SELECT d - 1 AS d, left(pre, (d - 1) * 32) AS pre, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(kids, 0) AS kids FROM nodes n LEFT JOIN kids USING (d, pre)),
+under AS (
+    SELECT a AS d, left(pre, a * 32) AS pre, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * chars) AS saved
+    FROM (SELECT *, unnest(range(d + 1)) AS a FROM full_nodes) GROUP BY ALL
+)
+SELECT f.conv AS conv_id, CAST(f.d AS BIGINT) AS depth, up.conv AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN under u USING (d, pre) LEFT JOIN nodes up ON up.d = f.d - 1 AND up.pre = left(f.pre, (f.d - 1) * 32)
+"""
+
+
+@query("op13_burst_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    found = burst_trie.trie(read(spark, sf_dir, "conversations"), graft=True)
+    return found.withColumn("depth", F.col("depth").cast("bigint"))

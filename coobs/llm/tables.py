@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coobs.session import cut_lineage
 
-__all__ = ["cut_lineage", "digest", "filter_bits", "BITS"]
+__all__ = ["cut_lineage", "digest", "filter_bits", "spare", "BITS"]
 
 BITS = 1 << 26
 
@@ -18,6 +20,17 @@ def digest(text: Column | str) -> Column:
     return F.unhex(F.sha2(F.col(text) if isinstance(text, str) else text, 256))
 
 
+def spare(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with underscores added until no given column is called so (whatever its case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def filter_bits(keys: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
     """A bit set over hashed long keys, of a fixed size whatever the number of keys.
 
