@@ -30,7 +30,7 @@ from coobs.llm.tables import cut_lineage
 from coobs.llm.words import Hasher, list_array, mix, space_table, text_blocks
 
 HEAD, TAIL = 8192, 2048
-STATES, ROUNDS = 8, 6
+STATES, ROUNDS = 8, 8
 #: Words of more bytes are named by their hash.
 LONG = 64
 #: Bytes of text, and tokens, that are worked on at once; a longer text is worked on in pieces.
@@ -218,8 +218,12 @@ class Lot:
     def __len__(self) -> int:
         return len(self.live)
 
-    def at(self, t: int) -> np.ndarray:
-        return self.tokens[self.start[: self.live[t]] + t]
+    def classes(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of the tokens of steps lo..hi, step by step, and where each step begins (one more at the end)."""
+        live = self.live[lo:hi]
+        ends = np.concatenate([[0], np.cumsum(live)])
+        text = np.arange(ends[-1]) - np.repeat(ends[:-1], live)
+        return self.tokens[self.start[text] + np.repeat(np.arange(lo, hi), live)], ends
 
     def pieces(self, most: int) -> list[tuple[int, int]]:
         """Runs of steps with at most ``most`` tokens each (one step at least)."""
@@ -250,23 +254,37 @@ def lots(column: pa.Array, most: int = TOKENS) -> Iterator[tuple[np.ndarray, Lot
         lo = hi
 
 
-def forward(chain: Chain, lot: Lot, lo: int, hi: int, state: np.ndarray | None, keep: bool = False):
-    """Scaled forward recursion over steps lo..hi from the states before; yields (step, classes, states, scales)."""
-    ones = np.ones(len(chain.first))
-    for t in range(lo, hi):
-        seen = lot.at(t)
-        ahead = chain.first if t == 0 else state[: len(seen)] @ chain.after
-        state = chain.emit[seen] * ahead
-        scale = state @ ones
-        state /= scale[:, None]
-        yield t, seen, state, scale
+def forward(chain: Chain, lot: Lot, lo: int, hi: int, before: np.ndarray | None):
+    """Scaled forward recursion over steps lo..hi from the states before them.
 
-
-def log_likelihood(chain: Chain, lot: Lot) -> np.ndarray:
+    Returns the classes, where each step begins, their emissions, the scaled states and the scales (each in all columns).
+    """
+    seen, ends = lot.classes(lo, hi)
+    emitted = np.take(chain.emit, seen, axis=0)
+    states, scales = np.empty_like(emitted), np.empty_like(emitted)
+    ones = np.ones((len(chain.first),) * 2)
+    for t in range(hi - lo):
+        i, j = ends[t], ends[t + 1]
+        state = states[i:j]
+        if lo + t == 0:
+            state[:] = chain.first
+        else:
+            np.matmul(before[: j - i], chain.after, out=state)
+        state *= emitted[i:j]
+        np.matmul(state, ones, out=scales[i:j])
+        state /= scales[i:j]
+        before = state
+    return seen, ends, emitted, states, scales
+
+
+def log_likelihood(chain: Chain, lot: Lot, most: int = TOKENS) -> np.ndarray:
     """Base-10 logarithm of the probability of each text's classes."""
-    out = np.zeros(len(lot.size))
-    for _, seen, _, scale in forward(chain, lot, 0, len(lot), None):
-        out[: len(seen)] += np.log10(scale)
+    out, before = np.zeros(len(lot.size)), None
+    for lo, hi in lot.pieces(most):
+        _, ends, _, states, scales = forward(chain, lot, lo, hi, before)
+        before = states[ends[-2] :].copy()
+        text = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
+        out += np.bincount(text, np.log10(scales[:, 0]), len(out))
     return out
 
 
@@ -280,32 +298,27 @@ class Expected:
         """One lot: forward through all pieces, keeping the states between them, then back piece by piece."""
         pieces, borders = lot.pieces(most), [None]
         for lo, hi in pieces[:-1]:
-            for _, _, state, _ in forward(chain, lot, lo, hi, borders[-1]):
-                pass
-            borders.append(state)
-        states = len(chain.first)
+            _, ends, _, states, _ = forward(chain, lot, lo, hi, borders[-1])
+            borders.append(states[ends[-2] :].copy())
         after_t = np.ascontiguousarray(chain.after.T)
-        ahead = None  # emission, rest and scale of the step after, for the texts that have it
+        ahead = np.zeros((0, len(chain.first)))  # emission and rest of the step after, scaled, for the texts that have it
         for (lo, hi), border in zip(reversed(pieces), reversed(borders)):
-            ends = np.concatenate([[0], np.cumsum(lot.live[lo:hi])])
-            alpha, seen, scales = np.empty((ends[-1], states)), np.empty(ends[-1], np.int64), np.empty(ends[-1])
-            for t, s, a, c in forward(chain, lot, lo, hi, border):
-                span = slice(ends[t - lo], ends[t - lo + 1])
-                alpha[span], seen[span], scales[span] = a, s, c
-            self.log += np.log10(scales).sum()
-            for t in range(hi - 1, lo - 1, -1):
-                span = slice(ends[t - lo], ends[t - lo + 1])
-                a = alpha[span]
-                beta = np.ones_like(a)
-                if ahead is not None:
-                    self.after += a[: len(ahead)].T @ ahead
-                    beta[: len(ahead)] = ahead @ after_t
-                ahead = chain.emit[seen[span]] * beta / scales[span][:, None]
-                a *= beta  # now the share of each state in this token
+            seen, ends, emitted, states, scales = forward(chain, lot, lo, hi, border)
+            self.log += np.log10(scales[:, 0]).sum()
+            emitted /= scales
+            rest = np.ones_like(states)
+            for t in range(hi - lo - 1, -1, -1):
+                i, j, k = ends[t], ends[t + 1], ends[t] + len(ahead)
+                self.after += states[i:k].T @ ahead
+                np.matmul(ahead, after_t, out=rest[i:k])
+                ahead = emitted[i:j]
+                ahead *= rest[i:j]
+            states *= rest  # now the share of each state in each token
+            ahead = ahead.copy()
             if lo == 0:
-                self.first += alpha[: ends[1]].sum(axis=0)
-            by_state = np.ascontiguousarray(alpha.T)
-            for k in range(states):
+                self.first += states[: ends[1]].sum(axis=0)
+            by_state = np.ascontiguousarray(states.T)
+            for k in range(len(by_state)):
                 self.emit[k] += np.bincount(seen, by_state[k], self.emit.shape[1])
 
     def finished(self, chain: Chain) -> Expected:
