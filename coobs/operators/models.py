@@ -24,8 +24,9 @@ from coobs import ENTITY, PROPERTY, VALUE
 from coobs.functions.text import family
 from coobs.operators.ensemble import FIT_SCHEMA, FULL, STANDARD_INNER, inner_fold, standard_stack_fits
 from coobs.operators.score import r2_by
+from coobs.plans.gram import packed, wide_ridge, with_wide_linear
 from coobs.plans.joins import bounded
-from coobs.plans.ridge import Cells, moment_cells, solve, with_linear
+from coobs.plans.ridge import MAX_COLUMNS, Cells, moment_cells, solve, with_linear
 from coobs.session import cut_lineage
 
 RIDGE_MIN_ROWS = 5
@@ -45,7 +46,9 @@ class Model(Protocol):
 def ridge_per_property(
     train: DataFrame, features: Sequence[str], alpha: float = 1.0, with_folds: bool = False
 ) -> DataFrame:
-    """Standardised ridge per property (and per left-out fold): one aggregate over rows."""
+    """Standardised ridge per property (and per left-out fold): one aggregate over rows.
+
+    Beyond ``MAX_COLUMNS`` features the moments are tiles of a Gram matrix."""
     features = list(features)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -60,6 +63,9 @@ def ridge_per_property(
                 out.append((pdf[PROPERTY].iloc[0], int(k), FULL, alpha, float(b0), b.tolist()))
         return pd.DataFrame(out, columns=[PROPERTY, "fold", "inner", "alpha", "intercept", "coef"])
 
+    if len(features) > MAX_COLUMNS:
+        wide = wide_ridge(train, PROPERTY, "fold" if with_folds else None, packed(features), F.col(VALUE), alpha=alpha, min_rows=RIDGE_MIN_ROWS)
+        return wide.select(PROPERTY, "fold", F.lit(FULL).alias("inner"), "alpha", "intercept", "coef")
     named = train.withColumn("y", F.col(VALUE))
     if not with_folds:
         named = named.withColumn("fold", F.lit(0))
@@ -124,6 +130,13 @@ def oof_and_test(
     return oof, tested
 
 
+def wide_ridge_oof(rows: DataFrame, x: str, width: int, alpha: float = 1.0, max_groups: int = 1000) -> DataFrame:
+    """Out-of-fold ridge prediction from an array column ``x`` of ``width`` features."""
+    fits = wide_ridge(rows, PROPERTY, "fold", F.col(x), F.col(VALUE), alpha=alpha, min_rows=RIDGE_MIN_ROWS)
+    fits = cut_lineage(fits.where(F.col("fold") != FULL), "wide_fits")
+    return with_wide_linear(rows, fits, [PROPERTY, "fold"], F.col(x), "pred", max_groups * 65, width)
+
+
 # -- trees and other ML estimators -------------------------------------------------
 
 

@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coobs.plans.gram import packed, with_wide_linear
 from coobs.plans.joins import bounded
 from coobs.plans.moments import fold_moments, mean_of, moment_of
 
-MAX_COLUMNS = 24  # 24 predictors are 325 moments; beyond that use an ML estimator
+MAX_COLUMNS = 24  # 24 predictors are 325 moments; beyond that they are tiles (plans.gram)
 MAX_CELLS = 64 * 8
 
 
@@ -116,6 +117,8 @@ def with_linear(
     rows: DataFrame, fits: DataFrame, on: Sequence[str], features: Sequence[str], out: str, max_rows: int
 ) -> DataFrame:
     """Apply fitted (intercept, coef) to the rows, joined on ``on``."""
+    if len(features) > MAX_COLUMNS:
+        return with_wide_linear(rows, fits, on, packed(features), out, max_rows, len(features))
     value: Column = F.col("intercept")
     for i, f in enumerate(features):
         value = value + F.col("coef")[i] * F.col(f)

@@ -35,6 +35,42 @@ def mdl_1(spark, sf_dir):
     return rounded(out.select(*KEY, "pred"))
 
 
+WIDE = 200
+# One column per remainder of the order: the Gram matrix is a diagonal less an outer product, so the
+# ridge has a closed form (Sherman and Morrison) that needs sums alone.
+_WIDE = {
+    "wd": f"SELECT *, CAST(entity AS BIGINT) % {WIDE} AS c FROM order_folds",
+    "jobs": "SELECT DISTINCT property, fold AS k FROM wd",
+    "tot": "SELECT j.property, j.k, count(*) AS n, avg(value) AS my FROM jobs j JOIN wd w ON w.property = j.property AND w.fold <> j.k GROUP BY ALL",
+    "cats": f"SELECT j.property, j.k, c FROM jobs j, (SELECT unnest(range({WIDE})) AS c)",
+    "col": """SELECT t.property, t.k, t.c, any_value(n) AS n, any_value(my) AS my, count(w.value) AS nj, coalesce(sum(w.value), 0) AS sj
+              FROM cats t JOIN tot USING (property, k) LEFT JOIN wd w ON w.property = t.property AND w.fold <> t.k AND w.c = t.c GROUP BY t.property, t.k, t.c""",
+    "std": "SELECT *, nj / n AS p, CASE WHEN nj > 0 AND nj < n THEN sqrt(nj / n * (1 - nj / n)) ELSE 1.0 END AS s FROM col",
+    "sc": "SELECT *, (sj - nj * my) / s AS cj, CASE WHEN nj > 0 THEN n * p / (s * s) + 1.0 ELSE 1.0 END AS aj, p / s AS q FROM std",
+    "uv": "SELECT property, k, sum(q * cj / aj) AS u, sum(q * q / aj) AS v FROM sc GROUP BY property, k",
+    "co": "SELECT sc.*, (cj / aj + q / aj * n * u / (1 - n * v)) / s AS b FROM sc JOIN uv USING (property, k)",
+    "ic": "SELECT property, k, any_value(my) - sum(b * p) AS b0 FROM co GROUP BY property, k",
+}
+
+
+@query(
+    "mdl_1_wide_ridge",
+    oracle(
+        f"""SELECT w.entity, w.property, w.fold, {rs('b0 + b')} AS pred FROM wd w JOIN co ON co.property = w.property AND co.k = w.fold AND co.c = w.c
+            JOIN ic ON ic.property = w.property AND ic.k = w.fold""",
+        "order_folds",
+        extra=_WIDE,
+    ),
+)
+def mdl_1_wide(spark, sf_dir):
+    """Out-of-fold ridge on 200 columns."""
+    rows = fx.order_folds(spark, sf_dir)
+    c = F.col(ENTITY).cast("bigint") % WIDE
+    wide = rows.withColumn("x", F.array(*[(c == j).cast("double") for j in range(WIDE)]))
+    out = models.wide_ridge_oof(wide, "x", WIDE, max_groups=len(fx.AMOUNTS))
+    return rounded(out.select(*KEY, "fold", "pred"))
+
+
 def _split(spark, sf_dir):
     rows = fx.order_folds(spark, sf_dir, k=fx.FOLDS)
     # folds 3 and 4 play the test side, 0..2 are the cross-fitting folds: every row is used
