@@ -101,9 +101,11 @@ def shard_groups(docs: DataFrame, *, text: str = "text", shards: int = 16, per_s
     keep = [c for c in docs.columns if c != "shard"]
     groups = docs.select(group_key(text).alias("_key"), byte_size(text).alias("_size")).groupBy("_key").agg(F.sum("_size").alias("_size"))
     heavy, light = balance(cut_lineage(groups, "kk_groups"), shards, per_shard)
-    keyed = docs.select(*[F.col(f"`{c}`") for c in keep], group_key(text).alias("_key")).withColumn("_crate", crate(shards * per_shard))
+    # the row travels as one column, so no column of it can be mistaken for a helper's
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    keyed = docs.select(row, group_key(f"`{text}`").alias("_key")).withColumn("_crate", crate(shards * per_shard))
     placed = keyed.join(F.broadcast(heavy), "_key", "left").join(F.broadcast(light), "_crate", "left")
-    return placed.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("_heavy", "_light").alias("shard"))
+    return placed.select("row.*", F.coalesce("_heavy", "_light").alias("shard"))
 
 
 def with_slots(rows: DataFrame, *, part: str = "shard", slot: str = "slot") -> DataFrame:

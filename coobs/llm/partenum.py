@@ -453,8 +453,10 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         r = right.select(F.col("_id").alias("_rid"), F.col("_digest").alias("_rdigest"))
         return left.join(r, (F.col("_digest") == F.col("_rdigest")) & F.col("_id").eqNullSafe(F.col("_rid")), how)
 
-    kept = matched(docs.withColumns({"_id": F.col(f"`{doc_id}`"), "_digest": digest(text)}), drop, "left_anti")
+    # the row travels as one column, so no column of it can be mistaken for a helper's
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = matched(docs.select(row, F.col(f"`{doc_id}`").alias("_id"), digest(f"`{text}`").alias("_digest")), drop, "left_anti")
     if not twice.isEmpty():
         again = matched(kept, twice, "left_semi").dropDuplicates(["_id", "_digest"])
         kept = matched(kept, twice, "left_anti").union(again)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select("row.*")

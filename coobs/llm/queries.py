@@ -106,16 +106,15 @@ FROM rows LEFT JOIN (SELECT s, l, p, (w / tokens) / max(w / tokens) OVER () AS q
 @query("op6_raking", raking_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's calibrated probability and whether it is drawn."""
-    rows, cells = raking.calibrated(read(spark, sf_dir, "documents"))
-    q = F.col("probability")
-    return rows.join(cells, ["_source", "_lang", "_topic"]).select(
-        F.col("_id").alias("doc_id"),
-        F.col("_source").alias("source_level"),
-        F.col("_lang").alias("lang_level"),
-        F.col("_topic").alias("topic_level"),
-        F.col("_tokens").alias("n_tokens"),
-        F.round(q, 6).alias("probability"),
-        (F.col("_u") < q).alias("kept"),
+    rows = raking.calibrated(read(spark, sf_dir, "documents"))
+    return rows.select(
+        "row.doc_id",
+        F.col("source").alias("source_level"),
+        F.col("lang").alias("lang_level"),
+        F.col("topic").alias("topic_level"),
+        F.col("tokens").alias("n_tokens"),
+        F.round("probability", 6).alias("probability"),
+        (F.col("u") < F.col("probability")).alias("kept"),
     )
 
 

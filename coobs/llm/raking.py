@@ -8,6 +8,7 @@ probability of its cell: raked weight per token over the largest such ratio.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -20,19 +21,19 @@ TOLERANCE = 1e-10
 MAX_ROUNDS = 50
 
 
-def n_tokens(text: str = "text") -> Column:
+def n_tokens_of(text: Column) -> Column:
     """Runs without ASCII white space; a null text has none."""
-    return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("bigint")
 
 
-def topic(text: str = "text", tokens: str = "_tokens") -> Column:
+def topic_of(text: Column, tokens: Column) -> Column:
     """A coarse topic by rule: what kind of content a text carries, else its length."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    t = F.coalesce(text, F.lit(""))
     return (
         F.when(F.contains(t, F.lit("License")), "legal")
         .when(F.contains(t, F.lit("@")), "contact")
-        .when(F.col(tokens) < 100, "short")
-        .when(F.col(tokens) >= 1000, "long")
+        .when(tokens < 100, "short")
+        .when(tokens >= 1000, "long")
         .otherwise("prose")
     )
 
@@ -53,7 +54,7 @@ def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], to
 
     ``cells`` has the dimensions and ``tokens``; ``targets`` gives (level, ``target``) with shares of
     all tokens.  Sums combine before their shuffle and come back by a join on the level.
-    Contradictory targets end after ``rounds`` with the last weights.
+    Targets that contradict each other end after ``rounds`` with the last weights and a warning.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     w = cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double"))
@@ -70,42 +71,53 @@ def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], to
         w = cut_lineage(step.withColumn("_moved", moved).drop(*[f"_m{d}" for d in dims]), "rake_cells")
         if (w.agg(F.max("_moved")).first()[0] or 0.0) < tolerance:
             break
+    else:
+        warnings.warn(f"raking has not settled after {rounds} rounds; the targets may contradict each other", RuntimeWarning, stacklevel=2)
     return w.select(*dims, "tokens", "w")
 
 
-def uniform(doc_id: str, text: str, seed: str) -> Column:
+def uniform_of(doc_id: Column, text: Column, seed: str) -> Column:
     """A repeatable number in [0, 1) per document; repeated rows share it."""
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def calibrated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, DataFrame] | None = None, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(rows, cells): per row of ``docs`` its id, levels, tokens and number; per cell its probability.
+DIMS = ["source", "lang", "topic"]
 
-    Null sources or languages are levels of their own; texts that are null or empty have no
-    tokens but get the probability of their cell.
+
+def levelled(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, seed: str) -> DataFrame:
+    """Per row: all of it in ``row``, its three levels, ``tokens`` and its number ``u``.
+
+    The row travels as one column, so no column of it can be mistaken for a helper's.
     """
-    dims = ["_source", "_lang", "_topic"]
-    rows = (
-        docs.select(F.col(f"`{doc_id}`").alias("_id"), n_tokens(text).alias("_tokens"), level(F.col(f"`{source}`")).alias("_source"), level(F.col(f"`{lang}`")).alias("_lang"), F.col(f"`{text}`").alias("_text"))
-        .select("_id", "_tokens", "_source", "_lang", level(topic("_text")).alias("_topic"), uniform("_id", "_text", seed).alias("_u"))
-    )
-    rows = cut_lineage(rows, "rake_rows")
-    cells = cut_lineage(rows.groupBy(*dims).agg(F.sum("_tokens").alias("tokens")), "rake_cells")
-    goals = dict(targets or {d: tempered(cells, d) for d in dims})
-    raked = rake(cells, dims, goals).select(*dims, (F.col("w") / F.col("tokens")).alias("ratio"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = lambda c: F.col("row").getField(c)
+    rows = whole.select("row", n_tokens_of(at(text)).alias("tokens"), level(at(source)).alias("source"), level(at(lang)).alias("lang"))
+    return rows.select("*", level(topic_of(at(text), F.col("tokens"))).alias("topic"), uniform_of(at(doc_id), at(text), seed).alias("u"))
+
+
+def cell_probabilities(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """(levels, ``probability``) of each cell: its raked weight per token over the largest such ratio."""
+    goals = dict(targets or {d: tempered(cells, d) for d in DIMS})
+    raked = rake(cells, DIMS, goals).select(*DIMS, (F.col("w") / F.col("tokens")).alias("ratio"))
     top = raked.agg(F.max("ratio")).first()[0] or 1.0
     # a cell without tokens costs nothing and is kept
-    every = cells.select(*dims, (F.col("tokens") == 0).alias("_free")).join(raked, dims, "left")
-    return rows, every.select(*dims, F.coalesce(F.col("ratio") / F.lit(top), F.col("_free").cast("double")).alias("probability"))
+    every = cells.select(*DIMS, (F.col("tokens") == 0).alias("free")).join(raked, DIMS, "left")
+    return every.select(*DIMS, F.coalesce(F.col("ratio") / F.lit(top), F.col("free").cast("double")).alias("probability"))
 
 
-def mix_sample(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: str = "mix", **kw) -> DataFrame:
-    """Rows of ``docs`` kept with their calibrated probabilities; columns as given."""
-    dims = ["_source", "_lang", "_topic"]
-    _, cells = calibrated(docs, doc_id=doc_id, text=text, source=source, lang=lang, seed=seed, **kw)
-    keyed = (
-        docs.withColumn("_tokens", n_tokens(text)).withColumn("_source", level(F.col(f"`{source}`"))).withColumn("_lang", level(F.col(f"`{lang}`")))
-        .withColumn("_topic", level(topic(text))).withColumn("_u", uniform(doc_id, text, seed))
-    )
-    return keyed.join(cells, dims).where("_u < probability").select(*[F.col(f"`{c}`") for c in docs.columns])
+def calibrated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, DataFrame] | None = None, seed: str = "mix") -> DataFrame:
+    """Per row of ``docs``: ``row`` (all its columns), levels, ``tokens``, ``u`` and the ``probability`` of its cell.
+
+    The rows are scanned once for the cells and once for the result, and never written.  Null sources
+    or languages are levels of their own; texts that are null or empty have no tokens but get
+    the probability of their cell; repeated rows share their number; an empty table stays empty.
+    """
+    rows = levelled(docs, doc_id, text, source, lang, seed)
+    cells = cut_lineage(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "rake_cells")
+    return rows.join(cut_lineage(cell_probabilities(cells, targets), "rake_probabilities"), DIMS)
+
+
+def mix_sample(docs: DataFrame, **kw) -> DataFrame:
+    """Rows of ``docs`` kept with their calibrated probabilities (see ``calibrated``); columns as given."""
+    return calibrated(docs, **kw).where("u < probability").select("row.*")

@@ -3,7 +3,8 @@
 Mentions are found per text and reduced to an entity: type and canonical form.  A keyed hash of
 the entity drives a generator that keeps what the form shows (digits stay digits, letters stay
 letters of their script and case, separators, lengths, check digits, country and network prefixes
-and the gender of an honorific stay).  Equal entities get equal surrogates everywhere.  Over all
+and the gender of an honorific stay).  Equal entities get equal surrogates everywhere; within a text, later
+shortened, re-titled and bare mentions of a person belong to the person named before.  Over all
 distinct entities the surrogates are checked: one that another entity already has, or that is itself a
 real entity of the corpus, is drawn again until none collides, so distinct entities stay distinct.
 """
@@ -13,7 +14,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +41,19 @@ SURNAME = {
 }
 SYLLABLE = {"latin": "an bel cor den el far gan hol is jor kam lin mar nor ol per ron sel tan vor".split(), "cyrillic": "ан бор вел гор дин ер зор ин кам лан мир нов ол пет ров".split()}
 
+# Words in small letters inside family names.
+PARTICLES = frozenset("da de del della den der di do dos du el la le van vom von y zu де фон".split())
+ALPHABET = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя"}
+
 SECRET = "password|passwd|pwd|secret|token|api[_-]?key"
 HONORIFIC = "|".join(sorted(map(re.escape, GENDER), key=len, reverse=True))
 #: A text without any of these holds no entity; spares most texts the Python pass.  Every pattern needs one
 #: of them.  Read by Java, whose digits and word bounds differ: unassigned characters count as digits here.
-MAYBE = rf"[@\p{{Nd}}\p{{Cn}}]|AKIA|ASIA|(?iu:{SECRET})|(?:{HONORIFIC})(?![a-z])"
+#: The looks ahead at first letters change nothing but the time.
+MAYBE = (
+    rf"[@\p{{Nd}}\p{{Cn}}]|AKIA|ASIA|(?=[PpSs\u017fTtAa][AaWwEeOoPp])(?iu:{SECRET})"
+    rf"|(?=[{''.join(sorted({h[0] for h in GENDER}))}])(?:{HONORIFIC})(?![a-z])"
+)
 
 # An apostrophe is part of a name unless an ending like 's follows; initials may come before any name.
 NAME = r"[^\W\d_](?:(?:['’](?!(?:s|S|d|m|t|ll|re|ve)\b))?[^\W\d_])+"
@@ -76,8 +88,21 @@ def only_digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
+@lru_cache(maxsize=1 << 14)
 def script_of(s: str) -> str:
-    return "cyrillic" if re.search("[Ѐ-ӿ]", s) else "latin"
+    """Script of the first letter."""
+    first = next((c for c in s if c.isalpha()), "a")
+    return unicodedata.name(first, "OTHER").split()[0].lower()
+
+
+@lru_cache(maxsize=1 << 14)
+def alphabet(c: str) -> str:
+    """Lower-case letters to draw from for a letter of its script; those around it where none are listed."""
+    if (script := script_of(c)) in ALPHABET:
+        return ALPHABET[script]
+    block, lower = ord(c) & ~0x7F, c.lower()
+    near = (chr(x) for x in range(block, block + 0x80))
+    return "".join(x for x in near if x.isalpha() and script_of(x) == script and x.lower() == x and x.isupper() == lower.isupper()) or lower
 
 
 def canonical(kind: str, text: str, before: str = "") -> str | None:
@@ -96,17 +121,82 @@ def canonical(kind: str, text: str, before: str = "") -> str | None:
         return ("+" if text.startswith("+") else "") + only_digits(text)
     if kind == "person":
         words = text.split()
+        # a word in small letters ends the name, unless it links family names
+        words = words[: next((i for i, w in enumerate(words) if w[:1].islower() and w not in PARTICLES), len(words))]
         while words and not words[-1][:1].isupper():
             words.pop()
         if not words or not words[0][:1].isupper() or not re.search(NAME, " ".join(words)):
             return None
         return f"{GENDER[re.match(r'[\w-]+', before)[0]]}|{' '.join(words).casefold()}"
-    return text
+    # a masked secret, without letters and digits, tells nothing
+    return text if any(c.isalnum() for c in text) else None
+
+
+def fits(a: list[str], b: list[str]) -> bool:
+    """May these be the first names of one person?  One may be missing, or an initial of the other."""
+    return all(x == y or (min(len(x.rstrip(".")), len(y.rstrip("."))) == 1 and x[0] == y[0]) for x, y in zip(a, b))
+
+
+class Person:
+    """A person of a text, as far as the mentions so far tell."""
+
+    def __init__(self, gender: str, words: list[str]):
+        self.gender, self.given, self.surname, self.spans = gender, words[:-1], words[-1], []
+
+    def is_same(self, gender: str, words: list[str]) -> bool:
+        return words[-1] == self.surname and ("n" in (gender, self.gender) or gender == self.gender) and fits(self.given, words[:-1])
+
+    def learn(self, gender: str, words: list[str]) -> None:
+        self.gender = gender if self.gender == "n" else self.gender
+        self.given = max(self.given, words[:-1], key=lambda w: (len(w), len("".join(w))))
+
+    @property
+    def form(self) -> str:
+        return f"{self.gender}|{' '.join([*self.given, self.surname])}"
+
+
+def resolved(text: str, titled: list[tuple[int, int, str]], taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+    """Mentions of persons with one form per person of the text.
+
+    ``titled`` are those after an honorific.  A mention joins the latest person of the same surname
+    whose gender and first names agree with it or are open; later bare mentions of a full name or a
+    surname, spelled as before, belong to the latest person it was used for.
+    """
+    people: list[Person] = []
+    spelled: dict[str, list[tuple[int, Person]]] = {}
+    for a, b, form in titled:
+        gender, _, name = form.partition("|")
+        words = name.split()
+        person = next((p for p in reversed(people) if p.is_same(gender, words)), None)
+        if person is None:
+            people.append(person := Person(gender, words))
+        person.learn(gender, words)
+        person.spans.append((a, b))
+        last = text[a:b].split()[-1]
+        if len(last) > 2:
+            spelled.setdefault(last, []).append((a, person))
+        spelled.setdefault(" ".join(text[a:b].split()), []).append((a, person))
+    if not people:
+        return []
+    taken = sorted(taken)
+    starts = [x for x, _ in taken]
+    names = sorted((n for n in spelled if len(n) > 2), key=lambda n: (-len(n), n))
+    bare = re.compile(rf"(?<![\w'’-])(?:{'|'.join(map(re.escape, names))})(?![\w-]|['’]\w\w)") if names else None
+    for m in bare.finditer(text, titled[0][0]) if bare else ():
+        i = bisect_right(starts, m.start())
+        if (i and taken[i - 1][1] > m.start()) or (i < len(taken) and taken[i][0] < m.end()):
+            continue
+        for name in (m[0], m[0].split()[-1]):  # where a full name comes up later only, the surname may be known
+            uses = spelled.get(name, [])
+            if k := bisect_right([a for a, _ in uses], m.start()):
+                uses[k - 1][1].spans.append((m.end() - len(name), m.end()))
+                break
+    return [(a, b, "person", p.form) for p in people for a, b in p.spans]
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical) of the entities of a text; earlier patterns win overlaps."""
-    found, taken = [], []
+    found, taken, titled = [], [], []
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(text):
             group = 1 if m.lastindex else 0
@@ -116,10 +206,15 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "person":
                 b = a + len(m[group].rstrip()) if len(form.split("|")[1].split()) == len(m[group].split()) else a + len(" ".join(m[group].split()[: len(form.split("|")[1].split())]))
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
+            i = bisect_right(taken, (a, b))
+            if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b):
+                continue
+            taken.insert(i, (a, b))
+            if kind == "person":
+                titled.append((a, b, form))
+            else:
                 found.append((a, b, kind, form))
-    return sorted(found)
+    return sorted(found + resolved(text, titled, taken))
 
 
 class Stream:
@@ -144,7 +239,7 @@ class Stream:
             if c.isdigit():
                 out.append(str(self.below(10)))
             elif c.isalpha():
-                base = "абвгдежзиклмнопрстуфхцчшэюя" if script_of(c) == "cyrillic" else "abcdefghijklmnopqrstuvwxyz"
+                base = alphabet(c)
                 x = base[self.below(len(base))]
                 out.append(x.upper() if c.isupper() else x)
             else:
@@ -152,55 +247,83 @@ class Stream:
         return "".join(out)
 
 
+def name_like(r: Stream, name: str, gender: str) -> list[str]:
+    """Words of a name of the same shape: hyphens, apostrophes and initials stay where they are."""
+    words, out = name.split(), []
+    for i, word in enumerate(words):
+        parts = []
+        for run in re.findall(r"[^\W\d_]+|[\W\d_]+", word):
+            script = script_of(run)
+            pool = SURNAME.get(script) if i == len(words) - 1 or i else GIVEN.get((gender, script))
+            if not run.isalpha():
+                parts.append(run)
+            elif len(run) == 1 or pool is None:
+                parts.append(r.like(run))
+            else:
+                parts.append(pool[r.below(len(pool))].casefold())
+        out.append("".join(parts))
+    return out
+
+
 def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
-    """Canonical form of the replacement; later attempts of a name draw from a wider domain."""
+    """Canonical form of the replacement.  The domain widens with the attempts, so that the search for a
+    free one ends whatever is taken."""
     r = Stream(key, kind, form, str(attempt))
+    wider = "".join(str(r.below(10)) for _ in range(attempt // 8))
     if kind == "email":
         local, _, domain = form.rpartition("@")
         labels = domain.split(".")
         fixed = 3 if len(labels) > 2 and labels[-2] == "example" else 2
         d = Stream(key, "domain", domain)  # addresses of one domain stay together
         host = [d.like(x) for x in labels[: max(len(labels) - fixed + 1, 1)]] + labels[max(len(labels) - fixed + 1, 1) :]
-        return r.like(local) + ("" if attempt < 16 else str(r.below(1000))) + "@" + ".".join(host)
+        return r.like(local) + wider + "@" + ".".join(host)
     if kind == "ip":
+        if attempt >= 32:  # an address of the range for examples, once those of four numbers are used up
+            return "2001:db8:" + ":".join(f"{r.below(1 << 16):x}" for _ in range(6))
         first = r.below(222) + 1
         return ".".join(map(str, [first + (first >= 127), r.below(256), r.below(256), r.below(254) + 1]))
     if kind == "card":
-        body = form[0] + "".join(str(r.below(10)) for _ in form[1:-1])
+        body = form[0] + "".join(str(r.below(10)) for _ in form[1:-1]) + wider
         return body + str((10 - luhn(body + "0")) % 10)
     if kind == "iban":
-        body = r.like(form[4:])
+        body = r.like(form[4:]) + wider
         return f"{form[:2]}{98 - mod97(form[:2] + '00' + body):02d}{body}"
     if kind == "ssn":
-        return f"{r.below(665) + 1:03d}{r.below(99) + 1:02d}{r.below(9999) + 1:04d}"
+        return f"{r.below(665) + 1:03d}{r.below(99) + 1:02d}{r.below(9999) + 1:04d}{wider}"
     if kind == "phone":
         plus, digits = form[:1] == "+", form.lstrip("+")
         keep = max(len(digits) - 10, 0)  # a country code stays
         rest = [str(r.below(8) + 2)] + [str(r.below(10)) for _ in digits[keep + 1 :]]
         if len(rest) == 10:
             rest[3] = str(r.below(8) + 2)
-        return ("+" if plus else "") + digits[:keep] + "".join(rest)
+        return ("+" if plus else "") + digits[:keep] + "".join(rest) + wider
     if kind == "person":
         gender, _, name = form.partition("|")
-        script, words = script_of(name), name.split()
-        made = [GIVEN[gender, script][r.below(len(GIVEN[gender, script]))]] if len(words) > 1 else []
-        while len(made) < len(words):
-            made.append(SURNAME[script][r.below(len(SURNAME[script]))])
+        made = name_like(r, name, gender)
+        script = script_of(name)
         for _ in range(attempt // 2):
-            made[-1] += SYLLABLE[script][r.below(len(SYLLABLE[script]))]
+            made[-1] += SYLLABLE[script][r.below(len(SYLLABLE[script]))] if script in SYLLABLE else r.like(name[-1] if name[-1].isalpha() else "a")
         return f"{gender}|{' '.join(made).casefold()}"
     prefix = 4 if re.match("AKIA|ASIA", form) else 0
-    return form[:prefix] + r.like(form[prefix:])
+    return form[:prefix] + r.like(form[prefix:]) + "".join(r.like("a") for _ in range(attempt // 4))
 
 
 def rendered(kind: str, mention: str, made: str) -> str:
     """The surrogate in the format of the mention."""
     if kind in ("card", "ssn", "phone", "iban"):
         chars = iter(made.lstrip("+"))
-        return "".join(next(chars, "") if c.isalnum() else c for c in mention)
+        return "".join(next(chars, "") if c.isalnum() else c for c in mention) + "".join(chars)
     if kind == "person":
-        words = made.split("|")[1].split()
-        return " ".join(w.upper() if mention.isupper() and len(mention) > 1 else w[:1].upper() + w[1:] for w in words)
+        shown, words = mention.split(), made.split("|")[1].split()
+        shown, out = shown[-len(words) :], []
+        for like, word in zip(shown, words[-len(shown) :]):  # a shorter mention shows the last words
+            if like.endswith(".") and len(like) == 2:
+                out.append(word[:1].upper() + ".")
+            elif like.isupper() and len(like) > 1:
+                out.append(word.upper())
+            else:
+                out.append(word if like.islower() else re.sub(r"[^\W\d_]+", lambda m: m[0][:1].upper() + m[0][1:], word))
+        return " ".join(out)
     if kind == "email":
         return made.upper() if mention.isupper() else made
     return made

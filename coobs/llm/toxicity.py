@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coobs.llm.tables import spare
 from coobs.llm.words import Hasher, alnum_table, mix, text_blocks
 
 WINDOW, STRIDE = 32, 24
@@ -314,9 +315,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     order = F.xxhash64("_id")
     picked = known.where("_y = 1").orderBy(order, "_id").limit(TOXIC_ROWS).union(known.where("_y = 0").orderBy(order, "_id").limit(CLEAN_ROWS))
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).where(F.octet_length("_text") <= TEACH_BYTES)
-    got = rows.join(F.broadcast(picked), "_id").select("_id", "_y", "_text").toArrow()
-    sample = sorted(zip(got.column("_id").to_pylist(), got.column("_y").to_pylist(), got.column("_text").to_pylist()))
-    return train([t for _, _, t in sample], [y for _, y, _ in sample])
+    sample = rows.join(F.broadcast(picked), "_id").select("_id", "_y", "_text")
+    # one task reads the bounded sample and trains; the driver sees the weights alone
+    weights = sample.repartition(1).mapInArrow(learn, "name string, kind string, shape array<int>, data binary").toArrow()
+    model = {r["name"]: np.frombuffer(r["data"], r["kind"]).reshape(r["shape"]) for r in weights.to_pylist()}
+    return model or train([], [])
+
+
+def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights of a model trained on all rows, in an order that depends on the rows alone."""
+    rows = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("_id", "_y", "_text"))))
+    for name, x in train([t for _, _, t in rows], [y for _, y, _ in rows]).items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name]), pa.array([x.dtype.str]), pa.array([list(x.shape)], pa.list_(pa.int32())), pa.array([x.tobytes()], pa.binary())],
+            names=["name", "kind", "shape", "data"],
+        )
 
 
 def score(docs: DataFrame, model: dict, *, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -326,14 +339,17 @@ def score(docs: DataFrame, model: dict, *, text: str = "text", name: str = "scor
     alike; an empty table stays empty; a column called like the score is replaced.
     """
     keep = [c for c in (keep or docs.columns) if c != name]
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    names = [f"_c{i}" for i in range(len(keep))]
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").alias("_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
-    return given.mapInArrow(lambda it: score_batches(it, sent.value, name), f"{shape}, `{name}` double")
+    shape = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema if f.name != "_text")
+    scored = given.mapInArrow(lambda it: score_batches(it, sent.value, "_score"), f"{shape}_score double")
+    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], F.col("_score").alias(name))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **kw) -> DataFrame:
     """``docs`` that score below the threshold; columns as given."""
     model = fit(docs, labels, **kw)
-    scored = score(docs, model, text=kw.get("text", "text"), name="_score")
-    return scored.where(F.col("_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = spare(docs.columns, "score")
+    scored = score(docs, model, text=kw.get("text", "text"), name=name)
+    return scored.where(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -181,5 +181,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
 def without_contaminated(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """``docs`` without the rows that hold any window of an item; null texts stay."""
     text = kw.get("text", "text")
-    bad = decontaminate(docs, items, **kw).where("n_hit > 0").select(F.col("digest").alias("_digest")).distinct()
-    return docs.withColumn("_digest", digest(text)).join(bad, "_digest", "left_anti").select(*[docs[c] for c in docs.columns])
+    bad = decontaminate(docs, items, **kw).where("n_hit > 0").select(F.col("digest").alias("bad")).distinct()
+    # the row travels as one column, so no column of it can be mistaken for a helper's
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest(f"`{text}`").alias("own"))
+    return whole.join(bad, F.col("own") == F.col("bad"), "left_anti").select("row.*")

@@ -84,3 +84,27 @@ def test_shards_balance(stages):
         load[r["shard"]] += len((r["text"] or "").encode()) + 1
     largest = max(len((r["text"] or "").encode()) + 1 for r in rows)
     assert max(load.values()) - min(load.values()) <= largest
+
+
+#: Names that helpers of the operators use, or used.
+HELPERS = (
+    "_id _digest _key _heavy _light _crate _text _score _tokens _source _lang _topic _u _n _c0 _c1 row own bad tokens topic u "
+    "probability free ratio score comp least key crate bucket digest hits n_words n_hit items fp pos"
+).split()
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_clashing_columns(spark, sf_dir, n):
+    """Every stage gives the same documents, and every column as it was, whatever else a table holds."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in HELPERS])
+    _, stage = corpus_pipeline.STAGES[n]
+    plain = {r["doc_id"]: r for r in stage(spark, docs, sf_dir).collect()}
+    got = stage(spark, wide, sf_dir)
+    assert got.columns == [*wide.columns, *(["shard"] if n == 4 else [])]
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows} == set(plain)
+    assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in HELPERS)
+    assert all(r[c] == plain[r["doc_id"]][c] for r in rows for c in docs.columns)
