@@ -232,9 +232,12 @@ def test_refinement_never_moves_measured_cells(spark):
 # -- nearest neighbours ------------------------------------------------------------
 
 
-def test_knn_equals_brute_force_with_copies_and_hot_shingles(spark, monkeypatch):
+@pytest.mark.parametrize(("growth", "step"), [(16, 1.25), (2, 1.05)])
+def test_knn_equals_brute_force_with_copies_and_hot_shingles(spark, monkeypatch, growth, step):
     """A third of the rows are copies, one shingle is everywhere, some rows are empty."""
     monkeypatch.setattr(corpus, "RARE_POSTINGS", 3)
+    monkeypatch.setattr(corpus, "ROUND_GROWTH", growth)
+    monkeypatch.setattr(corpus, "SIZE_STEP", step)
     rng = np.random.default_rng(3)
     sets = []
     for i in range(60):
@@ -248,7 +251,9 @@ def test_knn_equals_brute_force_with_copies_and_hot_shingles(spark, monkeypatch)
     asked = [(100 + i, s) for i, s in enumerate(sets[30:])]
     tr = spark.createDataFrame(train, "entity long, shingles array<string>, value double")
     qu = spark.createDataFrame(asked, "entity long, shingles array<string>")
-    nn = corpus.knn_jaccard(tr, qu)
+    rounds: list = []
+    nn = corpus.knn_jaccard(tr, qu, report=rounds)
+    assert len(rounds) > (2 if growth == 2 else 1)
     got = {}
     for r in nn.collect():
         got.setdefault(r["entity"], []).append((r["rank"], r["neighbour"], round(r["sim"], 9)))
