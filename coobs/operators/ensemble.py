@@ -15,7 +15,7 @@ from coobs.operators.tables import KEY
 from coobs.plans.joins import bounded
 from coobs.plans.quantiles import exact_quantiles
 from coobs.plans.ranking import seeded_uniform
-from coobs.plans.ridge import Cells, gcv_alpha, inner_alpha, moment_cells, solve, with_linear
+from coobs.plans.ridge import Cells, gcv_alpha, inner_alpha, moment_cells, solve, with_linear, sse
 from coobs.session import cut_lineage
 
 # They decide results.
@@ -193,6 +193,35 @@ def standard_stack_fits(rows: DataFrame, models: Sequence[str], seed: int = 0) -
     return cells.groupBy(PROPERTY).applyInPandas(fit, FIT_SCHEMA)
 
 
+def nested_standard_fits(rows: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Standardised ridge per (property, left-out fold) with everything nested in it: the penalty of {0.001 .. 100} with
+    the best mean R2 (``score``) of the inner folds of the other rows, and the fit on these rows.
+
+    ``rows`` has ``fold`` and ``inner``; all fits and scores come from the moments of their cells.
+    """
+    features = list(models)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = Cells(pdf, features, "y")
+        fold, inner = pdf["fold"].to_numpy(int), pdf["inner"].to_numpy(int)
+        out = []
+        for k in np.unique(fold):
+            train = fold != k
+            parts = [(cells.pool(train & (inner != j)), cells.pool(train & (inner == j))) for j in np.unique(inner[train])]
+            parts = [(f, v) for f, v in parts if f[0] > 0 and v[0] > 0 and v[2][-1, -1] > 0]
+            if not parts:
+                continue
+            scored = [(float(np.mean([1.0 - sse(v, *solve(f, a, True)) / v[2][-1, -1] for f, v in parts])), -i) for i, a in enumerate(STANDARD_ALPHAS)]
+            best, i = max(scored)
+            a = STANDARD_ALPHAS[-i]
+            b0, b = solve(cells.pool(train), a, standardise=True)
+            out.append((pdf[PROPERTY].iloc[0], int(k), FULL, a, b0, b.tolist(), best))
+        return pd.DataFrame(out, columns=[PROPERTY, "fold", "inner", "alpha", "intercept", "coef", "score"])
+
+    cells = moment_cells(rows.withColumn("y", F.col(VALUE)), [PROPERTY, "fold", "inner"], features, "y")
+    return cells.groupBy(PROPERTY).applyInPandas(fit, f"{FIT_SCHEMA}, score double")
+
+
 # -- partner regression ------------------------------------------------------------
 
 

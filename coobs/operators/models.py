@@ -1,37 +1,31 @@
 """Per-property models that are Spark jobs, behind one small protocol.
 
 ``Model.fit(train, targets) -> state`` and ``Model.predict(state, rows) -> rows + pred``.
-Linear models need one aggregate for all properties and folds; the ML library's trees
-are fitted in a loop over (property, fold), which is what it offers.
+Linear models need one aggregate for all properties and folds; trees are groups of one job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 from typing import Protocol
 
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from coobs import ENTITY, PROPERTY, VALUE
 from coobs.functions.text import family
-from coobs.operators.ensemble import FIT_SCHEMA, FULL, STANDARD_INNER, inner_fold, standard_stack_fits
+from coobs.operators.ensemble import FIT_SCHEMA, FULL, STANDARD_INNER, inner_fold, nested_standard_fits
 from coobs.operators.score import r2_by
 from coobs.plans.gram import packed, wide_ridge, with_wide_linear
 from coobs.plans.joins import bounded
+from coobs.plans.ranking import hash_rank
 from coobs.plans.ridge import MAX_COLUMNS, Cells, moment_cells, solve, with_linear
+from coobs.plans.trees import TEACH_ROWS, fit_trees, predict_trees
 from coobs.session import cut_lineage
 
 RIDGE_MIN_ROWS = 5
-TIER_SMALL = 400
-TIER_MID = 1500
 
 
 class Model(Protocol):
@@ -137,85 +131,7 @@ def wide_ridge_oof(rows: DataFrame, x: str, width: int, alpha: float = 1.0, max_
     return with_wide_linear(rows, fits, [PROPERTY, "fold"], F.col(x), "pred", max_groups * 65, width)
 
 
-# -- trees and other ML estimators -------------------------------------------------
-
-
-def tier(n_rows: int) -> str:
-    if n_rows < TIER_SMALL:
-        return "small"
-    return "mid" if n_rows < TIER_MID else "large"
-
-
-# Capacity by training rows (iterations, depth, rows per leaf).
-BOOSTED = {"small": (900, 4, 5), "mid": (1100, 5, 8), "large": (1200, 6, 10)}
-FOREST = {"small": (600, 2), "mid": (600, 1), "large": (600, 1)}
-
-
-def make_estimator(kind: str, n_rows: int, seed: int, size: float = 1.0):
-    """An unfitted ML estimator; ``size`` scales the number of trees."""
-    t = tier(n_rows)
-    if kind == "gbt":
-        iterations, depth, leaf = BOOSTED[t]
-        return GBTRegressor(
-            featuresCol="features",
-            labelCol=VALUE,
-            maxIter=max(1, int(iterations * size)),
-            maxDepth=depth,
-            stepSize=0.04 if size >= 1 else min(0.3, 0.04 / size),
-            minInstancesPerNode=leaf,
-            subsamplingRate=0.8,
-            seed=seed,
-        )
-    if kind == "meta":  # a shallow learner on top of other predictions
-        return GBTRegressor(
-            featuresCol="features",
-            labelCol=VALUE,
-            maxIter=max(1, int(200 * size)),
-            maxDepth=3,
-            stepSize=0.05 if size >= 1 else min(0.3, 0.05 / size),
-            minInstancesPerNode=5,
-            seed=seed,
-        )
-    if kind == "forest":
-        trees, leaf = FOREST[t]
-        return RandomForestRegressor(
-            featuresCol="features",
-            labelCol=VALUE,
-            numTrees=max(1, int(trees * size)),
-            maxDepth=12,
-            featureSubsetStrategy="0.3",
-            minInstancesPerNode=leaf,
-            bootstrap=False,
-            seed=seed,
-        )
-    if kind == "linear":
-        return LinearRegression(featuresCol="features", labelCol=VALUE, regParam=0.0)
-    raise ValueError(f"unknown kind {kind!r}")
-
-
-@dataclass
-class Fitted:
-    """A fitted estimator, or a constant for degenerate training data."""
-
-    model: object | None
-    constant: float | None
-
-    def predict(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
-        if self.model is None:
-            return rows.withColumn("pred", F.lit(self.constant))
-        packed = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-        return self.model.transform(packed).withColumnRenamed("prediction", "pred").drop("features")
-
-
-def fit_one(train: DataFrame, features: Sequence[str], kind: str, seed: int, size: float = 1.0) -> Fitted:
-    """Fit on one property's rows; fewer than 5 rows or a constant target give the mean."""
-    row = train.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(VALUE).alias("m"), (F.max(VALUE) - F.min(VALUE)).alias("d")
-    ).first()
-    if row["n"] < 5 or row["d"] == 0:
-        return Fitted(None, float(row["m"] or 0.0))
-    packed = VectorAssembler(inputCols=list(features), outputCol="features").transform(train)
-    return Fitted(make_estimator(kind, row["n"], seed, size).fit(packed.select("features", VALUE)), None)
+# -- trees -------------------------------------------------------------------------
 
 
 def per_property_oof(
@@ -226,61 +142,87 @@ def per_property_oof(
     kind: str = "gbt",
     folds: int = 3,
     seed: int = 42,
-    size: float = 1.0,
     key: Sequence[str] = ("entity", "property"),
     augment: DataFrame | None = None,
-    parallelism: int = 4,
+    teach_rows: int = TEACH_ROWS,
 ) -> DataFrame:
     """Fit per (property, fold); predict validation and test; average the fold models on
     test and never refit on everything.  Returns (key.., split, pred).
 
-    ``augment`` rows (with parent folds) join training parts only.
+    All fits are groups of one job.  Per property the ``teach_rows`` rows with the least hashes teach
+    (all, if there are fewer), at the capacity their number asks for.  ``augment`` rows (with parent
+    folds) join training parts only, under the same bound.
     """
-    feats = list(features)
-    clean = cut_lineage(rows.fillna(0.0, subset=feats))
-    clean_test = cut_lineage(test.fillna(0.0, subset=feats))
-
-    def one(job: tuple[str, int]) -> DataFrame:
-        p, k = job
-        mine = clean.where(F.col(PROPERTY) == p)
-        train = mine.where(F.col("fold") != k).select(*feats, VALUE)
-        if augment is not None:
-            extra = augment.where((F.col(PROPERTY) == p) & (F.col("fold") != k))
-            train = train.unionByName(extra.select(*feats, VALUE))
-        fitted = fit_one(train, feats, kind, seed, size)
-        theirs = clean_test.where(F.col(PROPERTY) == p)
-        oof = fitted.predict(mine.where(F.col("fold") == k), feats)
-        tested = fitted.predict(theirs, feats)
-        return oof.select(*key, F.lit("oof").alias("split"), "pred").unionByName(
-            tested.select(*key, F.lit("test").alias("split"), "pred")
-        )
-
-    # independent fits are submitted together, as the library's own cross-validator does
-    jobs = [(p, k) for p in properties for k in range(folds)]
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        parts = pool.map(inheritable_thread_target(rows.sparkSession)(one), jobs)
-    return reduce(DataFrame.unionByName, parts).groupBy(*key, "split").agg(F.avg("pred").alias("pred"))
-
-
-def choose_meta(
-    rows: DataFrame, models: Sequence[str], properties: Sequence[str], seed: int = 0, size: float = 1.0
+    feats, key = list(features), list(key)
+    ours = F.col(PROPERTY).isin(*properties)
+    clean = cut_lineage(rows.where(ours).fillna(0.0, subset=feats), "tree_rows")
+    columns = list(dict.fromkeys([*key, PROPERTY, VALUE, "fold", *feats]))
+    teach = bounded_sample(clean.select(*columns), key, teach_rows, seed)
+    if augment is not None:
+        extra = augment.where(ours).fillna(0.0, subset=feats)
+        for c in key:
+            extra = extra if c in extra.columns else extra.withColumn(c, F.lit(None).cast(clean.schema[c].dataType))
+        teach = teach.unionByName(bounded_sample(extra.select(*columns), [*key, VALUE, *feats], teach_rows, seed))
+    jobs = F.sequence(F.lit(0), F.lit(folds - 1))
+    teach = teach.withColumn("job", F.explode(F.filter(jobs, lambda k: k != F.col("fold"))))
+    fits = cut_lineage(fit_trees(teach, [PROPERTY, "job"], feats, VALUE, key, kind, seed), "tree_fits")
+    asks = clean.select(*key, *[c for c in (PROPERTY,) if c not in key], *feats, F.col("fold").alias("job"), F.lit("oof").alias("split"))
+    asked = test.where(ours).fillna(0.0, subset=feats).withColumn("job", F.explode(jobs)).withColumn("split", F.lit("test"))
+    every = asks.unionByName(asked.select(*asks.columns))
+    found = predict_trees(every, fits, [PROPERTY, "job"], feats, [*key, "job", "split"], len(properties) * folds)
+    return found.groupBy(*key, "split").agg(F.avg("pred").alias("pred"))
+
+
+def bounded_sample(rows: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
+    """Per property the ``n`` rows with the least hashes of ``key``; all, if there are fewer."""
+    ranked = hash_rank(rows, list(key), seed, [PROPERTY], rank="_rank")
+    return ranked.where(F.col("_rank") < n).drop("_rank")
+
+
+def chosen_stack(
+    rows: DataFrame, models: Sequence[str], properties: Sequence[str], seed: int = 0, teach_rows: int = TEACH_ROWS
 ) -> DataFrame:
-    """Per property the mean R2 of three inner folds for the standardised ridge and for
-    shallow boosted trees on the same predictions, and which of them is better."""
-    n = len(properties)
-    inner = cut_lineage(rows.withColumn("fold", inner_fold(STANDARD_INNER, seed)), "meta")
-    fits = standard_stack_fits(inner, models, seed)
-    ridge = with_linear(inner, fits, [PROPERTY, "fold"], models, "pred", n * 65)
-    trees = per_property_oof(
-        inner, inner.limit(0), models, properties, kind="meta", folds=STANDARD_INNER, seed=seed, size=size
-    ).where("split = 'oof'")
-    boosted = inner.join(trees.drop("split"), [ENTITY, PROPERTY])
-
-    def nested(df: DataFrame, name: str) -> DataFrame:
-        return r2_by(df, [PROPERTY, "fold"]).groupBy(PROPERTY).agg(F.avg("r2").alias(name))
-
-    return nested(ridge, "ridge_score").join(nested(boosted, "tree_score"), PROPERTY).withColumn(
-        "meta", F.when(F.col("tree_score") > F.col("ridge_score"), "trees").otherwise("ridge")
+    """Every row stacked by the learner its outer fold chose: (key.., fold, ``ridge_score``, ``tree_score``, ``meta``, ``stacked``).
+
+    For each outer fold, on its training rows only: three inner folds give the mean R2 of the standardised ridge at its
+    best penalty and of shallow boosted trees on the same predictions; the better one (the ridge on a tie)
+    is fitted on all training rows and predicts the fold's own rows.
+    """
+    feats, n = list(models), len(properties)
+    given = rows.where(F.col(PROPERTY).isin(*properties)).withColumn("inner", inner_fold(STANDARD_INNER, seed))
+    given = cut_lineage(given.select(ENTITY, PROPERTY, VALUE, "fold", "inner", *feats), "meta_rows")
+    ridge = cut_lineage(nested_standard_fits(given, feats), "meta_ridge")
+
+    outer = given.select("fold").distinct().agg(F.sort_array(F.collect_list("fold"))).first()[0] or []
+    if not outer:  # no rows, no folds
+        none = F.lit(None).cast("double")
+        return given.select(ENTITY, PROPERTY, "fold", none.alias("ridge_score"), none.alias("tree_score"), F.lit("ridge").alias("meta"), none.alias("stacked"))
+    inner = [FULL, *range(STANDARD_INNER)]
+    pairs = F.array(*[F.struct(F.lit(k).alias("outer"), F.lit(j).alias("part")) for k in outer for j in inner])
+    teach = bounded_sample(given, [ENTITY, PROPERTY], teach_rows, seed)
+    seen = F.filter(pairs, lambda p: (p["outer"] != F.col("fold")) & (p["part"] != F.col("inner")))
+    teach = teach.withColumn("job", F.explode(seen)).select("*", "job.outer", "job.part").drop("job")
+    fits = cut_lineage(fit_trees(teach.withColumnRenamed("part", "held"), [PROPERTY, "outer", "held"], feats, VALUE, [ENTITY], "meta", seed), "meta_trees")
+    # a row is asked by the fits that held it out: one of each other outer fold, and that of its own fold
+    held = F.filter(
+        pairs,
+        lambda p: ((p["outer"] == F.col("fold")) & (p["part"] == FULL)) | ((p["outer"] != F.col("fold")) & (p["part"] == F.col("inner"))),
+    )
+    asks = given.withColumn("job", F.explode(held)).select(ENTITY, PROPERTY, VALUE, "fold", *feats, F.col("job.outer").alias("outer"), F.col("job.part").alias("held"))
+    keep = [ENTITY, PROPERTY, VALUE, "fold", "outer", "held"]
+    trees = cut_lineage(predict_trees(asks, fits, [PROPERTY, "outer", "held"], feats, keep, n * len(outer) * len(inner)), "meta_asked")
+    scores = r2_by(trees.where(F.col("held") != FULL), [PROPERTY, "outer", "held"]).groupBy(PROPERTY, "outer").agg(F.avg("r2").alias("tree_score"))
+    scores = cut_lineage(ridge.select(PROPERTY, F.col("fold").alias("outer"), F.col("score").alias("ridge_score")).join(scores, [PROPERTY, "outer"], "left"), "meta_scores")
+    chosen = scores.select(
+        PROPERTY, F.col("outer").alias("fold"), "ridge_score", "tree_score",
+        F.when(F.col("tree_score") > F.col("ridge_score"), "trees").otherwise("ridge").alias("meta"),
+    )
+    linear = with_linear(given, ridge, [PROPERTY, "fold"], feats, "_ridge", n * 65)
+    own = trees.where(F.col("held") == FULL).select(ENTITY, PROPERTY, F.col("pred").alias("_trees"))
+    both = linear.join(own, [ENTITY, PROPERTY], "left").join(bounded(chosen, n * 65), [PROPERTY, "fold"], "left")
+    return both.select(
+        ENTITY, PROPERTY, "fold", "ridge_score", "tree_score", "meta",
+        F.when(F.col("meta") == "trees", F.col("_trees")).otherwise(F.col("_ridge")).alias("stacked"),
     )
 
 

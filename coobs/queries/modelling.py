@@ -80,14 +80,14 @@ def _split(spark, sf_dir):
 @query("mdl_2_boosted_trees")
 def mdl_2(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    out = models.per_property_oof(train, test, FEATURES, fx.AMOUNTS, kind="gbt", folds=3, size=0.002)
+    out = models.per_property_oof(train, test, FEATURES, fx.AMOUNTS, kind="gbt", folds=3)
     return rounded(out)
 
 
 @query("mdl_3_randomised_forest")
 def mdl_3(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    out = models.per_property_oof(train, test, FEATURES, fx.AMOUNTS, kind="forest", folds=3, size=0.01)
+    out = models.per_property_oof(train, test, FEATURES, fx.AMOUNTS, kind="forest", folds=3)
     return rounded(out)
 
 
@@ -151,6 +151,7 @@ def run_ensemble(spark, sf_dir):
 
 @query("xf_17_meta_choice")
 def xf_17_meta(spark, sf_dir):
-    """Ridge against shallow trees as the stacking learner, by nested score."""
+    """Rows stacked by ridge or shallow trees, whichever the outer fold's training rows chose."""
     m = fx.order_models(spark, sf_dir).drop("qty").withColumnRenamed("qty_model", "qty")
-    return rounded(models.choose_meta(m.select(*KEY, VALUE, *fx.MODELS), fx.MODELS, fx.AMOUNTS, size=0.02), 4)
+    out = models.chosen_stack(m.select(*KEY, VALUE, "fold", *fx.MODELS), fx.MODELS, fx.AMOUNTS)
+    return rounded(out, 4)

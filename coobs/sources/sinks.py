@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,25 +33,57 @@ class OutputRejected(ValueError):
 
 
 def write_output(out: DataFrame, test: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
-    """Write (id, target) after row-count, finiteness and unique-id checks (one job)."""
+    """Write (id, target) after row-count, finiteness and unique-id checks.
+
+    ``out`` is computed once: its rows go to a folder beside ``path`` and are counted on the way,
+    and the folder takes the place of ``path`` only if every check holds.  A rejected output, or a
+    job that fails, leaves what was there before.
+    """
+    spark = out.sparkSession
     ids = out.groupBy("id").agg(
-        F.count(F.lit(1)).alias("_n"), F.count(finite(F.col("target"))).alias("_ok")
+        F.count(F.lit(1)).alias("_n"), F.count(finite(F.col("target"))).alias("_ok"), F.first("target").alias("target")
     )
-    row = (
-        ids.join(test.select("id", F.lit(1).alias("_t")), "id", "full_outer")
-        .agg(
-            F.sum(F.when(F.col("_n").isNull(), 1).otherwise(0)).alias("missing"),
-            F.sum(F.when(F.col("_t").isNull(), 1).otherwise(0)).alias("extra"),
-            F.sum(F.when(F.col("_n") > 1, 1).otherwise(0)).alias("duplicate"),
-            F.sum(F.when(F.col("_ok") < F.col("_n"), 1).otherwise(0)).alias("not_finite"),
-        )
-        .first()
+    joined = ids.join(test.select("id", F.lit(1).alias("_t")).distinct(), "id", "full_outer")
+    seen = Observation()
+    count = lambda wrong: F.coalesce(F.sum(F.when(wrong, 1).otherwise(0)), F.lit(0))
+    checked = joined.observe(
+        seen,
+        count(F.col("_n").isNull()).alias("missing"),
+        count(F.col("_t").isNull()).alias("extra"),
+        count(F.col("_n") > 1).alias("duplicate"),
+        count(F.col("_ok") < F.col("_n")).alias("not_finite"),
     )
-    wrong = {k: v for k, v in row.asDict().items() if v}
-    if wrong:
-        raise OutputRejected(f"output not written: {wrong}")
-    out.select("id", "target").write.mode("overwrite").format(fmt).save(path)
-    return out.sparkSession.read.format(fmt).load(path)
+    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex[:12]}.staged"
+    try:
+        checked.select("id", "target").write.format(fmt).save(staged)
+        wrong = {k: v for k, v in seen.get.items() if v}
+        if wrong:
+            raise OutputRejected(f"output not written: {wrong}")
+        _replace(spark, staged, path)
+    finally:
+        _hadoop(spark, staged)[0].delete(_hadoop(spark, staged)[1], True)
+    return spark.read.format(fmt).load(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path, as Spark's writers see it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _replace(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a written folder in the place of another; the old one goes last."""
+    (fs, new), (_, target) = _hadoop(spark, staged), _hadoop(spark, path)
+    _, old = _hadoop(spark, f"{staged}.old")
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"cannot move {staged} to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def differing_rows(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> DataFrame:
@@ -94,8 +127,11 @@ def append_run(
 
 
 def write_predictions(preds: DataFrame, path: str) -> DataFrame:
-    """Long prediction store, partitioned by model so a blend reads only its members."""
-    preds.write.mode("overwrite").partitionBy("model").parquet(path)
+    """Long prediction store, partitioned by model so a blend reads only its members.
+
+    Only the models in ``preds`` are replaced, so models are written one by one and again at will.
+    """
+    preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
     return preds.sparkSession.read.parquet(path)
 
 

@@ -1,6 +1,8 @@
 """Guards with negative controls, ridge paths against numpy, nearest neighbours against
 brute force, missing values and writers."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -229,6 +231,44 @@ def test_refinement_never_moves_measured_cells(spark):
         assert (out[e]["y"] == y) or not known
 
 
+# -- sinks -------------------------------------------------------------------------
+
+
+def test_rejected_output_leaves_the_old_one(spark):
+    test = spark.createDataFrame([(1,), (2,)], "id long")
+    path = scratch_path(spark, "out")
+    calls = spark.sparkContext.accumulator(0)
+
+    def table(rows):
+        def touch(batches):
+            for b in batches:
+                calls.add(b.num_rows)
+                yield b
+
+        return spark.createDataFrame(rows, "id long, target double").coalesce(1).mapInArrow(touch, "id long, target double")
+
+    sinks.write_output(table([(1, 0.5), (2, 1.5)]), test, path)
+    assert calls.value == 2  # what was checked is what is written
+    for bad in ([(1, 9.0)], [(1, 9.0), (2, 9.0), (3, 9.0)], [(1, 9.0), (2, 9.0), (2, 9.0)], [(1, 9.0), (2, float("nan"))], [(1, 9.0), (2, None)], []):
+        with pytest.raises(sinks.OutputRejected):
+            sinks.write_output(table(bad), test, path)
+        assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 0.5), (2, 1.5)]
+    sinks.write_output(table([(2, 3.0), (1, 2.0)]), test, path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 2.0), (2, 3.0)]
+    folder = os.path.dirname(path)
+    assert not [f for f in os.listdir(folder) if f.startswith(os.path.basename(path)) and f != os.path.basename(path)]
+
+
+def test_prediction_store_replaces_only_the_models_written(spark):
+    path = scratch_path(spark, "preds")
+    table = lambda model, *preds: spark.createDataFrame([(i, p, model) for i, p in enumerate(preds)], "id int, pred double, model string")
+    sinks.write_predictions(table("a", 1.0, 2.0), path)
+    sinks.write_predictions(table("b", 3.0), path)
+    for _ in range(2):
+        store = sinks.write_predictions(table("a", 5.0), path)
+        assert sorted((r["model"], r["pred"]) for r in store.collect()) == [("a", 5.0), ("b", 3.0)]
+
+
 # -- nearest neighbours ------------------------------------------------------------
 
 
