@@ -253,10 +253,16 @@ def partner_design(
     )
 
 
-def ridge_fits(
+CANDIDATES = f"{PROPERTY} string, fold int, alpha double, n double, mean array<double>, intercept double, coef array<double>, inverse array<double>"
+#: Rows whose leverages one task takes at once.
+LEVERAGE_ROWS = 100_000
+
+
+def ridge_candidates(
     rows: DataFrame, features: Sequence[str], alphas: Sequence[float] = PARTNER_ALPHAS, min_train: int = PARTNER_MIN_TRAIN
 ) -> DataFrame:
-    """Cross-fitted ridge per property; the penalty by generalised cross-validation."""
+    """The ridge of every penalty per (property, left-out fold), with what a row's leverage needs:
+    the training mean and the inverse of the penalised moments."""
     features = list(features)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -264,15 +270,59 @@ def ridge_fits(
         fold = pdf["fold"].to_numpy(int)
         out = []
         for k in [*np.unique(fold), FULL]:
-            stats = cells.pool(fold != k)
-            if stats[0] >= min_train:
-                a = gcv_alpha(stats, alphas)
+            stats = n, mean, m = cells.pool(fold != k)
+            if n < min_train:
+                continue
+            for a in alphas:
                 b0, b = solve(stats, a)
-                out.append((pdf[PROPERTY].iloc[0], int(k), FULL, a, b0, b.tolist()))
-        return pd.DataFrame(out, columns=[PROPERTY, "fold", "inner", "alpha", "intercept", "coef"])
+                inverse = np.linalg.pinv(m[:-1, :-1] + a * np.eye(len(b)))
+                out.append((pdf[PROPERTY].iloc[0], int(k), a, n, mean[:-1].tolist(), b0, b.tolist(), inverse.ravel().tolist()))
+        return pd.DataFrame(out, columns=[PROPERTY, "fold", "alpha", "n", "mean", "intercept", "coef", "inverse"])
 
     cells = moment_cells(rows.withColumn("y", F.col(VALUE)), [PROPERTY, "fold"], features, "y")
-    return cells.groupBy(PROPERTY).applyInPandas(fit, FIT_SCHEMA)
+    return cells.groupBy(PROPERTY).applyInPandas(fit, CANDIDATES)
+
+
+def leave_one_out(rows: DataFrame, candidates: DataFrame, features: Sequence[str], max_groups: int = 1000) -> DataFrame:
+    """(property, fold, alpha, ``loo``): squared leave-one-out errors, summed over the rows that taught the fit.
+
+    Without row i a linear fit misses it by its residual over one minus its leverage
+    1/n + (x - mean)' inverse (x - mean), so all refits cost one pass over the rows.  Rows meet their property's
+    candidates in groups salted to ``LEVERAGE_ROWS``; what comes back are sums.
+    """
+    features = list(features)
+    salts = F.ceil(F.count(F.lit(1)) / LEVERAGE_ROWS).cast("int").alias("_salts")
+    sizes = bounded(rows.groupBy(PROPERTY).agg(salts), max_groups)
+    salted = rows.select(PROPERTY, "fold", VALUE, *features, ENTITY).join(sizes, PROPERTY)
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(ENTITY, VALUE), F.col("_salts")).cast("int")).drop("_salts", ENTITY)
+    spread = candidates.join(sizes, PROPERTY).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+
+    def sums(mine: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        mine = mine.dropna(subset=[*features, VALUE])
+        x, y, fold = mine[features].to_numpy(float), mine[VALUE].to_numpy(float), mine["fold"].to_numpy()
+        out = []
+        for f in fits.itertuples():
+            taught = fold != f.fold
+            off = x[taught] - np.asarray(f.mean)
+            leverage = 1.0 / f.n + np.einsum("ij,jk,ik->i", off, np.asarray(f.inverse).reshape(len(features), -1), off)
+            error = (y[taught] - f.intercept - x[taught] @ np.asarray(f.coef)) / np.maximum(1.0 - leverage, 1e-12)
+            out.append((getattr(f, PROPERTY), f.fold, f.alpha, float(error @ error)))
+        return pd.DataFrame(out, columns=[PROPERTY, "fold", "alpha", "loo"])
+
+    on = [PROPERTY, "_salt"]
+    parts = salted.groupBy(*on).cogroup(spread.groupBy(*on)).applyInPandas(sums, f"{PROPERTY} string, fold int, alpha double, loo double")
+    return parts.groupBy(PROPERTY, "fold", "alpha").agg(F.sum("loo").alias("loo"))
+
+
+def ridge_fits(
+    rows: DataFrame, features: Sequence[str], alphas: Sequence[float] = PARTNER_ALPHAS, min_train: int = PARTNER_MIN_TRAIN, max_groups: int = 1000
+) -> DataFrame:
+    """Cross-fitted ridge per property at the penalty of the least leave-one-out error (the smaller one on a tie)."""
+    candidates = cut_lineage(ridge_candidates(rows, features, alphas, min_train), "ridge_candidates")
+    errors = leave_one_out(rows, candidates, features, max_groups)
+    best = errors.groupBy(PROPERTY, "fold").agg(F.min(F.struct("loo", "alpha")).alias("_b")).select(PROPERTY, "fold", F.col("_b.alpha").alias("alpha"))
+    chosen = candidates.join(best, [PROPERTY, "fold", "alpha"])
+    return chosen.select(PROPERTY, "fold", F.lit(FULL).alias("inner"), "alpha", "intercept", "coef")
 
 
 def partner_regression(
@@ -294,7 +344,7 @@ def partner_regression(
     big = rows.join(bounded(sizes.select(PROPERTY), max_groups), PROPERTY, "left_semi")
     design, features = partner_design(big, frame, properties)
     design = cut_lineage(design, "partner_design")
-    fits = cut_lineage(ridge_fits(design, features), "partner_fits")
+    fits = cut_lineage(ridge_fits(design, features, max_groups=max_groups), "partner_fits")
     est = with_linear(design, fits, [PROPERTY, "fold"], features, "estimate", max_groups * 65).drop(*features)
     est = cut_lineage(est, "partner_estimates")
     weights = cut_lineage(plain_weights(est, shrink), "partner_weights")

@@ -8,7 +8,7 @@ from coobs import ENTITY, PROPERTY, VALUE
 from coobs.operators import ensemble as E, relations as R, score, tables
 from coobs.plans.ridge import with_linear
 from coobs.queries import fixtures as fx
-from coobs.queries.registry import oracle, query, ridge2_fit, ridge2_gcv, ridge2_stats, rounded, rs
+from coobs.queries.registry import oracle, query, ridge2_fit, ridge2_gcv, ridge2_loo, ridge2_stats, rounded, rs
 
 KEY = [ENTITY, PROPERTY]
 N = len(fx.AMOUNTS)
@@ -511,7 +511,7 @@ _P2 = {
             FROM order_models m JOIN order_frame_wide w ON w.entity = m.entity WHERE m.property IN ('gross', 'net')""",
     "st": f"""SELECT k.property, k.fold, {ridge2_stats("r.value", "r.x", "r.f")} FROM (SELECT DISTINCT property, fold FROM d) k
               JOIN d r ON r.property = k.property AND r.fold <> k.fold GROUP BY k.property, k.fold""",
-    "fit": ridge2_gcv("st", "property, fold"),
+    "fit": ridge2_loo("st", "d", "value", "x", "f"),
     "est": """SELECT d.*, t.b0 + t.b1 * d.x + t.b2 * d.f AS estimate FROM d JOIN fit t ON t.property = d.property AND t.fold = d.fold""",
     "ws": f"""SELECT k.property, k.fold, g.w, sum((r.value - ((1 - g.w) * r.pred + g.w * r.estimate)) ^ 2) AS sse
               FROM (SELECT DISTINCT property, fold FROM est) k JOIN est r ON r.property = k.property AND r.fold <> k.fold

@@ -98,3 +98,16 @@ def ridge2_gcv(source: str, keys: str) -> str:
         f" / (1 - (3 - alpha * (g11 + g22 + 2 * alpha) / {det}) / n) ^ 2"
     )
     return f"SELECT * FROM ({fits}) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {score}, alpha) = 1"
+
+
+def ridge2_loo(source: str, rows: str, y: str, a: str, b: str) -> str:
+    """SQL: the fit per (property, left-out fold) whose penalty of 0.1, 1, 10, 100 has the least leave-one-out error."""
+    fits = ridge2_fit(f"(SELECT * FROM {source} CROSS JOIN (SELECT unnest([0.1, 1.0, 10.0, 100.0]) AS alpha))", "", "alpha")
+    det = "((c.g11 + c.alpha) * (c.g22 + c.alpha) - c.g12 * c.g12)"
+    da, db = f"(r.{a} - c.m1)", f"(r.{b} - c.m2)"
+    leverage = f"(1.0 / c.n + ((c.g22 + c.alpha) * {da} * {da} - 2 * c.g12 * {da} * {db} + (c.g11 + c.alpha) * {db} * {db}) / {det})"
+    miss = f"(r.{y} - c.b0 - c.b1 * r.{a} - c.b2 * r.{b}) / (1 - {leverage})"
+    return (
+        f"SELECT c.* EXCLUDE (err) FROM (SELECT c.*, (SELECT sum(({miss}) ^ 2) FROM {rows} r WHERE r.property = c.property AND r.fold <> c.fold) AS err FROM ({fits}) c) c"
+        " QUALIFY row_number() OVER (PARTITION BY property, fold ORDER BY err, alpha) = 1"
+    )

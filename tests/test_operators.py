@@ -210,6 +210,30 @@ def test_gcv_is_mean_leverage_loo(linear):
     assert ridge.gcv_alpha((len(m), *_stats(m)), E.PARTNER_ALPHAS) == min(scores, key=scores.get)
 
 
+def test_leave_one_out_equals_refits(linear, monkeypatch):
+    """Every row left out and the ridge fitted anew, for all penalties and folds."""
+    monkeypatch.setattr(E, "LEVERAGE_ROWS", 11)
+    pdf, df = linear
+    feats = ["a", "b", "c"]
+    candidates = E.ridge_candidates(df, feats, min_train=5)
+    got = {(r["property"], r["fold"], r["alpha"]): r["loo"] for r in E.leave_one_out(df, candidates, feats).collect()}
+    picked = {(r["property"], r["fold"]): r for r in E.ridge_fits(df, feats, min_train=5).collect()}
+    for p in ("p", "q"):
+        for k in [-1, *sorted(pdf.fold.unique())]:
+            train = pdf[(pdf.property == p) & (pdf.fold != k)]
+            x, y = train[feats].to_numpy(), train.value.to_numpy()
+            errors = {}
+            for a in E.PARTNER_ALPHAS:
+                errors[a] = 0.0
+                for i in range(len(y)):
+                    w0, w = numpy_ridge(np.delete(x, i, 0), np.delete(y, i), a)
+                    errors[a] += (y[i] - w0 - x[i] @ w) ** 2
+                assert got[p, k, a] == pytest.approx(errors[a], rel=1e-6)
+            best = min(errors, key=errors.get)
+            w0, w = numpy_ridge(x, y, best)
+            assert picked[p, k]["alpha"] == best and picked[p, k]["coef"] == pytest.approx(w, rel=1e-7)
+
+
 def test_stack_falls_back_to_the_mean(linear):
     pdf, df = linear
     m = df.select("entity", "property", "value", "fold", F.col("value").alias("m1"), (F.col("value") + 4).alias("m2"))
