@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coobs import ENTITY, PROPERTY, VALUE
 from coobs.operators import folds, models, relations as R
+from coobs.plans import vectors
 from coobs.plans.moments import fold_moments, leave_fold_out
 from coobs.plans.ranking import hash_sample, top_k
 from coobs.queries import fixtures as fx
@@ -217,6 +218,55 @@ def srt_2(spark, sf_dir):
     return rounded(R.screen_features(rows, ["n_lines", "qty", "inverse", "square", "flat"], 3))
 
 
+WIDE = 100
+# as many columns as wanted, from two numbers of an order
+def _wide_sql(j: str) -> str:
+    return f"CAST((CAST(r.qty AS BIGINT) * ({j} + 1) + CAST(r.n_lines AS BIGINT) * {j}) % 101 AS DOUBLE)"
+
+
+def wide_features(n: int = WIDE):
+    """The same in Spark, as one array."""
+    q, m = F.col("qty").cast("bigint"), F.col("n_lines").cast("bigint")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: ((q * (j + 1) + m * j) % 101).cast("double"))
+
+
+@query(
+    "srt_2_wide_screen",
+    oracle(
+        f"""SELECT property, fold, feature, {rs('abs_corr')} AS abs_corr, rank FROM
+            (SELECT *, row_number() OVER (PARTITION BY property, fold ORDER BY round(abs_corr, 12) DESC, feature) AS rank FROM
+             (SELECT k.property, k.fold, CAST(j AS INTEGER) AS feature, coalesce(abs(corr({_wide_sql('j')}, r.value)), 0.0) AS abs_corr
+              FROM (SELECT DISTINCT property, fold FROM order_folds) k CROSS JOIN (SELECT unnest(range({WIDE})) AS j)
+              JOIN order_folds r ON r.property = k.property AND r.fold <> k.fold GROUP BY 1, 2, 3)) WHERE rank <= 5""",
+        "order_folds",
+    ),
+)
+def srt_2_wide(spark, sf_dir):
+    """The five most correlated of a hundred features held as one array."""
+    rows = fx.order_folds(spark, sf_dir)
+    return rounded(vectors.screen_vectors(rows, wide_features(), F.col(VALUE), PROPERTY, 5))
+
+
+@query(
+    "xf_19_wide_standardisation",
+    oracle(
+        f"""SELECT r.entity, r.property, {rs(f"sum(greatest(least(({_wide_sql('s.j')} - s.mu) / s.sd, 10), -10) * (s.j + 1))")} AS checksum,
+            count(s.sd) AS n_features FROM order_folds r JOIN
+            (SELECT k.fold, j, avg({_wide_sql('j')}) AS mu, nullif(stddev_pop({_wide_sql('j')}), 0) AS sd FROM (SELECT DISTINCT fold FROM order_folds) k
+             CROSS JOIN (SELECT unnest(range({WIDE})) AS j) JOIN order_folds r ON r.fold <> k.fold GROUP BY 1, 2) s ON s.fold = r.fold
+            GROUP BY r.entity, r.property""",
+        "order_folds",
+    ),
+)
+def xf_19_wide(spark, sf_dir):
+    """A hundred features held as one array, standardised by the other folds' rows; a weighted sum per row."""
+    rows = fx.order_folds(spark, sf_dir).withColumn("x", wide_features())
+    out = vectors.standardise_vectors(rows, "x", WIDE, fx.FOLDS)
+    weighted = F.aggregate(F.zip_with("z", F.sequence(F.lit(1), F.lit(WIDE)), lambda z, j: z * j), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    known = F.size(F.filter("z", lambda z: z.isNotNull())).cast("bigint")
+    return rounded(out.select(ENTITY, PROPERTY, weighted.alias("checksum"), known.alias("n_features")))
+
+
 @query(
     "srt_3_extreme_picks",
     oracle(
