@@ -11,22 +11,38 @@ from pyspark.sql import functions as F
 from coobs import ENTITY, PROPERTY
 from coobs.operators import ensemble as E, models as M, relations as R, score, tables
 from coobs.plans.joins import bounded
-from coobs.session import cut_lineage
+from coobs.session import cut_lineage, scratch_path
 
 KEY = [ENTITY, PROPERTY]
 
 
+def fold_table(rows: DataFrame) -> DataFrame:
+    """``rows`` written once in one folder per (property, fold): a fit lists the folders it needs, so what it
+    reads does not grow with the number of properties and folds."""
+    path = scratch_path(rows.sparkSession, "fold_table")
+    # a pair is one task's worth of files at least, and more where it is large
+    rows.repartition(PROPERTY, "fold").write.partitionBy(PROPERTY, "fold").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
 def cross_validate(
-    rows: DataFrame, model: M.Model, folds: int, properties: Sequence[str]
+    rows: DataFrame, model: M.Model, folds: int, properties: Sequence[str], own_rows: bool = True
 ) -> DataFrame:
     """Out-of-fold prediction of each row by any model of the protocol: per (property,
-    fold) it is fitted on the table without that property's own fold rows."""
+    fold) it is fitted without that property's own fold rows.
+
+    The table of folds is written once, by (property, fold).  A model that learns a property from
+    its rows alone (``own_rows``) is given these, and reads no other folder; else it sees all but the
+    held-out rows.
+    """
+    table = fold_table(rows)
     out = None
     for p in properties:
         for k in range(folds):
-            state = model.fit(tables.held_out_view(rows, k, p), targets=[p])
-            held = rows.where((F.col(PROPERTY) == p) & (F.col("fold") == k))
-            part = model.predict(state, held).select(*rows.columns, "pred")
+            mine = table.where(F.col(PROPERTY) == p)
+            train = mine.where(F.col("fold") != k) if own_rows else tables.held_out_view(table, k, p)
+            state = model.fit(train, targets=[p])
+            part = model.predict(state, mine.where(F.col("fold") == k)).select(*rows.columns, "pred")
             out = part if out is None else out.unionByName(part)
     return out
 

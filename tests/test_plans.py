@@ -119,3 +119,40 @@ def test_period_and_least_rotation(spark):
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = ranking.top_k(skewed(spark), ["property"], [F.desc("value")], 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_fits_read_their_own_folders_alone(spark):
+    """The files of a fit do not grow with the number of properties."""
+    from coobs.operators import models, runs
+
+    def rows(properties):
+        data = [(f"e{i}", f"p{p}", float(i * p % 7), i % 3, float(i)) for p in range(properties) for i in range(30)]
+        return spark.createDataFrame(data, "entity string, property string, value double, fold int, x double")
+
+    def files(df):
+        scans, plan = [], df._jdf.queryExecution()
+        df.collect()
+        todo = [plan.executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                node = node.executedPlan()
+            if node.nodeName().endswith("QueryStage"):
+                node = node.plan()
+            if node.metrics().contains("numFiles"):
+                scans.append(node.metrics().apply("numFiles").value())
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        return sum(scans)
+
+    seen = {}
+    for n in (2, 9):
+        table = runs.fold_table(rows(n))
+        seen[n] = files(table.where("property = 'p1' AND fold <> 0").groupBy().sum("value"))
+        assert sorted(table.collect()) == sorted(rows(n).collect())
+    assert seen[2] == seen[9] == 2
+    model = models.Ridge(("x",), max_groups=9)
+    a = runs.cross_validate(rows(3), model, 3, ["p0", "p1", "p2"])
+    b = runs.cross_validate(rows(3), model, 3, ["p0", "p1", "p2"], own_rows=False)
+    key = lambda r: (r["property"], r["entity"])
+    assert [round(r["pred"], 9) for r in sorted(a.collect(), key=key)] == [round(r["pred"], 9) for r in sorted(b.collect(), key=key)]
