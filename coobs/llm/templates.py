@@ -4,9 +4,11 @@ A token is an opening tag, a closing tag or a run of text, told apart by the pat
 stands in.  Tokens of a host that occur equally often on every page (equal occurrence vectors)
 form a class; a class that frames content, holding opening and closing tags, and covers most
 pages of the host is valid, and valid classes nest by their paths into the host's template.  What the
-template leaves open are slots: their text is content, unless the elements around it are page
-furniture.  Occurrence vectors are compared by sums over pages, which combine before the
-shuffle, so no task ever holds the pages of a host.
+template leaves open are slots: their text is content, inside an article element and outside; a run
+that the template holds is not, wherever it stands.  Elements that HTML defines as furniture never
+hold content; class and id names decide only where the template does not.  A host of few pages takes the
+template of its registered domain.  Occurrence vectors are compared by sums over pages, which
+combine before the shuffle, so no task ever holds the pages of a host.
 """
 
 from __future__ import annotations
@@ -18,16 +20,17 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coobs.llm.digest_array import host_of
 from coobs.llm.tables import cut_lineage
 
-#: Pages a host needs before repeated text counts as template, and the share that must hold it.
-MIN_PAGES, COVER = 10, 0.5
-#: Hosts whose templates are broadcast; beyond it the lookup is a shuffle join.
-BROADCAST_HOSTS = 20_000
+#: Pages a host needs for a template of its own (else the domain's serves), and the share that must hold a token; an article's
+#: own text must repeat on more of them.
+MIN_PAGES, COVER, COVER_INSIDE = 10, 0.5, 0.8
+#: Hosts, and bytes of tokens, whose templates are broadcast; beyond either the lookup is a shuffle join.
+BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 32 << 20
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,12 +47,43 @@ NAMES = re.compile(
 )
 
 
+# Names that tell furniture even inside an article, words that may stand beside any name, and names of reader comments.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs"
+    " sidebar cookie cookies consent popup modal overlay newsletter subscribe signup share sharing social related recommended widget toolbar pagination pager".split()
+)
+BESIDE = frozenset("area bar block body bottom box container content group inner item items left list outer panel right section top unit wrap wrapper".split())
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: What kind of furniture an element is, or stands in.
+CONTENT, BY_NAME, BY_ELEMENT, BY_COMMENT = 0, 1, 2, 3
+
+
+def named(tag: str, label: str, inside: bool) -> int:
+    """The kind of furniture that class, id and role names tell.
+
+    Outside articles any part of a name will do.  Inside, a section's name is often its heading, so a
+    name must be one of ``STRONG`` there, and all its parts must be names or words beside them.
+    """
+    if not label or not NAMES.search(label):
+        return CONTENT
+    parts = [re.sub(r"\d+$", "", p) for p in re.split(r"[-_\s]+", label)]
+    if COMMENTS & set(parts):
+        return BY_COMMENT
+    if not inside:
+        return BY_NAME
+    for name in label.split():
+        of = [p for p in (re.sub(r"\d+$", "", p) for p in re.split(r"[-_]+", name)) if p and p not in BESIDE]
+        if of and all(p in STRONG if tag in ("section", "h1", "h2", "h3", "h4", "h5", "h6") else NAMES.search(p) for p in of):
+            return BY_NAME
+    return CONTENT
+
+
 class Page(HTMLParser):
     """Tokens of a page, and its text runs with what is around them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool]] = []  # element, path, furniture
+        self.stack: list[tuple[str, str, int, bool]] = []  # element, path, kind of furniture, in article or main
         self.tokens: Counter = Counter()
         self.kinds: dict[int, int] = {}
         self.runs: list[tuple[int, str, bool, bool, int]] = []  # role, text, furniture, in main, block
@@ -64,7 +98,7 @@ class Page(HTMLParser):
 
     def close(self, depth: int) -> None:
         while len(self.stack) > depth:
-            tag, path, _ = self.stack.pop()
+            tag, path, _, _ = self.stack.pop()
             self.role(2, path)
             if tag not in INLINE:
                 self.block += 1
@@ -81,12 +115,23 @@ class Page(HTMLParser):
         given = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
         label = " ".join(given.get(k, "") for k in ("class", "id", "role")).strip().lower()
         path = (self.stack[-1][1] if self.stack else "") + "/" + tag + ("." + label if label else "")
-        inner = tag not in ("html", "body", "article", "main")
+        above, inside = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (CONTENT, False)
         unseen = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-        furniture = bool(self.stack and self.stack[-1][2]) or (inner and (tag in FURNITURE or bool(label and NAMES.search(label)))) or unseen
-        # a header inside an article is the article's own heading
-        if tag == "header" and not label and not (self.stack and self.stack[-1][2]) and any(t in ("article", "main") for t, _, _ in self.stack):
-            furniture = unseen
+        if unseen:
+            kind = BY_ELEMENT
+        elif tag in ("article", "main") and not inside:
+            # what wraps an article is no furniture, whatever it is called; but readers' comments may be articles
+            kind = above if above != BY_NAME else CONTENT
+            kind = max(kind, BY_COMMENT if COMMENTS & set(re.split(r"[-_\s]+", label)) else CONTENT)
+        elif tag == "form":
+            kind = max(above, BY_NAME)  # a form may hold the whole page
+        elif tag == "header" and inside and not label and above == CONTENT:
+            kind = CONTENT  # an article's own heading
+        elif tag in FURNITURE:
+            kind = max(above, BY_ELEMENT)
+        else:
+            kind = max(above, named(tag, label, inside) if tag not in ("html", "body") else CONTENT)
+        furniture, inside = kind != CONTENT, inside or tag in ("article", "main")
         self.role(1, path)
         if tag in ("article", "main") and not furniture:
             self.has_main = True
@@ -95,7 +140,7 @@ class Page(HTMLParser):
         elif tag == "br":
             self.runs.append((0, " ", furniture, True, self.block))
         if tag not in VOID:
-            self.stack.append((tag, path, furniture))
+            self.stack.append((tag, path, kind, inside))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash has no meaning in HTML
@@ -109,10 +154,9 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        path, furniture = (self.stack[-1][1], self.stack[-1][2]) if self.stack else ("", False)
-        role = self.role(4, path, " ".join(data.split())) if not data.isspace() else 0
-        main = any(t in ("article", "main") for t, _, _ in self.stack)
-        self.runs.append((role, data, furniture, main, self.block))
+        path, kind, main = self.stack[-1][1:] if self.stack else ("", CONTENT, False)
+        role = self.role(8 if main else 4, path, " ".join(data.split())) if not data.isspace() else 0
+        self.runs.append((role, data, kind != CONTENT, main, self.block))
 
 
 def parsed(html: str) -> Page:
@@ -124,14 +168,20 @@ def parsed(html: str) -> Page:
 
 
 def main_text(page: Page, template: frozenset[int]) -> str:
-    """Content slots as blocks: inside article or main where there is one, else outside the template."""
-    blocks: dict[int, list[str]] = {}
-    for role, data, furniture, main, block in page.runs:
-        if furniture or (not main if page.has_main else role in template):
-            continue
-        blocks.setdefault(block, []).append(data)
-    joined = (" ".join("".join(parts).split()) for parts in blocks.values())
-    return "\n".join(b for b in joined if b)
+    """Content slots as blocks: of article or main where there is one, else of the whole page.
+
+    A page of which the template would leave nothing is a copy of others; it keeps its text.
+    """
+
+    def text(known: frozenset[int]) -> str:
+        blocks: dict[int, list[str]] = {}
+        for role, data, furniture, main, block in page.runs:
+            if not furniture and (main or not page.has_main) and role not in known:
+                blocks.setdefault(block, []).append(data)
+        joined = (" ".join("".join(parts).split()) for parts in blocks.values())
+        return "\n".join(b for b in joined if b)
+
+    return text(template) or (text(frozenset()) if page.has_main else "")
 
 
 def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +210,13 @@ def extract(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], text], names=[*names, "text"])
 
 
+def domain_of(host: Column) -> Column:
+    """The registered domain, by rule: the last two labels."""
+    return F.substring_index(host, ".", -2)
+
+
 def host_templates(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(``host``, ``roles``): the tokens of each host's template."""
+    """(``host``, ``roles``): the tokens of each host's template; a host of few pages has its domain's."""
     given = pages.select(host_of(url).alias("host"), F.xxhash64(html, url).alias("page"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("_html"))
     seen = given.mapInArrow(tokens_of, "host string, page bigint, roles array<bigint>, counts array<int>, kinds array<int>")
     rows = seen.select("host", "page", F.explode(F.arrays_zip("roles", "counts", "kinds")).alias("t")).select("host", "page", "t.*")
@@ -173,9 +228,24 @@ def host_templates(pages: DataFrame, *, url: str = "url", html: str = "html") ->
         F.sum(mark.bitwiseAND(F.lit((1 << 28) - 1))).alias("y"),
         F.first("kinds").alias("kind"),
     )
-    vectors = cut_lineage(vectors.where(f"support >= {MIN_PAGES} * {COVER}"), "template_vectors")
-    sizes = given.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(f"pages >= {MIN_PAGES}")
-    frequent = vectors.join(sizes, "host").where(F.col("support") >= COVER * F.col("pages"))
+    # sums over a host's pages add up to sums over its domain's
+    vectors = cut_lineage(vectors, "template_vectors")  # all of them: what is rare on a host may be frequent on its domain
+    sizes = cut_lineage(given.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "template_hosts")
+    own = valid_classes(vectors, sizes.where(f"pages >= {MIN_PAGES}"))
+    domain = domain_of(F.col("host")).alias("host")
+    wide = vectors.groupBy(domain, "roles").agg(
+        *[F.sum(c).alias(c) for c in ("support", "total", "y")], F.bit_xor("x").alias("x"), F.first("kind").alias("kind")
+    )
+    wide_sizes = sizes.groupBy(domain).agg(F.sum("pages").alias("pages"))
+    shared = valid_classes(wide, wide_sizes.where(f"pages >= {MIN_PAGES}")).withColumnRenamed("host", "domain")
+    few = sizes.where(f"pages < {MIN_PAGES}").select("host", domain_of(F.col("host")).alias("domain"))
+    return own.unionByName(few.join(shared, "domain").select("host", "roles"))
+
+
+def valid_classes(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(``host``, ``roles``) of the classes of equal occurrence vectors that cover enough pages and frame something."""
+    need = F.when(F.col("kind") == 8, COVER_INSIDE).otherwise(COVER)
+    frequent = vectors.join(sizes, "host").where(F.col("support") >= need * F.col("pages"))
     classes = frequent.groupBy("host", "support", "total", "x", "y").agg(F.collect_list("roles").alias("roles"), F.bit_or("kind").alias("kinds"))
     # a valid class frames something: an element opens and closes in it
     valid = classes.where(F.col("kinds").bitwiseAND(F.lit(3)) == 3)
@@ -191,7 +261,8 @@ def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html", keep
     """
     keep = [c for c in (keep or pages.columns) if c not in ("text", html)]
     found = cut_lineage(host_templates(pages, url=url, html=html), "templates").withColumnRenamed("host", "_host")
-    if found.count() <= BROADCAST_HOSTS:
+    hosts, held = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("roles")), F.lit(0))).first()
+    if hosts <= BROADCAST_HOSTS and 8 * held <= BROADCAST_BYTES:
         found = F.broadcast(found)
     names = [f"_c{i}" for i in range(len(keep))]
     given = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], host_of(url).alias("_host"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("_html"))

@@ -264,6 +264,69 @@ def test_templates(spark):
     assert templates.extract_text(pages.limit(0)).count() == 0
 
 
+def test_template_decides_inside_articles(spark):
+    """Repeated runs go wherever they stand, on small hosts too; a wrapper keeps its article; copies keep their text."""
+    page = lambda i, line, n=0: f"<html><body><p>Hi</p><div class='with-sidebar'><article><p>{line}</p><p>Story {i}</p><p>{line} again</p></article></div></body></html>"
+    rows = [(i, "http://big.a.example/", page(i, "Licensed to nobody")) for i in range(12)]
+    rows += [(100 + i, f"http://h{i % 5}.b.example/", page(i, "Small but repeated")) for i in range(15)]
+    rows += [(200 + i, "http://few.c.example/", page(i, "Too few to tell")) for i in range(3)]
+    rows += [(300 + i, "http://copy.d.example/", page(7, "The same page")) for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in templates.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(12)] == [f"Story {i}" for i in range(12)]
+    assert [out[100 + i] for i in range(15)] == [f"Story {i}" for i in range(15)]
+    assert [out[200 + i] for i in range(3)] == [f"Too few to tell\nStory {i}\nToo few to tell again" for i in range(3)]
+    assert {out[300 + i] for i in range(12)} == {"The same page\nStory 7\nThe same page again"}
+
+
+def test_names_only_break_ties():
+    text = lambda h: templates.main_text(templates.parsed(h), frozenset())
+    inner = "<p>One</p><section id='related-work'>Two</section><section id='discussion'>Three</section>"
+    gone = "<div class='ad'>x</div><div class='share-bar'>x</div><aside>x</aside><ul class='comments'><li>x</ul><div class='notice'>x</div>"
+    assert text(f"<div class='layout-with-sidebar'><article>{inner}{gone}</article></div>") == "One\nTwo\nThree"
+    assert text(f"<form id='all'><main>{inner}</main></form>") == "One\nTwo\nThree"
+    assert text("<article><p>a</p></article><div class='comments'><article class='comment'>x</article></div>") == "a"
+    assert text("<main><p>a</p></main><nav><article>x</article></nav>") == "a"
+    assert text("<div class='sidebar'>x</div><p>a</p>") == "a"
+
+
+def test_templates_against_plain_classes(spark):
+    """Occurrence vectors compared one by one, per host and per domain."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(70):
+        host = rng.choice(["one.x.example"] * 4 + [f"s{j}.x.example" for j in range(6)] + ["lone.y.example"])
+        runs = "".join(f"<p>run {rng.randint(0, 3)}</p>" for _ in range(rng.randint(0, 4)))
+        menu = "<ul><li>menu</li></ul>" if rng.random() < 0.8 else ""
+        rows.append((host, f"http://{host}/{i}", f"<html><body>{menu}<article>{runs}<p>only {i}</p></article><p>end</p></body></html>"))
+
+    def plain(pages):
+        """Roles of the classes that cover enough of ``pages`` and frame something."""
+        vectors, kinds = collections.defaultdict(dict), {}
+        for at, p in enumerate(pages):
+            for role, n in p.tokens.items():
+                vectors[role][at] = n
+            kinds |= p.kinds
+        classes = collections.defaultdict(list)
+        for role, v in vectors.items():
+            if len(v) >= (templates.COVER_INSIDE if kinds[role] == 8 else templates.COVER) * len(pages):
+                classes[tuple(sorted(v.items()))].append(role)
+        return {r for c in classes.values() if {1, 2} <= {kinds[r] for r in c} for r in c}
+
+    by_host, by_domain = collections.defaultdict(list), collections.defaultdict(list)
+    for host, _, html in rows:
+        page = templates.parsed(html)
+        by_host[host].append(page)
+        by_domain[host.split(".", 1)[1]].append(page)
+    expect = {}
+    for host, pages in by_host.items():
+        wider = by_domain[host.split(".", 1)[1]]
+        source = pages if len(pages) >= templates.MIN_PAGES else wider if len(wider) >= templates.MIN_PAGES else []
+        if roles := plain(source):
+            expect[host] = roles
+    got = {r["host"]: set(r["roles"]) for r in templates.host_templates(spark.createDataFrame(rows, "h string, url string, html string")).collect()}
+    assert got == expect and any(len(p) < templates.MIN_PAGES for h, p in by_host.items() if h in expect)
+
+
 def test_surrogates(spark):
     cards = "4041894974608795"
     texts = [
