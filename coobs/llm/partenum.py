@@ -140,11 +140,12 @@ def describe(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[p
     """Id, set size, key and histogram of each row; no key for the empty set.
 
     The histogram counts shingles by leading hash bits in one to two bins a shingle, two bins to a
-    byte; it is empty (no bound) if a count is over 15.
+    byte; it is empty (no bound) if a count is over 15.  ``brief`` is the same with two to four shingles
+    a bin: enough to tell most dissimilar sets apart, and small where a set travels once per group.
     """
     hasher = Hasher(table)
     for batch in batches:
-        size, key, hist = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
+        size, key, hist, brief = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [], []
         for lo, hi, data, offsets in text_blocks(batch.column("_text")):
             row, grams = shingle_sets(hasher, data, offsets)
             n, k = set_keys(row, grams, hi - lo)
@@ -154,9 +155,16 @@ def describe(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[p
             base = np.cumsum(1 << bits) - (1 << bits)
             lead = mix(grams ^ np.uint64(0x5151515151)) >> np.uint64(1)
             bins = np.bincount(base[row] + (lead >> (63 - bits[row]).astype(np.uint64)).astype(np.int64), minlength=int((1 << bits).sum()))
-            hist += [b"" if h.max() > 15 else (h[::2] | h[1::2] << 4).astype(np.uint8).tobytes() for h in np.split(bins, base[1:])]
+            for h in np.split(bins, base[1:]):
+                hist.append(nibbles(h))
+                brief.append(nibbles(h.reshape(-1, min(4, len(h) // 2)).sum(axis=1)))
         size, key = np.concatenate(size), np.concatenate(key)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_digest"), pa.array(size, pa.int64()), pa.array(key.view(np.int64), pa.int64(), mask=size == 0), pa.array(hist, pa.binary())], names=["_id", "_digest", "n", "key", "hist"])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_digest"), pa.array(size, pa.int64()), pa.array(key.view(np.int64), pa.int64(), mask=size == 0), pa.array(hist, pa.binary()), pa.array(brief, pa.binary())], names=["_id", "_digest", "n", "key", "hist", "brief"])
+
+
+def nibbles(counts: np.ndarray) -> bytes:
+    """Two counts to a byte; nothing if one is over 15."""
+    return b"" if counts.max() > 15 else (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
 
 
 def unpacked(hist: bytes) -> np.ndarray:
@@ -378,7 +386,7 @@ def candidates(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Data
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2 // PER_TASK)
     given = docs.select(F.col(f"`{doc_id}`").alias("_id"), digest(text).alias("_digest"), F.col(f"`{text}`").alias("_text"))
     kind = given.schema["_id"].dataType.simpleString()
-    rows = cut_lineage(given.mapInArrow(lambda it: describe(it, table), f"_id {kind}, _digest binary, n bigint, key bigint, hist binary"), "partenum_rows")
+    rows = cut_lineage(given.mapInArrow(lambda it: describe(it, table), f"_id {kind}, _digest binary, n bigint, key bigint, hist binary, brief binary"), "partenum_rows")
     # one bucket per task: numbers that Spark's hash deals to different tasks
     dealt = spark.range(40 * tasks).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(tasks))).agg(F.min("label").alias("label"))
     labels = sorted(r["label"] for r in dealt.collect())
@@ -391,7 +399,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Per row its id, digest, set size and component (a set key; null for the empty set)."""
     rows, groups, table = candidates(docs, doc_id, text)
     texts = docs.select(F.col(f"`{text}`").alias("_text"))
-    sizes = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("hist").alias("hist"))
+    sizes = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("brief").alias("brief"))
     sizes = cut_lineage(sizes.join(groups.select(F.explode("members").alias("key")).distinct(), "key", "left_semi"), "partenum_sizes")
 
     def fitting(pairs: DataFrame) -> DataFrame:
@@ -411,10 +419,10 @@ def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # groups that the stars did not join: members of different components, once
     member = groups.select("grp", F.explode("members").alias("key")).join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     split = member.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
-    apart = member.join(split, "grp").join(sizes, "key").select("grp", "key", "comp", "n", "hist")
+    apart = member.join(split, "grp").join(sizes, "key").select("grp", "key", "comp", "n", F.col("brief").alias("hist"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = apart.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(lambda it: cross_pairs(it, 75, 100), "a bigint, b bigint").distinct()
-    rest = cut_lineage(rest.join(star, ["a", "b"], "left_anti"), "partenum_rest")
+    rest = cut_lineage(fitting(rest.join(star, ["a", "b"], "left_anti")), "partenum_rest")
     if not rest.isEmpty():
         links = links.union(similar(rest, texts, table))
         comp = cut_lineage(components(links), "partenum_comp")

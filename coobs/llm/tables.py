@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from coobs.session import cut_lineage
 
-__all__ = ["cut_lineage", "digest", "filter_bits", "spare", "BITS"]
+__all__ = ["cut_lineage", "digest", "filter_bits", "release_memory", "spare", "BITS"]
 
 BITS = 1 << 26
 
@@ -31,6 +33,14 @@ def spare(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def release_memory() -> None:
+    """Give what a worker has freed back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def filter_bits(keys: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
     """A bit set over hashed long keys, of a fixed size whatever the number of keys.
 

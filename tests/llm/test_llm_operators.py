@@ -535,6 +535,47 @@ def test_toxicity_gradient():
         assert g[name].reshape(-1)[i] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=2e-5), name
 
 
+def test_window_scores_are_those_of_the_network():
+    rng = np.random.default_rng(2)
+    p = toxicity.new_model(3)
+    x = np.vstack([rng.normal(size=(40, 2 * toxicity.DIM)), np.zeros(2 * toxicity.DIM)]).astype(np.float32)
+    at = rng.integers(0, 41, (60, toxicity.WINDOW))
+    at[0], at[1, 3:] = 40, 40  # a text without words, and a short one
+    assert np.allclose(toxicity.logits_of(p, x, at), toxicity.forward(p, x, at), atol=1e-5)
+
+
+@pytest.mark.parametrize("size", [0, 1, 31, 32, 33, 36, 37, 100])
+def test_windows_overlap_and_cover(size):
+    at, row, head = toxicity.windows(np.array([0, size]), size)
+    starts = [w[0] for w in at.tolist()]
+    assert starts == sorted(set([*range(0, max(size - toxicity.WINDOW, 0), toxicity.STRIDE), max(size - toxicity.WINDOW, 0)]))
+    assert {i for w in at.tolist() for i in w} - {size} == set(range(size)) and toxicity.STRIDE <= 4
+
+
+def test_words_before_a_passage_do_not_hide_it():
+    """A passage of ten words scores alike wherever it stands in a text."""
+    rng = random.Random(8)
+    bad = ["grobel", "snirk", "vlatsch"]
+    texts, labels = [], []
+    for i in range(300):
+        words = prose(rng, rng.randint(60, 160)).split()
+        if i % 4 == 0:
+            at = rng.randint(0, len(words))
+            words[at:at] = [w for pair in zip(prose(rng, 5).split(), [rng.choice(bad) for _ in range(5)]) for w in pair]
+        texts.append(" ".join(words))
+        labels.append(int(i % 4 == 0))
+    model, words = toxicity.train(texts, labels), toxicity.Words(*toxicity.tables())
+
+    def score(many):
+        blobs = [t.encode() for t in many]
+        return toxicity.score_texts(model, words, np.frombuffer(b"".join(blobs), np.uint8), np.cumsum([0, *map(len, blobs)]))
+
+    passage = " ".join(w for pair in zip(prose(rng, 5).split(), bad + bad[:2]) for w in pair)
+    before, after = prose(rng, 120).split(), prose(rng, 60)
+    moved = score([" ".join([*before[:k], passage, after]) for k in range(0, 120, 3)])
+    assert (moved >= 0.5).all() and (score([" ".join([*before[:k], after]) for k in range(0, 120, 3)]) < 0.5).mean() > 0.9
+
+
 def test_hash_of_words_matches_a_loop():
     from coobs.llm.words import Hasher, alnum_table
 
