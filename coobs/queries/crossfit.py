@@ -397,14 +397,14 @@ def _refine_sql(rounds: int) -> dict[str, str]:
 @query(
     "xf_15_refine_cells",
     oracle(
-        "SELECT entity, " + ", ".join(f"{rs(p, 5)} AS {p}, is_{p}" for p in fx.AMOUNTS) + " FROM c2",
+        "SELECT entity, " + ", ".join(f"{rs(p, 5)} AS {p}, is_{p}" for p in fx.AMOUNTS) + " FROM c3",
         "order_frame_wide",
-        extra=_refine_sql(2),
+        extra=_refine_sql(3),
     ),
 )
 def xf_15(spark, sf_dir):
     frame = R.frame_wide(fx.order_frame(spark, sf_dir), fx.AMOUNTS)
-    return rounded(R.refine_cells(frame, fx.CATALOGUE, fx.AMOUNTS, rounds=2), 5)
+    return rounded(R.refine_cells(frame, fx.CATALOGUE, fx.AMOUNTS, rounds=3), 5)
 
 
 def _stack_rows(spark, sf_dir):

@@ -12,7 +12,7 @@ from coobs.functions.numeric import signed_log1p
 from coobs.functions.text import word_tokens
 from coobs.operators import corpus, ensemble, lineage, score, tables
 from coobs.queries import fixtures as fx
-from coobs.queries.registry import oracle, query, rounded, rs
+from coobs.queries.registry import oracle, query, r2_sql, rounded, rs
 from coobs.session import scratch_path
 from coobs.sources import readers, sinks
 
@@ -822,13 +822,35 @@ def snk_2(spark, sf_dir):
     return rounded(sinks.differing_rows(out, other))
 
 
-@query("snk_3_run_record")
+_RUN = {
+    "fs": f"SELECT property, fold, {r2_sql('value', 'lines')} AS r2 FROM order_models GROUP BY property, fold",
+    "ps": "SELECT property, count(*) AS n_folds, avg(r2) AS mean_r2, stddev_pop(r2) AS std_r2 FROM fs GROUP BY property",
+    "pr": f"SELECT property, count(*) AS n, {r2_sql('value', 'lines')} AS r2 FROM order_models GROUP BY property",
+}
+
+
+@query(
+    "snk_3_run_record",
+    oracle(
+        f"""SELECT 'lines' AS config, CAST(42 AS BIGINT) AS seed, property, {rs('mean_r2')} AS mean_r2, {rs('std_r2')} AS std_r2,
+            (SELECT {rs('avg(r2)')} FROM pr) AS macro_r2, (SELECT {rs('sqrt(sum((std_r2 / sqrt(n_folds)) ^ 2)) / 5', 8)} FROM ps) AS noise_floor,
+            true AS dated FROM ps""",
+        "order_models",
+        extra=_RUN,
+    ),
+)
 def snk_3(spark, sf_dir):
+    """A run record, written and read again, as one row per property."""
     rows = fx.order_models(spark, sf_dir).withColumn("pred", F.col("lines"))
     scores = score.fold_scores(rows)
     macro = score.macro_r2(score.r2_by(rows, [PROPERTY]))
     noise = score.noise_floor(scores, len(fx.AMOUNTS))
-    return sinks.append_run(spark, scratch_path(spark, "runs"), "lines", 42, scores, macro, noise, 0.0)
+    record = sinks.append_run(spark, scratch_path(spark, "runs"), "lines", 42, scores, macro, noise, 0.0)
+    out = record.select("*", F.explode("per_property").alias(PROPERTY, "mean_r2")).select(
+        "config", "seed", PROPERTY, "mean_r2", F.element_at("per_property_std", F.col(PROPERTY)).alias("std_r2"), "macro_r2", "noise_floor",
+        F.col("run_at").rlike(r"^\d{8}-\d{6}$").alias("dated"),
+    )
+    return rounded(out, noise_floor=8)
 
 
 @query(
@@ -865,14 +887,19 @@ def snk_5(spark, sf_dir):
     )
 
 
-@query("snk_6_run_report")
+@query(
+    "snk_6_run_report",
+    oracle(f"SELECT 'r2' AS section, property, n, {rs('r2')} AS r2 FROM pr", "order_models", extra=_RUN),
+)
 def snk_6(spark, sf_dir):
+    """A report document, read again: the rows of one of its two sections."""
     rows = fx.order_models(spark, sf_dir).withColumn("pred", F.col("lines"))
-    return sinks.run_report(
+    report = sinks.run_report(
         {
             "r2": rounded(score.r2_by(rows, [PROPERTY])),
             "profile": rounded(tables.profile(fx.meas(spark, sf_dir))),
         }
     )
-
-
+    sections = report.select(F.explode(F.from_json("report", "map<string, string>")).alias("section", "rows")).where("section = 'r2'")
+    cells = F.explode(F.from_json("rows", f"array<struct<{PROPERTY}: string, n: bigint, r2: double>>"))
+    return sections.select("section", cells.alias("c")).select("section", "c.*")

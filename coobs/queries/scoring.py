@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 from coobs import ENTITY, PROPERTY, VALUE
 from coobs.operators import corpus, lineage, score, tables
 from coobs.queries import fixtures as fx
-from coobs.queries.registry import oracle, query, rounded, rs
+from coobs.queries.registry import oracle, query, r2_sql, rounded, rs
 
 KEY = [ENTITY, PROPERTY]
 EV = fx.EVENT_TYPES
 
 
-def r2_sql(y: str, p: str) -> str:
-    return f"(1 - sum(({y} - {p}) ^ 2) / (var_pop({y}) * count(*)))"
-
-
 @query(
     "evl_1_r2_per_property",
     oracle(
