@@ -71,13 +71,14 @@ def full_ensemble(
     catalogue: R.Catalogue,
     properties: Sequence[str],
     archive: DataFrame | None = None,
+    trees: Sequence[str] = (),
 ) -> EnsembleRun:
-    """Base models, mean/ridge stack, two-pass relation blend, clip, fill, override.
+    """Base models, mean/ridge stack, two-pass relation blend, partner regression, clip, fill, override.
 
     train: (entity, property, value, fold, features..); test: (id, entity, property,
     features..); entities: (entity, features..), the universe.  Base models are one ridge
-    per feature and one on all; the partner frame comes from a partner-free ridge, so no
-    label returns through a predicted partner.
+    per feature, one on all, and one ensemble per kind in ``trees``; the partner frame comes from a
+    partner-free ridge, so no label returns through a predicted partner.
     """
     n = len(properties)
     feats = list(features)
@@ -88,6 +89,16 @@ def full_ensemble(
         o, t = M.oof_and_test(oof, tested, sets[name], max_groups=n)
         oof = o.withColumnRenamed("pred", name)
         tested = t.withColumnRenamed("pred", name)
+    if trees:
+        folds = (train.agg(F.max("fold")).first()[0] or 0) + 1
+        asked = test.select(*KEY, *feats).dropDuplicates(KEY)
+        for kind in trees:
+            both = cut_lineage(M.per_property_oof(train, asked, feats, properties, kind=kind, folds=folds), f"member_{kind}")
+            oof, tested = (
+                df.join(both.where(F.col("split") == split).select(*KEY, F.col("pred").alias(f"tree_{kind}")), KEY, "left")
+                for df, split in ((oof, "oof"), (tested, "test"))
+            )
+        names = sorted([*names, *(f"tree_{k}" for k in trees)])
     base = cut_lineage(E.with_mean_spread(oof, names), "oof")
     base_test = cut_lineage(E.with_mean_spread(tested, names), "test")
     stacked = E.stack(base, names, max_groups=n)
@@ -113,6 +124,22 @@ def full_ensemble(
     untouched = test_rows.where(~F.col(PROPERTY).isin(*targets))
     final = moved.select(*test.columns, F.col("blended").alias("pred")).unionByName(untouched)
 
+    kept = report.select(PROPERTY, "kept")
+    finished = blended.join(bounded(kept, n), PROPERTY, "left").withColumn(
+        "pred", F.when(F.col("kept"), F.col("blended")).otherwise(F.col("pred"))
+    )
+    oof_rows = finished.select(*train.columns, "pred").unionByName(
+        rows.where(~F.col(PROPERTY).isin(*targets)).select(*train.columns, "pred")
+    )
+    oof_rows, final = cut_lineage(oof_rows, "related"), cut_lineage(final, "related_test")
+    # small properties have no partner fit and keep what they have
+    partner = cut_lineage(E.partner_regression(oof_rows, frame, properties, max_groups=n, test=final), "partnered")
+    taught = partner.where(F.col("fold").isNotNull()).select(*KEY, "blended")
+    unseen = partner.where(F.col("fold").isNull()).select("id", "blended")
+    better = F.coalesce("blended", "pred")
+    oof_rows = oof_rows.join(taught, KEY, "left").select(*train.columns, better.alias("pred"))
+    final = final.join(unseen, "id", "left").select(*test.columns, better.alias("pred"))
+
     ranges = score.train_ranges(train)
     final = score.clip_to_train(final, ranges, max_groups=n)
     final = score.fill_missing(final, ranges, max_groups=n)
@@ -120,13 +147,6 @@ def full_ensemble(
         final = tables.override(final, archive)
     else:
         final = final.withColumn("source", F.lit("model")).withColumn("model_pred", F.col("pred"))
-    kept = report.select(PROPERTY, "kept")
-    finished = blended.join(bounded(kept, n), PROPERTY, "left").withColumn(
-        "pred", F.when(F.col("kept"), F.col("blended")).otherwise(F.col("pred"))
-    )
-    oof_final = finished.select(*train.columns, "pred").unionByName(
-        rows.where(~F.col(PROPERTY).isin(*targets)).select(*train.columns, "pred")
-    )
-    return EnsembleRun(oof_final, final.select(*test.columns, "pred", "model_pred", "source"), report)
+    return EnsembleRun(oof_rows, final.select(*test.columns, "pred", "model_pred", "source"), report)
 
 
