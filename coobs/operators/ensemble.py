@@ -304,7 +304,7 @@ def leave_one_out(rows: DataFrame, candidates: DataFrame, features: Sequence[str
         for f in fits.itertuples():
             taught = fold != f.fold
             off = x[taught] - np.asarray(f.mean)
-            leverage = 1.0 / f.n + np.einsum("ij,jk,ik->i", off, np.asarray(f.inverse).reshape(len(features), -1), off)
+            leverage = 1.0 / f.n + ((off @ np.asarray(f.inverse).reshape(len(features), -1)) * off).sum(axis=1)
             error = (y[taught] - f.intercept - x[taught] @ np.asarray(f.coef)) / np.maximum(1.0 - leverage, 1e-12)
             out.append((getattr(f, PROPERTY), f.fold, f.alpha, float(error @ error)))
         return pd.DataFrame(out, columns=[PROPERTY, "fold", "alpha", "loo"])
