@@ -131,14 +131,22 @@ def forward(p: dict, x: np.ndarray, at: np.ndarray, keep: bool = False):
     return (logit, (states, trace, e, w, pooled)) if keep else logit
 
 
-def logits_of(p: dict, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def gate_tables(p: dict, x: np.ndarray) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    """Per direction and gate: what each distinct word gives to it, and the weights of the state before."""
+    half, out = np.float32(0.5), {}
+    for way in "fb":
+        ws, us, cs = (np.split(p[f"{k}{way}"], 3, axis=-1) for k in "WUc")
+        scales = (half, half, np.float32(1))  # a sigmoid is a tanh of half
+        out[way] = [(k * (x @ w + c), np.ascontiguousarray(k * u)) for k, w, u, c in zip(scales, ws, us, cs)]
+    return out
+
+
+def logits_of(p: dict, tables: dict, at: np.ndarray) -> np.ndarray:
     """The same as ``forward``, quicker: every gate in an array of its own, and nothing allocated per step."""
     b, h, half = len(at), HIDDEN, np.float32(0.5)
     steps, states = np.ascontiguousarray(at.T), {}
     for way in "fb":
-        (wz, wr, wn), (uz, ur, un), (cz, cr, cn) = (np.split(p[f"{k}{way}"], 3, axis=-1) for k in "WUc")
-        gates = [(half * (x @ wz + cz), half * uz), (half * (x @ wr + cr), half * ur)]  # a sigmoid is a tanh of half
-        given, un = x @ wn + cn, np.ascontiguousarray(un)
+        *gates, (given, un) = tables[way]
         out = states[way] = np.empty((WINDOW, b, h), np.float32)
         s = np.zeros((b, h), np.float32)
         z, r, n, q = (np.empty((b, h), np.float32) for _ in range(4))
@@ -160,7 +168,7 @@ def logits_of(p: dict, x: np.ndarray, at: np.ndarray) -> np.ndarray:
             after += n
             s = after
     score = np.tanh(states["f"] @ p["A"][:h] + states["b"] @ p["A"][h:]) @ p["v"]
-    real = steps < len(x) - 1
+    real = steps < len(tables["f"][0][0]) - 1
     real[0] |= ~real.any(axis=0)
     score = np.where(real, score, np.float32(-1e9))
     w = np.exp(score - score.max(axis=0))
@@ -273,8 +281,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     span = np.searchsorted(row, np.arange(len(y) + 1))
 
     def logits(at: np.ndarray) -> np.ndarray:
-        x = inputs(p, slots, [gram], [many])
-        return np.concatenate([logits_of(p, x, at[i : i + CHUNK]) for i in range(0, len(at), CHUNK)])
+        ready = gate_tables(p, inputs(p, slots, [gram], [many]))
+        return np.concatenate([logits_of(p, ready, at[i : i + CHUNK]) for i in range(0, len(at), CHUNK)])
 
     epoch = 0
     while epoch < epochs:
@@ -316,10 +324,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 p[k][rows] -= 5 * rate * total / np.sqrt(squares[k][rows])[:, None]
         epoch += 1
     # the offset that puts 0.5 where whole training texts part best
-    x, padded, whole = inputs(p, slots, [gram], [many]), np.append(word, len(slots)), []
+    ready, padded, whole = gate_tables(p, inputs(p, slots, [gram], [many])), np.append(word, len(slots)), []
     for lo in range(0, len(y), 64):
         at, _, head = windows(first[lo : lo + 65], pad)
-        whole.append(np.maximum.reduceat(np.concatenate([logits_of(p, x, padded[at[i : i + CHUNK]]) for i in range(0, len(at), CHUNK)]), head))
+        whole.append(np.maximum.reduceat(np.concatenate([logits_of(p, ready, padded[at[i : i + CHUNK]]) for i in range(0, len(at), CHUNK)]), head))
     whole = np.concatenate(whole)
     order = np.argsort(whole)
     errors = np.cumsum(y[order]) + (1 - y).sum() - np.cumsum(1 - y[order])
@@ -338,7 +346,8 @@ def score_texts(p: dict, words: Words, data: np.ndarray, offsets: np.ndarray) ->
     at, row, head = windows(first, len(word))
     at = np.append(word, len(slots))[at]
     x = inputs(p, slots, grams, counts)
-    logit = np.concatenate([logits_of(p, x, at[i : i + CHUNK]) for i in range(0, len(at), CHUNK)])
+    ready = gate_tables(p, x)
+    logit = np.concatenate([logits_of(p, ready, at[i : i + CHUNK]) for i in range(0, len(at), CHUNK)])
     return 1 / (1 + np.exp(-np.maximum.reduceat(logit, head).astype(np.float64)))
 
 

@@ -541,7 +541,7 @@ def test_window_scores_are_those_of_the_network():
     x = np.vstack([rng.normal(size=(40, 2 * toxicity.DIM)), np.zeros(2 * toxicity.DIM)]).astype(np.float32)
     at = rng.integers(0, 41, (60, toxicity.WINDOW))
     at[0], at[1, 3:] = 40, 40  # a text without words, and a short one
-    assert np.allclose(toxicity.logits_of(p, x, at), toxicity.forward(p, x, at), atol=1e-5)
+    assert np.allclose(toxicity.logits_of(p, toxicity.gate_tables(p, x), at), toxicity.forward(p, x, at), atol=1e-5)
 
 
 @pytest.mark.parametrize("size", [0, 1, 31, 32, 33, 36, 37, 100])
