@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from coobs.functions.binding import let
 
 
+#: Elements of all rotations of one sequence that may be written out.
+WRITTEN_OUT = 4096
+
+
 def repeat_unit(seq: Column, times: int | Column) -> Column:
     """The unit written ``times`` times."""
     return F.flatten(F.array_repeat(seq, times))
@@ -82,7 +86,16 @@ def least_rotation_start(seq: Column) -> Column:
         )
 
     end = F.aggregate(F.sequence(F.lit(1), F.greatest(n * 3, F.lit(1))), start, step)
-    return F.when(n > 1, F.least(end["i"], end["j"])).otherwise(F.lit(0))
+    scanned = F.least(end["i"], end["j"])
+
+    def compared(starts: Column) -> Column:
+        # the least rotation starts with the least element: few such starts are written out and compared
+        turns = F.transform(starts, lambda p: F.struct(F.concat(F.slice(seq, p, n), F.slice(seq, F.lit(1), p - 1)).alias("a"), (p - 1).cast("int").alias("p")))
+        few = (F.size(starts) * n <= WRITTEN_OUT) & ~F.exists(seq, lambda t: t.isNull())
+        return F.when(few, F.array_min(turns)["p"]).otherwise(scanned)
+
+    starts = let(F.array_min(seq), lambda least: F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.element_at(seq, p) == least))
+    return F.when(n > 1, let(starts, compared)).otherwise(F.lit(0))
 
 
 def loose_key(seq: Column) -> Column:

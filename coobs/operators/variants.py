@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from coobs import PROPERTY, VALUE
 from coobs.functions import sequences as S
+from coobs.functions.binding import explode_once
 from coobs.functions.text import family
-from coobs.plans.joins import bounded
+from coobs.plans.joins import bounded, spread
 from coobs.plans.quantiles import exact_quantiles
 from coobs.plans.ranking import hash_sample
+from coobs.session import cut_lineage
 
 Rewrite = Callable[[Column, int], Column]
 
@@ -56,7 +58,8 @@ def with_variants(
             cells.append(
                 F.struct(F.lit(name).alias("kind"), F.lit(i).alias("i"), make(F.col(seq), i).alias("variant"))
             )
-    return rows.select("*", F.explode(F.array(*cells)).alias("_v")).select("*", "_v.*").drop("_v")
+    keep = [f"`{c}`" for c in rows.columns]
+    return explode_once(rows, keep, F.array(*cells), "_v").select("*", "_v.*").drop("_v")
 
 
 def distinct_variants(
@@ -105,19 +108,23 @@ def invariance_rows(
 ) -> DataFrame:
     """Per (row, kind, i): |prediction change|, whether the text and the key moved, and
     the scale max(|value|, 1e-9)."""
-    v = with_variants(rows, seq, kinds, per_kind, base=False)
+    # what the row itself has is computed once, not once per variant
+    own = spread(rows).withColumns({"_pred": predict(F.col(seq)), "_spelt": S.spell(F.col(seq)), "_key": key_of(F.col(seq))})
+    v = with_variants(own, seq, kinds, per_kind, base=False)
     return v.select(
         "*",
-        F.abs(predict(F.col("variant")) - predict(F.col(seq))).alias("delta"),
-        (S.spell(F.col("variant")) != S.spell(F.col(seq))).alias("rewritten"),
-        (key_of(F.col("variant")) != key_of(F.col(seq))).alias("key_moved"),
+        F.abs(predict(F.col("variant")) - F.col("_pred")).alias("delta"),
+        (S.spell(F.col("variant")) != F.col("_spelt")).alias("rewritten"),
+        (key_of(F.col("variant")) != F.col("_key")).alias("key_moved"),
         F.greatest(F.abs(F.col(VALUE)), F.lit(1e-9)).alias("scale"),
-    )
+    ).drop("_pred", "_spelt", "_key")
 
 
 def invariance_audit(audit: DataFrame, max_kinds: int = 16) -> DataFrame:
     """Per kind: rows, rewritten, keys moved, median / mean / max change, median relative
     change, and whether the kind is exact (largest change at most 1e-9)."""
+    # read by three aggregates and their rounds
+    audit = cut_lineage(audit.select("kind", "rewritten", "key_moved", "delta", "scale"), "audit")
     moved = audit.where("rewritten")
     stats = audit.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n"),
@@ -152,7 +159,7 @@ def feature_invariance(
     per_kind: int = 1,
 ) -> DataFrame:
     """Per (kind, family): share of feature values that move by less than 2 %."""
-    v = with_variants(rows, seq, kinds, per_kind, base=False)
+    v = with_variants(spread(rows), seq, kinds, per_kind, base=False)
     cells = [
         F.struct(
             F.lit(n).alias("feature"),
@@ -177,8 +184,9 @@ def key_selftest(
     minimum: float = MIN_INVARIANCE,
 ) -> DataFrame:
     """Per kind the rate of key(rewrite(s)) = key(s) and whether it reaches the minimum."""
-    v = with_variants(rows, seq, kinds, per_kind, base=False)
-    same = (key_of(F.col("variant")) == key_of(F.col(seq))).cast("double")
+    own = spread(rows).withColumn("_key", key_of(F.col(seq)))
+    v = with_variants(own, seq, kinds, per_kind, base=False)
+    same = (key_of(F.col("variant")) == F.col("_key")).cast("double")
     return (
         v.groupBy("kind")
         .agg(F.count(F.lit(1)).alias("n"), F.avg(same).alias("rate"))
@@ -199,7 +207,7 @@ def spelling_spread(
 ) -> DataFrame:
     """Per property the prediction spread over spellings in units of the property's sd,
     with and without normalisation, and their ratio."""
-    v = with_variants(rows, seq, kinds, per_kind)
+    v = with_variants(spread(rows), seq, kinds, per_kind)
     per_row = v.groupBy(key, PROPERTY).agg(
         F.stddev_pop(predict(normalise(F.col("variant")))).alias("_with"),
         F.stddev_pop(predict(F.col("variant"))).alias("_without"),

@@ -40,6 +40,15 @@ def bounded(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(checked)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over every core, for costly expressions on few bytes.
+
+    A compressed file of some megabytes is one split and so one task, whatever its rows cost; Spark would
+    also join small partitions again unless their number is given.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,

@@ -156,3 +156,23 @@ def test_fits_read_their_own_folders_alone(spark):
     b = runs.cross_validate(rows(3), model, 3, ["p0", "p1", "p2"], own_rows=False)
     key = lambda r: (r["property"], r["entity"])
     assert [round(r["pred"], 9) for r in sorted(a.collect(), key=key)] == [round(r["pred"], 9) for r in sorted(b.collect(), key=key)]
+
+
+@pytest.mark.parametrize("limit", [0, 4096])
+def test_least_rotation_written_out_or_scanned(spark, monkeypatch, limit):
+    from coobs.functions import sequences
+
+    monkeypatch.setattr(sequences, "WRITTEN_OUT", limit)
+    words = ["", "a", "aaa", "aab", "baa", "abab", "cabcab", "zyx", "bbabba", "abaab" * 3]
+    df = spark.createDataFrame([(w, list(w)) for w in words], "w string, s array<string>")
+    got = {r["w"]: r["i"] for r in df.select("w", sequences.least_rotation_start(F.col("s")).alias("i")).collect()}
+    for w, i in got.items():
+        assert w[i:] + w[:i] == min((w[j:] + w[:j] for j in range(len(w))), default="")
+
+
+def test_costly_rows_of_one_file_are_spread(spark):
+    from coobs.operators import variants
+
+    rows = spark.createDataFrame([(i, "p", 1.0, ["a", "b"]) for i in range(9)], "entity long, property string, value double, seq array<string>").coalesce(1)
+    audit = variants.invariance_rows(rows, "seq", lambda s: F.array_join(s, ""), lambda s: F.size(s).cast("double"))
+    assert audit.rdd.getNumPartitions() > 1 and audit.count() == 54
