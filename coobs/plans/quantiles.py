@@ -3,7 +3,8 @@
 Spark's ``percentile`` keeps every distinct value of a group in one reducer.  The exact answer
 needs only the two order statistics around the wanted rank: a mergeable quantile sketch (KLL) brackets
 them, one aggregate counts what lies below the bracket and what lies inside, and the bracket is
-sketched anew until so few distinct values are left inside that one task sorts them.
+sketched anew until so few distinct values are left inside that one task sorts them.  The values are written once, whatever it
+cost to compute them; the steps read that table.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ def exact_quantiles(
     group = list(group)
     keys = group or ["_all"]
     rows = df if group else df.withColumn("_all", F.lit(0))
+    # every step reads them again, so they are computed once
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    rows = cut_lineage(rows, "quantile_values")
     per = [*keys, "q"]
     asked = F.array(*[F.struct(F.lit(n).alias("q"), F.lit(float(p)).alias("p")) for n, p in wanted.items()])
     # one small row per (group, quantile); ranks count from 0

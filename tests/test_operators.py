@@ -328,6 +328,13 @@ def test_knn_equals_brute_force_with_copies_and_hot_shingles(spark, monkeypatch,
         assert sorted(got[q]) == [(n + 1, i, round(v, 9)) for n, (v, i) in enumerate(best)]
 
 
+def test_growing_tables_are_never_broadcast(spark):
+    a, b = (spark.range(5).withColumnRenamed("id", "k") for _ in range(2))
+    met = corpus._meet(a, b, ["k"])
+    assert met.count() == 5
+    assert "Broadcast" not in met._jdf.queryExecution().toString()
+
+
 # -- streams -----------------------------------------------------------------------
 
 

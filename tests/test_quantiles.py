@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coobs.plans import quantiles
 
@@ -57,3 +58,10 @@ def test_without_groups_and_without_rows(table):
     assert quantiles.exact_quantiles(df.limit(0), ["g"], "v", {"p50": 0.5}, 1).count() == 0
     nan = df.limit(0).sparkSession.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
     assert [r["m"] for r in quantiles.exact_quantiles(nan, [], "v", {"m": 0.5}, 1).collect()] == [2.0]
+
+
+def test_values_are_computed_once(spark):
+    """The rounds read a written table, not the values' own plan."""
+    costly = spark.range(100).select(F.xxhash64("id").cast("double").alias("v"))
+    plan = quantiles.exact_quantiles(costly, [], "v", {"m": 0.5}, 1)._jdf.queryExecution().toString()
+    assert "xxhash64" not in plan
