@@ -7,6 +7,8 @@ order has a line of a certain kind; order-level features are always known.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -258,7 +260,7 @@ def order_models(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
     return R.crossfit_many(rows, models, mean="mean", max_groups=len(AMOUNTS))
 
 
-def order_preds(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
+def _long_preds(models: DataFrame) -> DataFrame:
     """The long prediction store of these models."""
     cells = F.array(
         F.struct(F.lit("lines").alias("model"), F.col("lines").alias("pred")),
@@ -266,12 +268,24 @@ def order_preds(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
         F.struct(F.lit("qty").alias("model"), F.col("qty_model").alias("pred")),
     )
     return (
-        order_models(spark, sf_dir, seed)
-        .select(ENTITY, PROPERTY, VALUE, "fold", F.explode(cells).alias("_c"))
-        .select(ENTITY, PROPERTY, VALUE, "fold", "_c.*", F.lit(seed).alias("seed"))
+        models
+        .select(ENTITY, PROPERTY, VALUE, "fold", "seed", F.explode(cells).alias("_c"))
+        .select(ENTITY, PROPERTY, VALUE, "fold", "_c.*", "seed")
     )
 
 
+def order_preds(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
+    return _long_preds(order_models(spark, sf_dir, seed).withColumn("seed", F.lit(seed)))
+
+
+def replica_preds(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...]) -> DataFrame:
+    """The stores of several seeds, dealt by row while its models are still one row: aggregates by
+    (entity, property) and more need no shuffle after it."""
+    models = [order_models(spark, sf_dir, s).withColumn("seed", F.lit(s)) for s in seeds]
+    slim = [m.select(ENTITY, PROPERTY, VALUE, "fold", "lines", "mean", "qty_model", "seed") for m in models]
+    return _long_preds(reduce(DataFrame.unionByName, slim).repartition(ENTITY, PROPERTY))
+
+
 def _order_models_sql(folds_table: str) -> str:
     return f"""SELECT t.*, f.a1 * t.n_lines + f.b1 AS lines, f.m AS mean, f.a2 * t.qty + f.b2 AS qty_model
        FROM {folds_table} t JOIN

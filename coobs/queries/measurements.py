@@ -689,8 +689,7 @@ def agg_11(spark, sf_dir):
     ),
 )
 def agg_13(spark, sf_dir):
-    preds = fx.order_preds(spark, sf_dir, 42).unionByName(fx.order_preds(spark, sf_dir, 43))
-    return rounded(ensemble.average_replicas(preds, KEY))
+    return rounded(ensemble.average_replicas(fx.replica_preds(spark, sf_dir, (42, 43)), KEY))
 
 
 @query(

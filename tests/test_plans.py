@@ -176,3 +176,12 @@ def test_costly_rows_of_one_file_are_spread(spark):
     rows = spark.createDataFrame([(i, "p", 1.0, ["a", "b"]) for i in range(9)], "entity long, property string, value double, seq array<string>").coalesce(1)
     audit = variants.invariance_rows(rows, "seq", lambda s: F.array_join(s, ""), lambda s: F.size(s).cast("double"))
     assert audit.rdd.getNumPartitions() > 1 and audit.count() == 54
+
+
+def test_replicas_are_shuffled_once(spark, sf_dir):
+    from coobs.operators import ensemble
+    from coobs.queries import fixtures
+
+    preds = fixtures.replica_preds(spark, sf_dir, (42, 43))
+    plan = ensemble.average_replicas(preds, ["entity", "property"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(entity") == 1
