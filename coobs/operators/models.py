@@ -124,11 +124,15 @@ def oof_and_test(
     return oof, tested
 
 
-def wide_ridge_oof(rows: DataFrame, x: str, width: int, alpha: float = 1.0, max_groups: int = 1000) -> DataFrame:
-    """Out-of-fold ridge prediction from an array column ``x`` of ``width`` features."""
-    fits = wide_ridge(rows, PROPERTY, "fold", F.col(x), F.col(VALUE), alpha=alpha, min_rows=RIDGE_MIN_ROWS)
+def wide_ridge_oof(
+    rows: DataFrame, x: str, width: int, alpha: float = 1.0, max_groups: int = 1000, is_sparse: bool = False
+) -> DataFrame:
+    """Out-of-fold ridge prediction from a column ``x`` of ``width`` features: an array, or rows of ``gram.sparse``."""
+    fits = wide_ridge(
+        rows, PROPERTY, "fold", F.col(x), F.col(VALUE), alpha=alpha, min_rows=RIDGE_MIN_ROWS, width=width if is_sparse else None
+    )
     fits = cut_lineage(fits.where(F.col("fold") != FULL), "wide_fits")
-    return with_wide_linear(rows, fits, [PROPERTY, "fold"], F.col(x), "pred", max_groups * 65, width)
+    return with_wide_linear(rows, fits, [PROPERTY, "fold"], F.col(x), "pred", max_groups * 65, width, is_sparse)
 
 
 # -- trees -------------------------------------------------------------------------

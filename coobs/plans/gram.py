@@ -6,6 +6,8 @@ each (group, fold) it meets, in numpy, and sends them as tiles of ``TILE`` x ``T
 are merged one by one where they arrive, so no task holds more than a matrix per fold for one tile.
 Leave-fold-out moments are merged from the other folds' tiles (never subtracted), and each
 fit then gathers its own tiles: 8 d^2 bytes in one task, whatever the number of rows.
+
+Rows that are mostly zeros come as places and values (``sparse``): only these are computed, moved and summed.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from coobs.plans.joins import bounded, salted_join
 
 TILE = 64
+#: Sparse rows that are summed at once.
+DENSE_ROWS = 4096
 #: Bytes of moments that a task holds before it sends them on.
 HELD = 128 << 20
 #: Bytes of fits that may be broadcast.
@@ -63,6 +67,49 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def sparse(places: Column, values: Column) -> Column:
+    """A row's values other than zero and their places from 0, each named once; others than those of the width count as zeros."""
+    return F.struct(places.cast("array<int>").alias("at"), values.cast("array<double>").alias("of"))
+
+
+def _cells(column: pa.StructArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of what sparse rows hold, in the order of rows."""
+    at, of = column.field("at"), column.field("of")
+    row = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False))
+    place = pc.fill_null(pc.list_flatten(at), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    value = pc.fill_null(pc.list_flatten(of), 0.0).to_numpy(zero_copy_only=False)
+    inside = (place >= 0) & (place < width)
+    return row[inside], place[inside], value[inside]
+
+
+def sparse_moments(column: pa.StructArray, y: np.ndarray, width: int) -> Moments:
+    """Moments of sparse rows and their target, without their zeros where that is cheaper and loses no digits.
+
+    Raw sums less n times the means cancel only for columns that are rarely zero, and these are few
+    in rows of few values; such rows are filled up and centred first.
+    """
+    n = len(y)
+    row, place, value = _cells(column, width)
+    length = np.bincount(row, minlength=n)
+    if 4 * (length**2).sum() > n * width**2 or 2 * np.bincount(place, minlength=width).max(initial=0) > n:
+        x = np.zeros((n, width + 1))
+        x[row, place] = value
+        x[:, -1] = y
+        return Moments.of(x)
+    mean = np.append(np.bincount(place, value, width) / n, y.mean())
+    first = np.cumsum(length) - length
+    many = length[row]  # every value meets those of its row
+    left = np.repeat(np.arange(len(row)), many)
+    right = np.arange(len(left)) + np.repeat(first[row] - (np.cumsum(many) - many), many)
+    m = np.empty((width + 1, width + 1))
+    m[:-1, :-1] = np.bincount(place[left] * width + place[right], value[left] * value[right], width**2).reshape(width, width)
+    m[:-1, :-1] -= n * np.outer(mean[:-1], mean[:-1])
+    off = y - mean[-1]
+    m[:-1, -1] = m[-1, :-1] = np.bincount(place, value * off[row], width)
+    m[-1, -1] = off @ off
+    return Moments(float(n), mean, mean, m)
+
+
 TILES = "g string, fold int, bi int, bj int, n double, i array<double>, j array<double>, m array<double>"
 
 
@@ -82,22 +129,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(parts: Iterator[tuple[tuple, Moments]]) -> Iterator[pa.RecordBatch]:
+    """Moments of a task per key, sent on as tiles when they grow too large and at the end."""
     held: dict[tuple, Moments] = {}
     size = 0
-    for batch in batches:
-        x = matrix(batch.column("x"))
-        keys = list(zip(batch.column("g").to_pylist(), batch.column("fold").to_pylist()))
-        where: dict[tuple, list[int]] = {}
-        for at, key in enumerate(keys):
-            where.setdefault(key, []).append(at)
-        for key, at in where.items():
-            part = Moments.of(x[at])
-            if key in held:
-                held[key].add(part)
-            else:
-                held[key] = part
-                size += part.m.nbytes
+    for key, part in parts:
+        if key in held:
+            held[key].add(part)
+        else:
+            held[key] = part
+            size += part.m.nbytes
         if size > HELD:
             for (g, fold), s in held.items():
                 yield _batch(_tile_rows(g, fold, s))
@@ -106,6 +147,40 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_tile_rows(g, fold, s))
 
 
+def _by_key(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+    where: dict[tuple, list[int]] = {}
+    for at, key in enumerate(zip(batch.column("g").to_pylist(), batch.column("fold").to_pylist())):
+        where.setdefault(key, []).append(at)
+    for key, at in where.items():
+        yield key, np.array(at)
+
+
+def _dense_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Moments]]:
+    for batch in batches:
+        x = matrix(batch.column("x"))
+        for key, at in _by_key(batch):
+            yield key, Moments.of(x[at])
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _held(_dense_parts(batches))
+
+
+def _sparse_partial(width: int):
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Moments]]:
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            for key, at in _by_key(batch):
+                for lo in range(0, len(at), DENSE_ROWS):
+                    mine = at[lo : lo + DENSE_ROWS]
+                    yield key, sparse_moments(batch.column("x").take(pa.array(mine)), y[mine], width)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _held(parts(batches))
+
+    return partial
+
+
 def _pooled(left_out: bool):
     """Merge the tiles of one place as they arrive; give those without each fold, and of all."""
 
@@ -177,19 +252,19 @@ def packed(features: Sequence[str]) -> Column:
     return F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features])
 
 
-def wide_ridge(rows: DataFrame, group: str, fold: str | None, x: Column, y: Column, *, alpha: float = 1.0, standardise: bool = True, min_rows: int = 5) -> DataFrame:
+def wide_ridge(rows: DataFrame, group: str, fold: str | None, x: Column, y: Column, *, alpha: float = 1.0, standardise: bool = True, min_rows: int = 5, width: int | None = None) -> DataFrame:
     """(``group``, ``fold``, ``n``, ``alpha``, ``intercept``, ``coef``) of one ridge per group, ``fold`` -1, and
     with ``fold`` one more without each fold.
 
-    ``x`` is an array of one length for all rows.  Rows without a target teach nothing; groups with fewer
+    ``x`` is an array of one length for all rows or, with ``width``, a ``sparse`` row of it.  Rows without a target teach nothing; groups with fewer
     than ``min_rows`` others give no fit.
     """
-    given = rows.where(y.isNotNull()).select(
-        F.col(f"`{group}`").cast("string").alias("g"),
-        (F.col(f"`{fold}`") if fold else F.lit(0)).cast("int").alias("fold"),
-        F.concat(x, F.array(y.cast("double"))).alias("x"),
-    )
-    tiles = given.mapInArrow(_partial, TILES)
+    known = rows.where(y.isNotNull())
+    keys = [F.col(f"`{group}`").cast("string").alias("g"), (F.col(f"`{fold}`") if fold else F.lit(0)).cast("int").alias("fold")]
+    if width is None:
+        tiles = known.select(*keys, F.concat(x, F.array(y.cast("double"))).alias("x")).mapInArrow(_partial, TILES)
+    else:
+        tiles = known.select(*keys, x.alias("x"), y.cast("double").alias("y")).mapInArrow(_sparse_partial(width), TILES)
     pooled = tiles.groupBy("g", "bi", "bj").applyInArrow(_pooled(fold is not None), TILES)
     fits = pooled.groupBy("g", "fold").applyInArrow(_fits(alpha, standardise, min_rows), FITS)
     return fits.withColumnRenamed("g", group)
@@ -200,12 +275,20 @@ def dot(x: Column, coef: Column) -> Column:
     return F.aggregate(F.zip_with(x, coef, lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
 
 
-def with_wide_linear(rows: DataFrame, fits: DataFrame, on: Sequence[str], x: Column, out: str, max_rows: int, width: int) -> DataFrame:
-    """Apply fits to the array ``x``.  They are broadcast while ``max_rows`` of them stay below a size in
-    bytes, and else meet the rows in a join that splits hot keys."""
+def sparse_dot(x: Column, coef: Column) -> Column:
+    """The same for a ``sparse`` row."""
+    return F.aggregate(F.zip_with(x["at"], x["of"], lambda i, v: F.coalesce(F.get(coef, i) * v, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+
+
+def with_wide_linear(
+    rows: DataFrame, fits: DataFrame, on: Sequence[str], x: Column, out: str, max_rows: int, width: int, is_sparse: bool = False
+) -> DataFrame:
+    """Apply fits to the array (or ``sparse`` row) ``x``.  They are broadcast while ``max_rows`` of them stay below
+    a size in bytes, and else meet the rows in a join that splits hot keys."""
     small = fits.select(*on, "intercept", "coef")
     if max_rows * (width + 8) * 8 <= BROADCAST:
         joined = rows.join(bounded(small, max_rows), list(on), "left")
     else:
         joined = salted_join(rows, small, list(on))
-    return joined.withColumn(out, F.col("intercept") + dot(x, F.col("coef"))).drop("intercept", "coef")
+    product = (sparse_dot if is_sparse else dot)(x, F.col("coef"))
+    return joined.withColumn(out, F.col("intercept") + product).drop("intercept", "coef")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coobs import ENTITY, PROPERTY, VALUE
 from coobs.operators import models, runs
+from coobs.plans.gram import sparse
 from coobs.queries import fixtures as fx
 from coobs.queries.registry import oracle, query, ridge2_fit, ridge2_stats, rounded, rs
 
@@ -66,8 +67,8 @@ def mdl_1_wide(spark, sf_dir):
     """Out-of-fold ridge on 200 columns."""
     rows = fx.order_folds(spark, sf_dir)
     c = F.col(ENTITY).cast("bigint") % WIDE
-    wide = rows.withColumn("x", F.array(*[(c == j).cast("double") for j in range(WIDE)]))
-    out = models.wide_ridge_oof(wide, "x", WIDE, max_groups=len(fx.AMOUNTS))
+    wide = rows.withColumn("x", sparse(F.array(c), F.array(F.lit(1.0))))
+    out = models.wide_ridge_oof(wide, "x", WIDE, max_groups=len(fx.AMOUNTS), is_sparse=True)
     return rounded(out.select(*KEY, "fold", "pred"))
 
 

@@ -66,3 +66,38 @@ def test_a_table_of_fits_too_large_to_broadcast(table, monkeypatch):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], f"{PROPERTY} string, fold int, {VALUE} double, x array<double>")
     assert gram.wide_ridge(empty, PROPERTY, "fold", F.col("x"), F.col(VALUE)).count() == 0
+
+
+def test_sparse_rows_equal_dense_rows(table, monkeypatch):
+    df, names, *_ = table
+    d = len(names)
+    cells = F.filter(F.transform(gram.packed(names), lambda v, i: F.struct(i.alias("i"), F.when(v < 3, v).alias("v"))), lambda c: c["v"].isNotNull())
+    rows = df.select(ENTITY, PROPERTY, VALUE, "fold", cells.alias("c"))
+    # places out of the width count as zeros
+    at = F.concat(F.transform("c", lambda c: c["i"]), F.array(F.lit(d), F.lit(-1)))
+    rows = rows.withColumn("x", gram.sparse(at, F.concat(F.transform("c", lambda c: c["v"]), F.array(F.lit(9.0), F.lit(9.0)))))
+    full = F.transform(gram.packed(names), lambda v: F.when(v < 3, v).otherwise(0.0))
+    dense = models.wide_ridge_oof(df.withColumn("x", full), "x", d, max_groups=4)
+    monkeypatch.setattr(gram, "DENSE_ROWS", 7)
+    thin = models.wide_ridge_oof(rows, "x", d, max_groups=4, is_sparse=True)
+    want, got = ({r[ENTITY]: r["pred"] for r in t.select(ENTITY, "pred").collect()} for t in (dense, thin))
+    assert want.keys() == got.keys() and sum(v is not None for v in got.values()) == 400
+    assert all((v is None and got[k] is None) or abs(v - got[k]) < 1e-6 for k, v in want.items())
+
+
+def test_sparse_moments(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n, d = 300, 40
+    x = np.where(rng.random((n, d)) < 0.05, rng.normal(size=(n, d)) + 50, 0.0)
+    y = rng.normal(size=n) + 1e4
+    for crowded in (False, True):
+        if crowded:
+            x[:, 3] = 1e3 + rng.normal(size=n)  # never zero: centred before it is summed
+        cells = pa.array([{"at": np.flatnonzero(r).tolist(), "of": r[np.flatnonzero(r)].tolist()} for r in x], pa.struct([("at", pa.list_(pa.int32())), ("of", pa.list_(pa.float64()))]))
+        monkeypatch.setattr(gram.Moments, "of", gram.Moments.of if crowded else lambda x: pytest.fail("filled up"))
+        got = gram.sparse_moments(cells, y, d)
+        monkeypatch.undo()
+        want = gram.Moments.of(np.column_stack([x, y]))
+        assert got.n == n and np.allclose(got.i, want.i, rtol=1e-12) and np.allclose(got.m, want.m, rtol=1e-9, atol=1e-7)
