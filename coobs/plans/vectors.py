@@ -13,10 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coobs.plans.joins import bounded, salted_join
+from coobs.plans.joins import salted_join
 from coobs.plans.ranking import top_k
 
 BLOCK = 1024
@@ -28,6 +29,10 @@ STATS = "g string, fold int, block int, " + ", ".join(f"{p} array<double>" for p
 
 def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """One row per entry of ``PARTS``; not-a-number marks a missing value."""
+    if not np.isnan(x.sum()):  # nothing is missing (or infinities meet, which the longer way treats alike)
+        mx, my = x.mean(axis=0), y.mean()
+        dx, dy, one = x - mx, y - my, np.ones(x.shape[1])
+        return np.stack([len(y) * one, mx, np.einsum("ij,ij->j", dx, dx), my * one, dy @ dy * one, dy @ dx])
     known = ~np.isnan(x)
     n = known.sum(axis=0).astype(float)
     some = np.maximum(n, 1)
@@ -61,9 +66,10 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        column = batch.column("x")
-        flat = pc.fill_null(pc.list_flatten(column).cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
-        x = flat.reshape(batch.num_rows, -1)
+        batch = batch.filter(pc.and_(pc.is_valid(batch.column("x")), pc.is_valid(batch.column("y"))))
+        if not batch.num_rows:
+            continue
+        x = _numbers(batch.column("x")).reshape(batch.num_rows, -1)
         y = batch.column("y").to_numpy(zero_copy_only=False)
         where: dict[tuple, list[int]] = {}
         for at, key in enumerate(zip(batch.column("g").to_pylist(), batch.column("fold").to_pylist())):
@@ -101,7 +107,7 @@ def leave_fold_out_vectors(rows: DataFrame, x: Column, y: Column | None = None,
         (F.lit("") if group is None else group.cast("string")).alias("g"), F.col("fold").cast("int").alias("fold"),
         x.alias("x"), (F.lit(0.0) if y is None else y.cast("double")).alias("y"),
     )
-    parts = given.where("x IS NOT NULL AND y IS NOT NULL").mapInArrow(_partial, STATS)
+    parts = given.mapInArrow(_partial, STATS)  # a filter on ``x`` would compute it twice
     return parts.groupBy("g", "block").applyInArrow(_others, STATS)
 
 
@@ -133,10 +139,48 @@ def standardise_vectors(rows: DataFrame, x: str, width: int, max_folds: int, out
     per_block = stats.select("fold", "block", "x", F.zip_with("xx", "n", lambda m, n: F.sqrt(F.greatest(F.try_divide(m, n), F.lit(0.0)))).alias("sd"))
     whole = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", c))), lambda b: b[c]))
     per_fold = per_block.groupBy("fold").agg(whole("x").alias("_mu"), whole("sd").alias("_sd"))  # one row a fold, ``width`` numbers each
-    if max_folds * width * 16 <= BROADCAST:
-        joined = rows.join(bounded(per_fold, max_folds), "fold", "left")
-    else:
+    if max_folds * width * 16 > BROADCAST:
         joined = salted_join(rows, per_fold, ["fold"])
-    centred = F.zip_with(F.col(f"`{x}`"), "_mu", lambda v, m: v - m)
-    z = F.zip_with(centred, "_sd", lambda d, s: F.when((s > flat) & d.isNotNull(), F.greatest(F.least(d / s, F.lit(limit)), F.lit(-limit))))
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns if c != out], z.alias(out))
+        z = _scores(None, flat, limit)(F.col("fold").cast("int"), F.col(f"`{x}`"), F.col("_mu"), F.col("_sd"))
+        return joined.select(*[F.col(f"`{c}`") for c in rows.columns if c != out], z.alias(out))
+    # a few folds' numbers go to every task once, not beside every row
+    few = per_fold.limit(max_folds + 1).toArrow()
+    if few.num_rows > max_folds:
+        raise ValueError(f"more than {max_folds} folds in a table bounded by them")
+    stats = {f: (_numbers(few["_mu"].slice(i, 1)), _numbers(few["_sd"].slice(i, 1))) for i, f in enumerate(few["fold"].to_pylist())}
+    z = _scores(rows.sparkSession.sparkContext.broadcast(stats), flat, limit)(F.col("fold").cast("int"), F.col(f"`{x}`"))
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != out], z.alias(out))
+
+
+def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """All entries of lists one after another; nulls are not-a-number."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return pc.fill_null(pc.list_flatten(column).cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+
+
+def _scores(stats: Broadcast | None, flat: float, limit: float):
+    """z of whole batches, in numpy: an expression per element costs many times as much.  Means and deviations are those
+    of the row's fold in ``stats``, else follow as two more columns."""
+
+    @F.arrow_udf("array<double>")
+    def z(fold: pa.Array, x: pa.Array, *given: pa.Array) -> pa.Array:
+        length = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+        known = x.is_valid().to_numpy(zero_copy_only=False)
+        if given:
+            known &= given[0].is_valid().to_numpy(zero_copy_only=False)
+            v = _numbers(x.take(pa.array(np.flatnonzero(known))))
+            m, s = (_numbers(g.take(pa.array(np.flatnonzero(known)))) for g in given)
+        else:
+            folds, places = np.array(sorted(stats.value)), pc.fill_null(fold, -1).to_numpy(zero_copy_only=False)
+            known &= np.isin(places, folds)
+            v = _numbers(x.take(pa.array(np.flatnonzero(known))))
+            at = np.searchsorted(folds, places[known])
+            m, s = (np.stack([stats.value[k][i] for k in folds])[at].ravel() if len(at) else np.zeros(0) for i in (0, 1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores = np.clip((v - m) / s, -limit, limit)
+        offsets = np.append(0, np.cumsum(np.where(known, length, 0))).astype(np.int32)
+        lists = pa.array(scores, mask=~(s > flat) | np.isnan(scores))
+        return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~known, False)), lists)
+
+    return z

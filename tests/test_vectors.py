@@ -61,3 +61,21 @@ def test_no_rows(table):
     df, *_ = table
     assert vectors.screen_vectors(df.limit(0), F.col("x"), F.col("value"), "property", 3).count() == 0
     assert vectors.standardise_vectors(df.limit(0), "x", WIDTH, 3).count() == 0
+
+
+@pytest.mark.parametrize("room", [vectors.BROADCAST, 0])
+def test_rows_without_features_or_fold(spark, monkeypatch, room):
+    monkeypatch.setattr(vectors, "BROADCAST", room)
+    rows = [(0, 0, [1.0, 2.0]), (1, 1, [3.0, None]), (2, 1, [5.0, 8.0]), (3, 0, None), (4, 0, [7.0, 4.0]), (5, None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, fold int, x array<double>").repartition(2)
+    got = {r["id"]: r["z"] for r in vectors.standardise_vectors(df.where("fold IS NOT NULL"), "x", 2, 2).collect()}
+    assert got == {0: [-3.0, None], 1: [-1 / 3, None], 2: [1 / 3, 5.0], 3: None, 4: [3.0, None]}
+
+
+def test_features_are_computed_once_a_pass(spark):
+    """A filter on the array would compute it a second time, and means beside every row would travel with it."""
+    costly = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.col("id") * j + F.lit(0.5))
+    df = spark.range(6).select("id", (F.col("id") % 2).cast("int").alias("fold")).withColumn("x", costly)
+    for out in (vectors.leave_fold_out_vectors(df, F.col("x")), vectors.standardise_vectors(df, "x", 4, 2)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("transform(") == 1
