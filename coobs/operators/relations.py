@@ -390,18 +390,20 @@ def partner_frame(
     ``predictions`` must come from a model without partner columns, or the target's own
     label returns in one hop.
     """
-    cells = entities.select(ENTITY, F.explode(F.array(*[F.lit(p) for p in properties])).alias(PROPERTY))
-    known = pool.groupBy(*KEY).agg(F.avg(VALUE).alias("_known"))
-    pred = predictions.select(*KEY, F.col("pred").alias("_pred"))
-    return (
-        cells.join(known, KEY, "left")
-        .join(pred, KEY, "left")
-        .select(
-            *KEY,
-            F.coalesce("_known", "_pred").alias(VALUE),
-            F.col("_known").isNotNull().alias("is_true"),
+    at = lambda p, c: F.when(F.col(PROPERTY) == p, F.col(c))
+    # one row per entity on each side: its cells are never shuffled one by one
+    known = pool.groupBy(ENTITY).agg(*[F.avg(at(p, VALUE)).alias(f"_k{i}") for i, p in enumerate(properties)])
+    guess = predictions.groupBy(ENTITY).agg(*[F.max(at(p, "pred")).alias(f"_g{i}") for i, p in enumerate(properties)])
+    cells = [
+        F.struct(
+            F.lit(p).alias(PROPERTY),
+            F.coalesce(f"_k{i}", f"_g{i}").alias(VALUE),
+            F.col(f"_k{i}").isNotNull().alias("is_true"),
         )
-    )
+        for i, p in enumerate(properties)
+    ]
+    table = entities.select(ENTITY).join(known, ENTITY, "left").join(guess, ENTITY, "left")
+    return table.select(ENTITY, F.explode(F.array(*cells)).alias("_c")).select(ENTITY, "_c.*")
 
 
 def frame_wide(frame: DataFrame, properties: Sequence[str]) -> DataFrame:

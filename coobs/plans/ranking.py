@@ -60,10 +60,12 @@ def bucketed_rank(
         level = level.select(*head, name, *cols)
         offsets = level if i == 0 else level.join(offsets, group + names[:i])
         parts.append(f"_o{i}")
+    # dealt first, so that the order's keys (hashes, often) are computed behind the shuffle and not moved
+    dealt = rows.repartition(*group, *names)
     within = F.row_number().over(Window.partitionBy(*group, *names).orderBy(*order))
     start = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
     return (
-        rows.withColumn("_r", within)
+        dealt.withColumn("_r", within)
         .join(offsets, group + names)
         .withColumn(rank, (start + F.col("_r") - 1).cast("long"))
         .drop("_r", *parts, *names)

@@ -317,9 +317,9 @@ def xf_11(spark, sf_dir):
 
 
 def _partner_rows(spark, sf_dir):
-    frame = R.frame_wide(fx.order_frame(spark, sf_dir), fx.AMOUNTS)
-    rows = fx.order_models(spark, sf_dir).select(*KEY, VALUE, "fold", F.col("lines").alias("pred"))
-    return rows, frame
+    models = fx.order_models(spark, sf_dir)
+    frame = R.frame_wide(fx.order_frame(spark, sf_dir, models.select(*fx.MEASURED)), fx.AMOUNTS)
+    return models.select(*KEY, VALUE, "fold", F.col("lines").alias("pred")), frame
 
 
 @query("xf_12_partner_regression")

@@ -23,6 +23,7 @@ EVENT_TYPES = ["view", "click", "purchase", "signup", "error"]
 ARCHIVE_TYPES = ["view", "click"]
 AMOUNTS = ["gross", "disc", "net", "tax", "charge"]
 MODELS = ["lines", "mean", "qty"]
+MEASURED = [ENTITY, PROPERTY, VALUE, "n_lines", "qty"]
 SHINGLE = 3
 FOLDS = 5
 
@@ -245,7 +246,9 @@ table("meas_folds", fold_sql("meas"), "meas")
 
 def order_folds(spark: SparkSession, sf_dir: str, seed: int = 42, k: int = FOLDS) -> DataFrame:
     """Folds are assigned once and written: every later step reads the same table."""
-    return cut_lineage(folds.property_folds(order_meas(spark, sf_dir), k=k, seed=seed), "folds")
+    # ranks count the rows before they order them, so they are made once as well
+    rows = cut_lineage(order_meas(spark, sf_dir), "order_meas")
+    return cut_lineage(folds.property_folds(rows, k=k, seed=seed), "folds")
 
 
 def meas_folds(spark: SparkSession, sf_dir: str, seed: int = 42, k: int = FOLDS) -> DataFrame:
@@ -313,9 +316,9 @@ table("order_models_b", _order_models_sql("order_folds_b"), "order_folds_b")
 table("order_preds_b", _order_preds_sql("order_models_b", 43), "order_models_b")
 
 
-def order_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partner frame: measured amounts, else a prediction from the line count alone."""
-    rows = order_meas(spark, sf_dir)
+def order_frame(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Partner frame: measured amounts (``rows``, if the caller has written them), else a prediction from the line count alone."""
+    rows = order_meas(spark, sf_dir) if rows is None else rows
     feats = order_features(spark, sf_dir).select(ENTITY, "n_lines")
     named = rows.select(PROPERTY, F.col("n_lines").alias("x"), F.col(VALUE).alias("y"))
     fits = fold_moments(named, [PROPERTY], ["x", "y"]).select(
@@ -369,10 +372,9 @@ def covered_case_sql(prefix: str) -> str:
 
 def blend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with an out-of-fold prediction (line count), raw estimate x and covered flag."""
-    rows = order_models(spark, sf_dir).select(
-        ENTITY, PROPERTY, VALUE, "fold", "n_lines", F.col("lines").alias("pred")
-    )
-    frame = R.frame_wide(order_frame(spark, sf_dir), AMOUNTS)
+    models = order_models(spark, sf_dir)
+    rows = models.select(ENTITY, PROPERTY, VALUE, "fold", "n_lines", F.col("lines").alias("pred"))
+    frame = R.frame_wide(order_frame(spark, sf_dir, models.select(*MEASURED)), AMOUNTS)
     # read twice by every blend (moments, then apply), so written once
     return cut_lineage(R.with_frame_estimate(rows, frame, CATALOGUE), "blend_rows")
 

@@ -349,3 +349,15 @@ def test_stateless_operators_run_on_a_stream(spark):
     query.stop()
     got = {r["entity"]: (r["pred"], r["source"]) for r in spark.table("overridden").collect()}
     assert got == {"a": (9.0, "measured"), "b": (2.0, "model")}
+
+
+def test_partner_frame_shuffles_entities_not_cells(spark):
+    pool = spark.createDataFrame([("a", "p", 1.0), ("a", "p", 3.0), ("b", "q", 5.0), ("b", "z", 9.0)], "entity string, property string, value double")
+    guess = spark.createDataFrame([("a", "p", 7.0), ("a", "q", 8.0), ("x", "p", 1.0)], "entity string, property string, pred double")
+    ents = spark.createDataFrame([("a",), ("b",), ("c",)], "entity string")
+    out = R.partner_frame(pool, ents, guess, ["p", "q"])
+    got = {(r.entity, r.property): (r.value, r.is_true) for r in out.collect()}
+    none = (None, False)
+    assert got == {("a", "p"): (2.0, True), ("a", "q"): (8.0, False), ("b", "p"): none, ("b", "q"): (5.0, True), ("c", "p"): none, ("c", "q"): none}
+    plan = R.frame_wide(out, ["p", "q"])._jdf.queryExecution().executedPlan().toString()
+    assert "property" not in " ".join(line for line in plan.splitlines() if "hashpartitioning" in line)

@@ -185,3 +185,10 @@ def test_replicas_are_shuffled_once(spark, sf_dir):
     preds = fixtures.replica_preds(spark, sf_dir, (42, 43))
     plan = ensemble.average_replicas(preds, ["entity", "property"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(entity") == 1
+
+
+def test_ranks_order_behind_the_shuffle(spark):
+    """The hash that orders a bucket is computed where its rows arrive; only the bucket travels."""
+    plan = ranking.hash_rank(spark.range(50).select(F.col("id").cast("string").alias("k")), ["k"], 1)._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("row_number") :]
+    assert "md5" in window[: window.index("RepartitionByExpression")]
