@@ -9,6 +9,7 @@ from coobs.operators import ensemble as E, relations as R, score, tables
 from coobs.plans.ridge import with_linear
 from coobs.queries import fixtures as fx
 from coobs.queries.registry import oracle, query, ridge2_fit, ridge2_gcv, ridge2_loo, ridge2_stats, rounded, rs
+from coobs.session import cut_lineage
 
 KEY = [ENTITY, PROPERTY]
 N = len(fx.AMOUNTS)
@@ -342,6 +343,7 @@ def xf_12_test(spark, sf_dir):
 def xf_13(spark, sf_dir):
     rows, frame = _partner_rows(spark, sf_dir)
     design, features = E.partner_design(rows, frame, fx.AMOUNTS)
+    design = cut_lineage(design, "partner_design")  # read for the moments and for the feature
     out = E.nested_feature(design, features, max_groups=N)
     return rounded(out.select(*KEY, "fold", "outer", "role", "ridge_feature"), 4)
 
