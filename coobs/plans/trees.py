@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coobs.plans.joins import bounded
+from coobs.session import cut_lineage
 
-#: Labelled rows of a group that may teach, and rows that one task predicts.
+#: Labelled rows of a group that may teach, and distinct rows that one task predicts.
 TEACH_ROWS, ASK_ROWS = 20_000, 100_000
 BINS = 255
 #: Nodes of an ensemble in one row of the table; a larger one is several rows.
@@ -248,27 +249,33 @@ def fit_trees(teach: DataFrame, group: Sequence[str], features: Sequence[str], y
 
 
 def predict_trees(asks: DataFrame, models: DataFrame, group: Sequence[str], features: Sequence[str], keep: Sequence[str], max_groups: int) -> DataFrame:
-    """``keep`` columns of ``asks`` (which name a row within its group) and ``pred`` by the group's ensemble; 0 without one."""
+    """``keep`` columns of ``asks`` and ``pred`` by the group's ensemble; 0 without one.
+
+    Trees cost far more than a join, so each combination of features is walked once per group, wherever its rows are.
+    """
     group, features, keep = list(group), list(features), list(keep)
+    asked = asks.select(*group, *features).distinct()
     parts = models.groupBy(*group).agg((F.max("part") + 1).alias("_parts"))
-    sizes = asks.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / ASK_ROWS).cast("int").alias("_salts"))
+    sizes = asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / ASK_ROWS).cast("int").alias("_salts"))
     sizes = sizes.join(parts, group, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    columns = list(dict.fromkeys([*keep, *group, *features]))
     rows = (
-        asks.select(*columns)
-        .join(bounded(sizes, max_groups), group)
-        .withColumn("_salt", F.pmod(F.xxhash64(*keep), F.col("_salts")).cast("int"))
+        asked.join(bounded(sizes, max_groups), group)
+        .withColumn("_salt", F.pmod(F.xxhash64(*features), F.col("_salts")).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         .drop("_salts", "_parts")
     )
     spread = models.join(bounded(sizes.select(*group, "_salts"), max_groups), group).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     on = [*group, "part", "_salt"]
+    named = list(dict.fromkeys([*group, *features]))
 
-    def predict(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out = asked[keep].copy()
-        out["pred"] = applied(model["model"].iloc[0], asked[features].to_numpy(float)) if len(model) and len(asked) else 0.0
+    def predict(mine: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        out = mine[named].copy()
+        out["pred"] = applied(model["model"].iloc[0], mine[features].to_numpy(float)) if len(model) and len(mine) else 0.0
         return out
 
-    shape = ", ".join(f"{c} {asks.schema[c].dataType.simpleString()}" for c in keep)
+    shape = ", ".join(f"{c} {asks.schema[c].dataType.simpleString()}" for c in named)
     found = rows.groupBy(*on).cogroup(spread.select(*on, "model").groupBy(*on)).applyInPandas(predict, f"{shape}, pred double")
-    return found.groupBy(*keep).agg(F.sum("pred").alias("pred"))
+    found = found.groupBy(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(named)]).agg(F.sum("pred").alias("pred"))
+    found = cut_lineage(found, "tree_values")  # its size is known then: a small one is broadcast
+    match = [F.col(c).eqNullSafe(F.col(f"_at{i}")) for i, c in enumerate(named)]
+    return asks.join(found, match, "left").select(*keep, "pred")

@@ -133,3 +133,24 @@ def test_the_chosen_learner_is_the_one_that_stacks(spark):
     for p, g in pdf.groupby(PROPERTY):
         assert 1 - ((g[VALUE] - g["stacked"]) ** 2).mean() / g[VALUE].var() > 0.9
     assert models.chosen_stack(df.limit(0), ["m1", "m2"], ["line"]).count() == 0
+
+
+def test_equal_rows_are_walked_once_over_all_tasks(spark, monkeypatch):
+    """What reaches the ensembles does not grow with copies of a row; nulls and minus zero find their values too."""
+    x = [(0.0, 1.0), (-0.0, 1.0), (2.0, None), (5.0, 3.0)]
+    teach = spark.createDataFrame([("g", i, float(i % 7), float(i % 5), float(i % 7 > 3)) for i in range(60)], "g string, id int, a double, b double, y double")
+    fits = trees.fit_trees(teach, ["g"], ["a", "b"], "y", ["id"], "meta", 1).cache()
+    asks = spark.createDataFrame([(g, i, *x[i % 4]) for i in range(400) for g in ("g", "none")], "g string, id int, a double, b double").repartition(9)
+    walked = spark.sparkContext.accumulator(0)
+    apply = trees.applied
+
+    def counted(blob, rows):
+        walked.add(len(rows))
+        return apply(blob, rows)
+
+    monkeypatch.setattr(trees, "applied", counted)
+    got = trees.predict_trees(asks, fits, ["g"], ["a", "b"], ["g", "id"], 2).collect()
+    assert len(got) == 800 and walked.value == 3
+    want = np.array([[v if v is not None else float("nan") for v in r] for r in x])
+    values = apply(fits.first()["model"], want)
+    assert all(r["pred"] == (values[r["id"] % 4] if r["g"] == "g" else 0.0) for r in got)
