@@ -293,6 +293,20 @@ def test_prediction_store_replaces_only_the_models_written(spark):
         assert sorted((r["model"], r["pred"]) for r in store.collect()) == [("a", 5.0), ("b", 3.0)]
 
 
+def test_prediction_store_does_not_sort_its_rows(spark, monkeypatch):
+    """A sort by model holds a task's rows; a task of more models than it keeps open loses none of them."""
+    rows = spark.range(0, 3000, 1, 2).selectExpr("id", "cast(id as double) AS pred", "concat('m', id % 6) AS model")
+    monkeypatch.setattr(sinks, "OPEN_MODELS", 2)
+    path = scratch_path(spark, "preds")
+    store = sinks.write_predictions(rows, path)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    write = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p and path.rsplit("/", 1)[1] in p]
+    assert len(write) == 1 and "Sort" not in write[0]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert sorted(map(tuple, store.select("id", "pred", "model").collect())) == sorted(map(tuple, rows.collect()))
+
+
 # -- nearest neighbours ------------------------------------------------------------
 
 
