@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from coobs import ENTITY, PROPERTY, VALUE
@@ -256,6 +258,8 @@ def partner_design(
 CANDIDATES = f"{PROPERTY} string, fold int, alpha double, n double, mean array<double>, intercept double, coef array<double>, inverse array<double>"
 #: Rows whose leverages one task takes at once.
 LEVERAGE_ROWS = 100_000
+#: Bytes of candidates that go to every task, so that the rows stay where they are.
+LEVERAGE_BYTES = 16 << 20
 
 
 def ridge_candidates(
@@ -287,10 +291,15 @@ def leave_one_out(rows: DataFrame, candidates: DataFrame, features: Sequence[str
     """(property, fold, alpha, ``loo``): squared leave-one-out errors, summed over the rows that taught the fit.
 
     Without row i a linear fit misses it by its residual over one minus its leverage
-    1/n + (x - mean)' inverse (x - mean), so all refits cost one pass over the rows.  Rows meet their property's
-    candidates in groups salted to ``LEVERAGE_ROWS``; what comes back are sums.
+    1/n + (x - mean)' inverse (x - mean), so all refits cost one pass over the rows.  Few candidates go to
+    the tasks that read the rows; more of them (over ``LEVERAGE_BYTES``) meet the rows of their property in groups
+    salted to ``LEVERAGE_ROWS``.  What comes back are sums.
     """
     features = list(features)
+    few = LEVERAGE_BYTES // (8 * (len(features) + 1) ** 2)
+    fits = candidates.limit(few + 1).collect()
+    if len(fits) <= few:
+        return _scanned_errors(rows, fits, features)
     salts = F.ceil(F.count(F.lit(1)) / LEVERAGE_ROWS).cast("int").alias("_salts")
     sizes = bounded(rows.groupBy(PROPERTY).agg(salts), max_groups)
     salted = rows.select(PROPERTY, "fold", VALUE, *features, ENTITY).join(sizes, PROPERTY)
@@ -314,6 +323,49 @@ def leave_one_out(rows: DataFrame, candidates: DataFrame, features: Sequence[str
     return parts.groupBy(PROPERTY, "fold", "alpha").agg(F.sum("loo").alias("loo"))
 
 
+def _scanned_errors(rows: DataFrame, candidates: Sequence[Row], features: Sequence[str]) -> DataFrame:
+    """``leave_one_out`` without a shuffle of rows: every task has all candidates, those of a fold as one matrix."""
+    named: dict[tuple, list[Row]] = {}
+    for c in candidates:
+        if c[PROPERTY] is not None:
+            named.setdefault((c[PROPERTY], c["fold"]), []).append(c)
+    models: dict[str, list[tuple]] = {}
+    for (name, fold), fits in named.items():
+        inverse = np.concatenate([np.reshape(c["inverse"], (len(features), -1)) for c in fits], axis=1)
+        coef, intercept = np.array([c["coef"] for c in fits]).T, np.array([c["intercept"] for c in fits])
+        models.setdefault(name, []).append((fold, [c["alpha"] for c in fits], fits[0]["n"], np.array(fits[0]["mean"]), intercept, coef, inverse))
+    sent = rows.sparkSession.sparkContext.broadcast(models)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            x, (y, fold) = (
+                np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in features]),
+                (batch.column(c).to_numpy(zero_copy_only=False) for c in (VALUE, "fold")),
+            )
+            known = ~(np.isnan(x).any(axis=1) | np.isnan(y))
+            names = pc.dictionary_encode(batch.column(PROPERTY))
+            code = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False)
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                mine = np.flatnonzero(known & (code == i))
+                xs, ys, folds = x[mine], y[mine], fold[mine]
+                for k, alphas, n, mean, intercept, coef, inverse in sent.value.get(name, ()):
+                    off = xs - mean
+                    spread = (off @ inverse).reshape(len(off), len(alphas), -1)
+                    leverage = 1.0 / n + np.einsum("rap,rp->ra", spread, off)
+                    error = (ys[:, None] - intercept - xs @ coef) / np.maximum(1.0 - leverage, 1e-12)
+                    error[folds == k] = 0.0  # these rows did not teach the fit
+                    held[name, k] = held.get((name, k), 0.0) + (error * error).sum(axis=0)
+        out = [(name, k, a, e) for (name, k), es in held.items() for a, e in zip(next(m[1] for m in sent.value[name] if m[0] == k), es.tolist())]
+        if out:
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=[PROPERTY, "fold", "alpha", "loo"])
+
+    asked = rows.select(PROPERTY, "fold", F.col(VALUE).cast("double").alias(VALUE), *[F.col(c).cast("double").alias(c) for c in features])
+    parts = asked.mapInArrow(sums, f"{PROPERTY} string, fold int, alpha double, loo double")
+    return parts.groupBy(PROPERTY, "fold", "alpha").agg(F.sum("loo").alias("loo"))
+
+
 def ridge_fits(
     rows: DataFrame, features: Sequence[str], alphas: Sequence[float] = PARTNER_ALPHAS, min_train: int = PARTNER_MIN_TRAIN, max_groups: int = 1000
 ) -> DataFrame:

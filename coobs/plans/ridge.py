@@ -3,23 +3,27 @@
 The rows are aggregated once into moments per (property, fold[, inner fold]); every fit,
 penalty search and inner validation error is then a small dense solve on those cells.
 The solves run in ``applyInPandas`` per property on K x inner rows, whatever the data size.
+A few columns are SQL aggregates; more of them are summed as one product per batch, in numpy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coobs.plans.gram import packed, with_wide_linear
+from coobs.plans.gram import HELD, Moments, packed, with_wide_linear
 from coobs.plans.joins import bounded
 from coobs.plans.moments import fold_moments, mean_of, moment_of
 
 MAX_COLUMNS = 24  # 24 predictors are 325 moments; beyond that they are tiles (plans.gram)
 MAX_CELLS = 64 * 8
+BLOCK_COLUMNS = 6  # from here on an aggregate per pair of columns costs more than a product per batch
 
 
 class Cells:
@@ -110,7 +114,66 @@ def inner_alpha(cells: Cells, train: np.ndarray, inner: np.ndarray, alphas, stan
 def moment_cells(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str) -> DataFrame:
     if len(features) > MAX_COLUMNS:
         raise ValueError(f"{len(features)} predictors; the moment path takes up to {MAX_COLUMNS}")
-    return fold_moments(df, keys, [*features, y])
+    return (fold_moments if len(features) < BLOCK_COLUMNS else block_moments)(df, keys, [*features, y])
+
+
+def block_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``fold_moments``, summed in numpy: a task keeps the moments of each key it meets and sends them on
+    once, and the tasks' moments of a key are merged."""
+    keys, cols = list(keys), list(cols)
+    p = len(cols)
+    given = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(keys)])
+    types = pa.schema([("n", pa.float64()), ("mean", pa.list_(pa.float64())), ("m", pa.list_(pa.float64()))])
+
+    def sent(held: dict[tuple, tuple[pa.RecordBatch, Moments]]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches([at for at, _ in held.values()]).combine_chunks().to_batches()[0]
+        parts = [s for _, s in held.values()]
+        sums = [pa.array(v, t) for v, t in zip(([s.n for s in parts], [s.i for s in parts], [s.m.ravel() for s in parts]), types.types)]
+        return pa.RecordBatch.from_arrays([*rows.columns, *sums], names=[*keys, *types.names])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[pa.RecordBatch, Moments]] = {}
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols])
+            known = np.ones(len(x), bool)
+            for c in cols:
+                known &= pc.is_valid(batch.column(c)).to_numpy(zero_copy_only=False)
+            code = np.zeros(len(x), np.int64)
+            for k in keys:
+                d = pc.dictionary_encode(batch.column(k), null_encoding="encode")
+                code = code * max(len(d.dictionary), 1) + d.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.diff(code[order], prepend=-1))
+            for mine in np.split(order, first[1:]) if len(first) else []:
+                at = batch.select(keys).slice(int(mine[0]), 1)
+                key = tuple(c[0].as_py() for c in at.columns)
+                seen = mine[known[mine]]
+                part = Moments.of(x[seen]) if len(seen) else Moments(0.0, np.zeros(p), np.zeros(p), np.zeros((p, p)))
+                if key in held:
+                    held[key][1].add(part)
+                else:
+                    held[key] = at, part
+            if len(held) * 8 * p * p > HELD:
+                yield sent(held)
+                held = {}
+        if held:
+            yield sent(held)
+
+    names = [*[mean_of(c) for c in cols], *[moment_of(a, b) for i, a in enumerate(cols) for b in cols[i:]]]
+    upper = np.triu_indices(p)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = Moments(0.0, np.zeros(p), np.zeros(p), np.zeros((p, p)))
+        for n, mean, m in zip(pdf["n"], pdf["mean"], pdf["m"]):
+            mean = np.asarray(mean, float)
+            total.add(Moments(n, mean, mean, np.asarray(m, float).reshape(p, p)))
+        out = pdf[keys].iloc[:1].reset_index(drop=True)
+        sums = pd.DataFrame([[total.n, *total.i, *total.m[upper]]], columns=["n", *names])
+        return pd.concat([out, sums], axis=1)
+
+    parts = given.mapInArrow(blocks, f"{kinds}, n double, mean array<double>, m array<double>")
+    return parts.groupBy(*keys).applyInPandas(merge, ", ".join([kinds, "n double", *[f"`{c}` double" for c in names]]))
 
 
 def with_linear(

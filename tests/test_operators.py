@@ -127,6 +127,23 @@ def numpy_ridge(x, y, alpha, standardise=False):
     return y.mean() - coef @ mu, coef
 
 
+def test_moments_of_many_columns_are_one_product_per_batch(spark):
+    """The same moments as the SQL aggregates, without one of these per pair of columns; nulls, NaN and null keys included."""
+    rng = np.random.default_rng(2)
+    cols = [f"x{i}" for i in range(ridge.BLOCK_COLUMNS)]
+    x = (rng.normal(size=(300, len(cols) + 1)) + 1e4).tolist()
+    x[7][2] = x[8][0] = None
+    rows = [(None if i % 5 == 0 else f"p{i % 5}", i % 3, *r) for i, r in enumerate(x)]
+    rows += [("empty", 0, *[None] * (len(cols) + 1)), ("nan", 0, *[float("nan")] * (len(cols) + 1))]
+    df = spark.createDataFrame(rows, "property string, fold int, " + ", ".join(f"{c} double" for c in [*cols, "y"])).repartition(3)
+    got = ridge.moment_cells(df, ["property", "fold"], cols, "y")
+    assert "covar_pop" not in got._jdf.queryExecution().toString()
+    want = ridge.fold_moments(df, ["property", "fold"], [*cols, "y"])
+    assert got.dtypes == want.dtypes
+    order = lambda d: d.toPandas().fillna({"property": "-"}).sort_values(["property", "fold"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(got), order(want), rtol=1e-9, atol=1e-7)
+
+
 @pytest.fixture(scope="module")
 def linear(spark):
     rng = np.random.default_rng(0)
@@ -210,6 +227,22 @@ def test_gcv_is_mean_leverage_loo(linear):
     assert ridge.gcv_alpha((len(m), *_stats(m)), E.PARTNER_ALPHAS) == min(scores, key=scores.get)
 
 
+def test_few_candidates_go_to_the_rows(linear, monkeypatch):
+    """No row is shuffled for its leverage unless the candidates are many; both ways give the same sums."""
+    pdf, df = linear
+    df = df.withColumn("a", F.when(F.col("entity") != "e3", F.col("a")))
+    feats = ["a", "b", "c"]
+    candidates = E.ridge_candidates(df, feats, min_train=5)
+    near = E.leave_one_out(df, candidates, feats)
+    assert "CoGroup" not in near._jdf.queryExecution().toString()
+    monkeypatch.setattr(E, "LEVERAGE_BYTES", 0)
+    monkeypatch.setattr(E, "LEVERAGE_ROWS", 11)
+    far = E.leave_one_out(df, candidates, feats)
+    assert "CoGroup" in far._jdf.queryExecution().toString()
+    got, want = ({(r["property"], r["fold"], r["alpha"]): r["loo"] for r in d.collect()} for d in (near, far))
+    assert len(got) == 2 * 5 * 4 and got == pytest.approx(want, rel=1e-9)
+
+
 def test_leave_one_out_equals_refits(linear, monkeypatch):
     """Every row left out and the ridge fitted anew, for all penalties and folds."""
     monkeypatch.setattr(E, "LEVERAGE_ROWS", 11)
