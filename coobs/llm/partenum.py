@@ -185,47 +185,87 @@ def may_reach(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group from different components whose sizes and histograms leave room for a link.
+def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Histograms of a quarter of the bins, which bound the shared shingles too, less closely."""
+    for batch in batches:
+        out = []
+        for hist in batch.column("hist").to_pylist():
+            bins = unpacked(hist)
+            bins = bins.reshape(max(len(bins) // 4, 2), -1).sum(axis=1) if hist else np.array([16])
+            out.append(b"" if bins.max() > 15 else (bins[::2] | bins[1::2] << 4).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(out, pa.binary())], names=["key", "n", "hist"])
 
-    Rows come sorted by group; a set is compared with the larger ones of its size band at once.
-    """
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        rows.sort(key=lambda r: (r[3], r[1]))
-        key, comp, size = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
-        unbounded = np.array([not r[4] for r in rows])
-        folded: dict[int, np.ndarray] = {}
-        for i, (_, _, c, n, hist) in enumerate(rows):
-            j = int(np.searchsorted(size, n * den // num, "right"))
-            if j <= i + 1:
-                continue
-            other = comp[i + 1 : j] != c
-            if not other.any():
-                continue
-            if hist:
-                w = 2 * len(hist)
-                if w not in folded:  # bins of larger sets merge in pairs
-                    folded[w] = np.stack([unpacked(r[4]).reshape(w, -1).sum(axis=1, dtype=np.int16) if 2 * len(r[4]) >= w else np.zeros(w, np.int16) for r in rows])
-                both = np.minimum(folded[w][i + 1 : j], folded[w][i]).sum(axis=1)
-                both = np.where(unbounded[i + 1 : j], n, both)
-            else:
-                both = np.full(j - i - 1, n)
-            for k in np.flatnonzero(other & (den * both >= num * (n + size[i + 1 : j] - both))).tolist():
-                a, b = int(key[i]), int(key[i + 1 + k])
-                yield (a, b) if a < b else (b, a)
-
-    grp, rows, out = None, [], set()
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (grp, key, comp, n, hist) that come sorted by group, one list a group, in the order of sizes."""
+    grp, rows = None, []
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "key", "comp", "n", "hist"))):
-            if row[0] != grp:
-                out.update(pairs(rows))
-                grp, rows = row[0], []
-                if len(out) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-                    out = set()
+            if row[0] != grp and rows:
+                yield sorted(rows, key=lambda r: (r[3], r[1]))
+                rows = []
+            grp = row[0]
             rows.append(row)
-    out.update(pairs(rows))
+    if rows:
+        yield sorted(rows, key=lambda r: (r[3], r[1]))
+
+
+def close(rows: list[tuple], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of a group the later ones of other components whose sizes and histograms leave room for a link.
+
+    A set is compared with the larger ones of its size band at once.
+    """
+    comp, size = (np.array([r[i] for r in rows]) for i in (2, 3))
+    unbounded = np.array([not r[4] for r in rows])
+    folded: dict[int, np.ndarray] = {}
+    for i, (_, _, c, n, hist) in enumerate(rows):
+        j = int(np.searchsorted(size, n * den // num, "right"))
+        if j <= i + 1:
+            continue
+        other = comp[i + 1 : j] != c
+        if not other.any():
+            continue
+        if hist:
+            w = 2 * len(hist)
+            if w not in folded:  # bins of larger sets merge in pairs
+                folded[w] = np.stack([unpacked(r[4]).reshape(w, -1).sum(axis=1, dtype=np.int16) if 2 * len(r[4]) >= w else np.zeros(w, np.int16) for r in rows])
+            both = np.minimum(folded[w][i + 1 : j], folded[w][i]).sum(axis=1)
+            both = np.where(unbounded[i + 1 : j], n, both)
+        else:
+            both = np.full(j - i - 1, n)
+        yield i, i + 1 + np.flatnonzero(other & (den * both >= num * (n + size[i + 1 : j] - both)))
+
+
+def worth_comparing(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Members of a group that their histograms leave room for a link with another of it."""
+    out: list[tuple] = []
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["grp", "key", "comp", "n"])
+
+    for rows in groups_of(batches):
+        some = np.zeros(len(rows), bool)
+        for i, later in close(rows, num, den):
+            some[i] |= len(later) > 0
+            some[later] = True
+        out += [rows[i] for i in np.flatnonzero(some).tolist()]
+        if len(out) > 100_000:
+            yield batch_of(out)
+            out = []
+    yield batch_of(out)
+
+
+def cross_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group from different components whose sizes and histograms leave room for a link."""
+    out = set()
+    for rows in groups_of(batches):
+        for i, later in close(rows, num, den):
+            for j in later.tolist():
+                a, b = rows[i][1], rows[j][1]
+                out.add((a, b) if a < b else (b, a))
+        if len(out) > 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            out = set()
     yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
@@ -394,11 +434,16 @@ def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     sizes = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("hist").alias("hist"))
     sizes = cut_lineage(sizes.join(groups.select(F.explode("members").alias("key")).distinct(), "key", "left_semi"), "partenum_sizes")
 
+    # a set meets many others and may link with few: short histograms tell which, and only there the whole ones go
+    short = cut_lineage(sizes.mapInArrow(shortened, "key bigint, n bigint, hist binary"), "partenum_short")
+
     def fitting(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and histograms leave room for a link."""
-        a, b = (sizes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("hist").alias(f"h{c}")) for c in "ab")
-        near = pairs.join(a, "a").join(b, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-        return near.mapInArrow(lambda it: may_reach(it, 75, 100), "a bigint, b bigint")
+        for hists in (short, sizes):
+            a, b = (hists.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("hist").alias(f"h{c}")) for c in "ab")
+            near = pairs.join(a, "a").join(b, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+            pairs = near.mapInArrow(lambda it: may_reach(it, 75, 100), "a bigint, b bigint")
+        return pairs
 
     # the centre of a group is its member that meets most others: an original more than its copies
     met = groups.select("grp", F.size("members").alias("m"), F.explode("members").alias("key"))
@@ -411,9 +456,14 @@ def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # groups that the stars did not join: members of different components, once
     member = groups.select("grp", F.explode("members").alias("key")).join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     split = member.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
-    apart = member.join(split, "grp").join(sizes, "key").select("grp", "key", "comp", "n", "hist")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = apart.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(lambda it: cross_pairs(it, 75, 100), "a bigint, b bigint").distinct()
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.select("grp", "key", "comp", "n", "hist").repartition(tasks, "grp").sortWithinPartitions("grp")
+
+    apart = dealt(member.join(split, "grp").join(short, "key")).mapInArrow(lambda it: worth_comparing(it, 75, 100), "grp bigint, key bigint, comp bigint, n bigint")
+    apart = dealt(apart.join(sizes.select("key", "hist"), "key"))
+    rest = apart.mapInArrow(lambda it: cross_pairs(it, 75, 100), "a bigint, b bigint").distinct()
     rest = cut_lineage(rest.join(star, ["a", "b"], "left_anti"), "partenum_rest")
     if not rest.isEmpty():
         links = links.union(similar(rest, texts, table))

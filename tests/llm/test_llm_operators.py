@@ -586,3 +586,31 @@ def test_hash_of_words_matches_a_loop():
     assert np.diff(first).tolist() == [2, 0, 2, 2, 1]
     assert words[0] == words[1] == words[-1] and len(set(words.tolist())) == 5
     assert hashlib.md5(data[start[2] : end[2]].tobytes()).hexdigest() == hashlib.md5(b"x" * 5000).hexdigest()
+
+
+def test_partenum_moves_whole_histograms_only_where_a_link_may_be():
+    """Short histograms drop the members of a group that share little more than its signature, and lose no pair."""
+    rng = np.random.default_rng(5)
+    few = rng.integers(1, 1 << 60, 30).astype(np.uint64)
+    sets = [np.unique(np.concatenate([few, rng.integers(1, 1 << 60, n).astype(np.uint64)])) for n in rng.integers(1, 900, 120)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(1, 1 << 60, 5).astype(np.uint64)])) for s in sets[:20]]
+    sets += [few[:1], few[:2], few[:3], few[:5]]
+    rows = []
+    for i, s in enumerate(sets):
+        bits = max(int(np.ceil(np.log2(len(s)))), 1)
+        h = np.bincount((partenum.mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        rows.append((7, i, i, len(s), b"" if h.max() > 15 else (h[::2] | h[1::2] << 4).astype(np.uint8).tobytes()))
+    rows.append((7, len(rows), len(rows), 300, b""))  # no histogram, no bound
+    batch = lambda rs: pa.RecordBatch.from_pylist([dict(zip(("grp", "key", "comp", "n", "hist"), r)) for r in rs])
+    pairs = lambda rs: {(r["a"], r["b"]) for b in partenum.cross_pairs(iter([batch(rs)]), 75, 100) for r in b.to_pylist()}
+    short = [r["hist"] for b in partenum.shortened(iter([batch(rows)])) for r in b.to_pylist()]
+    assert sum(map(len, short)) < 0.3 * sum(len(r[4]) for r in rows)
+    asked = batch([(*r[:4], h) for r, h in zip(rows, short)])
+    kept = {r["key"] for b in partenum.worth_comparing(iter([asked]), 75, 100) for r in b.to_pylist()}
+    want = pairs(rows)
+    assert {(i, 120 + i) for i in range(20) if len(sets[i]) > 60} <= want
+    assert pairs([r for r in rows if r[1] in kept]) == want
+    lonely = [r for r in rows[20:120] if r[3] > 200 and short[r[1]]]  # a bin over 15 leaves no bound
+    assert len(lonely) > 50
+    asked = batch([(*r[:4], short[r[1]]) for r in lonely])
+    assert sum(b.num_rows for b in partenum.worth_comparing(iter([asked]), 75, 100)) < 0.2 * len(lonely)
