@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coobs.llm.components import components
@@ -503,10 +503,23 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         r = right.select(F.col("_id").alias("_rid"), F.col("_digest").alias("_rdigest"))
         return left.join(r, (F.col("_digest") == F.col("_rdigest")) & F.col("_id").eqNullSafe(F.col("_rid")), how)
 
+    # only rows whose id may be asked for are shuffled; the joins that follow are exact
+    def slot(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(BITS))
+
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(drop.union(twice).select(slot("_id").alias("slot")), "slot", BITS))
+
+    @F.arrow_udf("boolean")
+    def listed(slot: pa.Array) -> pa.Array:
+        at = slot.to_numpy(zero_copy_only=False)
+        return pa.array((bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0)
+
     # the row travels as one column, so no column of it can be mistaken for a helper's
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = matched(docs.select(row, F.col(f"`{doc_id}`").alias("_id"), digest(f"`{text}`").alias("_digest")), drop, "left_anti")
+    given = docs.select(row, F.col(f"`{doc_id}`").alias("_id"), digest(f"`{text}`").alias("_digest"))
+    free = given.where(~listed(slot("_id")))
+    kept = matched(given.where(listed(slot("_id"))), drop, "left_anti")
     if not twice.isEmpty():
         again = matched(kept, twice, "left_semi").dropDuplicates(["_id", "_digest"])
         kept = matched(kept, twice, "left_anti").union(again)
-    return kept.select("row.*")
+    return free.select("row.*").union(kept.select("row.*"))

@@ -122,6 +122,32 @@ def test_partenum(spark, docs):
     assert partenum.near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_of_each_shuffles_only_texts_that_may_go(spark):
+    """With no broadcast join, the texts that have no copy still stay where they are."""
+    rng = random.Random(8)
+    base = [prose(rng, 30) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate([*base, *base[:20]])] + [(7, base[7])]  # copies, and a repeated row
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kept = partenum.one_of_each(docs)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan is then a plain tree
+        plan = kept._jdf.queryExecution()
+        assert plan.toRdd().count() == 400
+        moved, todo = 0, [plan.executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Exchange":
+                moved += node.metrics().get("shuffleRecordsWritten").get().value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(400))
+    assert 0 < moved < 200
+
+
 def test_partenum_signatures_meet():
     """Sets at the edge of the similarity share a signature, whatever their sizes."""
     rng = np.random.default_rng(1)
