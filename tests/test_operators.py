@@ -375,6 +375,40 @@ def test_knn_equals_brute_force_with_copies_and_hot_shingles(spark, monkeypatch,
         assert sorted(got[q]) == [(n + 1, i, round(v, 9)) for n, (v, i) in enumerate(best)]
 
 
+def test_knn_meets_part_by_part_and_leaves_no_tables(spark, monkeypatch):
+    """Pairs on disk stay near the limit though every query shares shingles with every training set; what no step reads any more is gone."""
+    monkeypatch.setattr(corpus, "PAIRS", 10)
+    rng = np.random.default_rng(8)
+    sets = [sorted({"s0", "s1", *(f"u{j}" for j in rng.integers(0, 400, 1 + i % 5))}) for i in range(240)]
+    train = [(i, s, float(i)) for i, s in enumerate(sets[:160])]
+    asked = [(1000 + i, s) for i, s in enumerate(sets[160:])]
+    seen, write = [], corpus.cut_lineage
+
+    def kept(df, name="stage"):
+        out = write(df, name)
+        seen.append((name, out.count() if name == "knn_met" else 0, out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(corpus, "cut_lineage", kept)
+    rounds: list = []
+    nn = corpus.knn_jaccard(
+        spark.createDataFrame(train, "entity long, shingles array<string>, value double"),
+        spark.createDataFrame(asked, "entity long, shingles array<string>"), report=rounds,
+    )
+    got = {}
+    for r in nn.collect():
+        got.setdefault(r["entity"], []).append((r["rank"], r["neighbour"], round(r["sim"], 9)))
+    k = int(np.clip(round(len(train) ** 0.4), 3, 25))
+    for q, s in asked:
+        sims = sorted(((len(set(s) & set(t)) / len(set(s) | set(t)), i) for i, t, _ in train), key=lambda x: (-x[0], x[1]))[:k]
+        assert sorted(got[q]) == [(n + 1, i, round(v, 9)) for n, (v, i) in enumerate(sims)]
+    met = [n for name, n, _ in seen if name == "knn_met"]
+    postings = sum(len(set(s)) for _, s, _ in train)
+    assert len(met) > len(rounds) and max(met) <= 4 * postings < sum(met)
+    gone = {name for name, _, files in seen if files and not any(os.path.exists(f.removeprefix("file://")) for f in files)}
+    assert {"knn_rows", "knn_sets", "knn_posted", "knn_queries", "knn_met", "knn_open", "knn_info"} <= gone
+
+
 def test_growing_tables_are_never_broadcast(spark):
     a, b = (spark.range(5).withColumnRenamed("id", "k") for _ in range(2))
     met = corpus._meet(a, b, ["k"])
