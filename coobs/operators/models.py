@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coobs import ENTITY, PROPERTY, VALUE
+from coobs.functions.numeric import r2_from
 from coobs.functions.text import family
 from coobs.operators.ensemble import FIT_SCHEMA, FULL, STANDARD_INNER, inner_fold, nested_standard_fits
-from coobs.operators.score import r2_by
 from coobs.plans.gram import packed, wide_ridge, with_wide_linear
 from coobs.plans.joins import bounded
 from coobs.plans.ranking import hash_rank
 from coobs.plans.ridge import MAX_COLUMNS, Cells, moment_cells, solve, with_linear
+from coobs.plans import trees
 from coobs.plans.trees import TEACH_ROWS, fit_trees, predict_trees
 from coobs.session import cut_lineage
 
@@ -177,6 +178,39 @@ def per_property_oof(
     return found.groupBy(*key, "split").agg(F.avg("pred").alias("pred"))
 
 
+@dataclass(frozen=True)
+class Taught:
+    """What teaches (``entries``), all rows as cells, and edges of the properties whose features are codes in both."""
+
+    entries: DataFrame
+    cells: DataFrame
+    edges: DataFrame | None
+
+
+def taught_entries(
+    rows: DataFrame, parts: Sequence[str], jobs: dict[str, Column], feats: Sequence[str], key: Sequence[str], kind: str, teach_rows: int, seed: int, n: int
+) -> Taught:
+    """Rows of small properties one by one and those of all others as cells, once per job that they teach.
+
+    ``jobs`` are the columns that name a fit, one of them an explode over ``parts``.
+    """
+    facts = trees.group_facts(rows, PROPERTY, feats, VALUE, teach_rows)
+    is_few = bounded(facts.select(PROPERTY, "_few"), n)
+    edges = trees.bin_edges(rows, facts, PROPERTY, feats, trees.vectors_held(kind, len(feats)), n)
+    coded = trees.with_codes(rows, edges, PROPERTY, feats, n)
+    cells = trees.cells_of(coded, facts, PROPERTY, parts, feats, VALUE, list(dict.fromkeys([*key, VALUE])), kind, seed, n)
+    few = rows.join(is_few, PROPERTY).where("_few")
+    few = few.select(*dict.fromkeys([PROPERTY, *parts, *key, VALUE, *feats]), F.lit(1).cast("bigint").alias("n"))
+    many = cells.join(is_few, PROPERTY).where(~F.col("_few"))
+    one = few.select("*", *jobs.values())
+    names = [PROPERTY, *jobs]
+    whole = trees.cells_by(many.select("*", *jobs.values()), names, feats, VALUE)
+    for c in key:
+        whole = whole if c in whole.columns else whole.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
+    columns = list(dict.fromkeys([*names, *key, VALUE, *feats, "n"]))
+    return Taught(one.select(*columns).unionByName(whole.select(*columns)), cells, edges)
+
+
 def bounded_sample(rows: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
     """Per property the ``n`` rows with the least hashes of ``key``; all, if there are fewer."""
     ranked = hash_rank(rows, list(key), seed, [PROPERTY], rank="_rank")
@@ -190,7 +224,8 @@ def chosen_stack(
 
     For each outer fold, on its training rows only: three inner folds give the mean R2 of the standardised ridge at its
     best penalty and of shallow boosted trees on the same predictions; the better one (the ridge on a tie)
-    is fitted on all training rows and predicts the fold's own rows.
+    is fitted on all training rows and predicts the fold's own rows.  Inner scores come from cells of equal predictions,
+    so rows are never multiplied by the number of fits, and no row is shuffled.
     """
     feats, n = list(models), len(properties)
     given = rows.where(F.col(PROPERTY).isin(*properties)).withColumn("inner", inner_fold(STANDARD_INNER, seed))
@@ -203,30 +238,35 @@ def chosen_stack(
         return given.select(ENTITY, PROPERTY, "fold", none.alias("ridge_score"), none.alias("tree_score"), F.lit("ridge").alias("meta"), none.alias("stacked"))
     inner = [FULL, *range(STANDARD_INNER)]
     pairs = F.array(*[F.struct(F.lit(k).alias("outer"), F.lit(j).alias("part")) for k in outer for j in inner])
-    teach = bounded_sample(given, [ENTITY, PROPERTY], teach_rows, seed)
-    seen = F.filter(pairs, lambda p: (p["outer"] != F.col("fold")) & (p["part"] != F.col("inner")))
-    teach = teach.withColumn("job", F.explode(seen)).select("*", "job.outer", "job.part").drop("job")
-    fits = cut_lineage(fit_trees(teach.withColumnRenamed("part", "held"), [PROPERTY, "outer", "held"], feats, VALUE, [ENTITY], "meta", seed), "meta_trees")
-    # a row is asked by the fits that held it out: one of each other outer fold, and that of its own fold
-    held = F.filter(
-        pairs,
-        lambda p: ((p["outer"] == F.col("fold")) & (p["part"] == FULL)) | ((p["outer"] != F.col("fold")) & (p["part"] == F.col("inner"))),
-    )
-    asks = given.withColumn("job", F.explode(held)).select(ENTITY, PROPERTY, VALUE, "fold", *feats, F.col("job.outer").alias("outer"), F.col("job.part").alias("held"))
-    keep = [ENTITY, PROPERTY, VALUE, "fold", "outer", "held"]
-    trees = cut_lineage(predict_trees(asks, fits, [PROPERTY, "outer", "held"], feats, keep, n * len(outer) * len(inner)), "meta_asked")
-    scores = r2_by(trees.where(F.col("held") != FULL), [PROPERTY, "outer", "held"]).groupBy(PROPERTY, "outer").agg(F.avg("r2").alias("tree_score"))
+    seen = F.explode(F.filter(pairs, lambda p: (p["outer"] != F.col("fold")) & (p["part"] != F.col("inner"))))
+    taught = taught_entries(given, ["fold", "inner"], {"job": seen.alias("job")}, feats, [ENTITY], "meta", teach_rows, seed, n)
+    entries = taught.entries.select("*", F.col("job.outer").alias("outer"), F.col("job.part").alias("held"))
+    by = [PROPERTY, "outer", "held"]
+    fits = cut_lineage(fit_trees(entries, by, feats, VALUE, [ENTITY], "meta", seed, "n"), "meta_trees")
+    # a row is scored by the fits that held its inner fold out: one of each other outer fold
+    held = F.explode(F.filter(F.array(*[F.lit(k) for k in outer]), lambda k: k != F.col("fold"))).alias("outer")
+    mean = trees.cell_mean(F.col("_sum"), F.col("n"))
+    cells = taught.cells.select(PROPERTY, held, F.col("inner").alias("held"), *feats, "n", "_m2", "_low", "_high", mean.alias("_mean"))
+    met = trees.predict_trees(cells, fits, by, feats, [*by, "n", "_m2", "_low", "_high", "_mean"], n * len(outer) * len(inner))
+    off = F.col("n") * F.pow(F.col("_mean") - F.col("pred"), 2)
+    centre = F.sum(F.col("n") * F.col("_mean")) / F.sum("n")
+    centred = met.join(bounded(met.groupBy(*by).agg(centre.alias("_centre")), n * len(outer) * len(inner)), by)
+    spread = F.col("n") * F.pow(F.col("_mean") - F.col("_centre"), 2)
+    varies = F.max("_high") > F.min("_low")
+    r2 = centred.groupBy(*by).agg(F.when(varies, r2_from(F.sum(F.col("_m2") + off), F.sum(F.col("_m2") + spread))).alias("r2"))
+    scores = r2.groupBy(PROPERTY, "outer").agg(F.avg("r2").alias("tree_score"))
     scores = cut_lineage(ridge.select(PROPERTY, F.col("fold").alias("outer"), F.col("score").alias("ridge_score")).join(scores, [PROPERTY, "outer"], "left"), "meta_scores")
     chosen = scores.select(
         PROPERTY, F.col("outer").alias("fold"), "ridge_score", "tree_score",
         F.when(F.col("tree_score") > F.col("ridge_score"), "trees").otherwise("ridge").alias("meta"),
     )
     linear = with_linear(given, ridge, [PROPERTY, "fold"], feats, "_ridge", n * 65)
-    own = trees.where(F.col("held") == FULL).select(ENTITY, PROPERTY, F.col("pred").alias("_trees"))
-    both = linear.join(own, [ENTITY, PROPERTY], "left").join(bounded(chosen, n * 65), [PROPERTY, "fold"], "left")
+    asks = linear.select(ENTITY, PROPERTY, "fold", *feats, "_ridge", F.col("fold").alias("outer"), F.lit(FULL).alias("held"))
+    own = trees.predict_trees(asks, trees.with_edges(fits, taught.edges, PROPERTY, n), by, feats, [ENTITY, PROPERTY, "fold", "_ridge"], n * len(outer) * len(inner))
+    both = own.join(bounded(chosen, n * 65), [PROPERTY, "fold"], "left")
     return both.select(
         ENTITY, PROPERTY, "fold", "ridge_score", "tree_score", "meta",
-        F.when(F.col("meta") == "trees", F.col("_trees")).otherwise(F.col("_ridge")).alias("stacked"),
+        F.when(F.col("meta") == "trees", F.col("pred")).otherwise(F.col("_ridge")).alias("stacked"),
     )
 
 

@@ -2,8 +2,10 @@
 
 The ML library fits one ensemble after another and one level of one tree per job, which for
 thousands of trees and many (property, fold) pairs is days of scheduling.  Here every pair is one group of a
-grouped map: it holds at most a documented number of labelled rows, so all pairs fit at the same time
-with all their trees.  Fitted ensembles are rows of a table; they meet the rows to predict in a
+grouped map, so all pairs fit at the same time with all their trees.  All labelled rows teach: those of equal
+features are one entry with their number and their mean, which is all that least squares asks of them, so a group holds
+combinations of features and not rows.  Where there are too many combinations, features are cut at quantiles of all
+rows, as histograms do.  Fitted ensembles are rows of a table; they meet the rows to predict in a
 cogroup whose groups are salted to a bounded number of rows, so neither side passes the driver.
 """
 
@@ -15,15 +17,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coobs.plans.joins import bounded
+from coobs.plans.joins import BROADCAST_ROWS, bounded
+from coobs.plans.quantiles import exact_quantiles
 from coobs.session import cut_lineage
 
-#: Labelled rows of a group that may teach, and distinct rows that one task predicts.
+#: Rows of a property up to which each teaches by itself (beyond, equal ones together), and distinct rows that one task predicts.
 TEACH_ROWS, ASK_ROWS = 20_000, 100_000
 BINS = 255
+#: Numbers (entries times features) that a group's task holds, and parts into which equal rows are dealt where trees see a share of the rows.
+CELL_VALUES = 2_000_000
+BAGS = {"gbt": 10}
 #: Nodes of an ensemble in one row of the table; a larger one is several rows.
 PART_NODES = 2_000_000
 
@@ -93,8 +99,8 @@ def applied(blob: bytes, x: np.ndarray) -> np.ndarray:
 class Grower:
     """One tree, level by level; a subclass proposes the splits of all open nodes at once."""
 
-    def __init__(self, x: np.ndarray, leaf: int):
-        self.x, self.leaf = x, leaf
+    def __init__(self, x: np.ndarray, leaf: int, w: np.ndarray):
+        self.x, self.leaf, self.w = x, leaf, w
 
     def propose(self, target, node, rows, n_open):
         """(gain, feature, threshold) per open node; ``node`` numbers the open node of each of ``rows``."""
@@ -121,22 +127,23 @@ class Grower:
             threshold.append(np.zeros(hi - lo))
             left.append(np.full(hi - lo, -1))
         size = hi
-        n_leaf = np.bincount(at[used], minlength=size)
-        value = np.bincount(at[used], target[used], size) / np.maximum(n_leaf, 1) * scale
+        w = self.w[used]
+        n_leaf = np.bincount(at[used], w, size)
+        value = np.bincount(at[used], w * target[used], size) / np.maximum(n_leaf, 1) * scale
         return np.concatenate(feature)[:size], np.concatenate(threshold)[:size], np.concatenate(left)[:size], value, at
 
 
 class Histograms(Grower):
     """The best split of each node over binned features."""
 
-    def __init__(self, x: np.ndarray, leaf: int):
-        super().__init__(x, leaf)
+    def __init__(self, x: np.ndarray, leaf: int, w: np.ndarray):
+        super().__init__(x, leaf, w)
         self.edges = []
         codes = np.zeros(x.shape, np.int64)
         for j in range(x.shape[1]):
             v = np.unique(x[:, j])
             if len(v) > BINS:
-                v = np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)))
+                v = np.unique(quantiles(x[:, j], w, np.linspace(0, 1, BINS)))
             edges = (v[1:] + v[:-1]) / 2
             codes[:, j] = np.searchsorted(edges, x[:, j], "left")
             self.edges.append(edges)
@@ -149,8 +156,9 @@ class Histograms(Grower):
     def propose(self, target, node, rows, n_open):
         f, b = len(self.edges), self.bins
         key = (node[:, None] * (f * b) + self.codes[rows]).ravel()
-        n = np.bincount(key, minlength=n_open * f * b).reshape(n_open, f, b).cumsum(axis=2)
-        s = np.bincount(key, np.repeat(target[rows], f), n_open * f * b).reshape(n_open, f, b).cumsum(axis=2)
+        w = self.w[rows]
+        n = np.bincount(key, np.repeat(w, f), n_open * f * b).reshape(n_open, f, b).cumsum(axis=2)
+        s = np.bincount(key, np.repeat(w * target[rows], f), n_open * f * b).reshape(n_open, f, b).cumsum(axis=2)
         total, whole = n[:, :, -1:], s[:, :, -1:]
         right = total - n
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -164,27 +172,28 @@ class Histograms(Grower):
 class RandomCuts(Grower):
     """The best of a few features of each node, each cut at a random place between its extremes there."""
 
-    def __init__(self, x: np.ndarray, leaf: int, share: float, rng: np.random.Generator):
-        super().__init__(x, leaf)
+    def __init__(self, x: np.ndarray, leaf: int, share: float, rng: np.random.Generator, w: np.ndarray):
+        super().__init__(x, leaf, w)
         self.tries, self.rng = max(1, int(share * x.shape[1])), rng
 
     def propose(self, target, node, rows, n_open):
         order = np.argsort(node, kind="stable")
         node, rows = node[order], rows[order]
         head = np.searchsorted(node, np.arange(n_open))
-        x, y = self.x[rows], target[rows]
+        x, w = self.x[rows], self.w[rows]
+        y = w * target[rows]
         low, high = np.minimum.reduceat(x, head), np.maximum.reduceat(x, head)
         # features that do not vary in a node are passed over
         rank = np.where(high > low, self.rng.random((n_open, x.shape[1])), 2.0)
         chosen = np.argsort(rank, axis=1)[:, : self.tries]
         at = np.arange(n_open)
-        n, s = np.bincount(node, minlength=n_open), np.bincount(node, y, n_open)
+        n, s = np.bincount(node, w, n_open), np.bincount(node, y, n_open)
         best, feature, threshold = np.zeros(n_open), np.zeros(n_open, np.int64), np.zeros(n_open)
         for c in range(self.tries):
             f = chosen[:, c]
             cut = low[at, f] + self.rng.random(n_open) * (high[at, f] - low[at, f])
             inside = x[np.arange(len(x)), f[node]] <= cut[node]
-            nl, sl = np.bincount(node, inside, n_open), np.bincount(node, np.where(inside, y, 0.0), n_open)
+            nl, sl = np.bincount(node, np.where(inside, w, 0.0), n_open), np.bincount(node, np.where(inside, y, 0.0), n_open)
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = sl**2 / nl + (s - sl) ** 2 / (n - nl) - s**2 / n
             good = (rank[at, f] < 2) & (nl >= self.leaf) & (n - nl >= self.leaf)
@@ -193,9 +202,20 @@ class RandomCuts(Grower):
         return best, feature, threshold
 
 
-def boosted(x: np.ndarray, y: np.ndarray, iterations: int, depth: int, leaf: int, rate: float, share: float, seed: int) -> Trees:
-    """Least-squares boosting: every tree fits what the ones before leave, on a share of the rows."""
-    rng, grower, out = np.random.default_rng(seed), Histograms(x, leaf), Trees(float(y.mean()))
+def quantiles(x: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Interpolated quantiles of values that stand for ``w`` rows each."""
+    if (w == 1).all():
+        return np.quantile(x, at)
+    order = np.argsort(x, kind="stable")
+    upto, place = np.cumsum(w[order]), at * (w.sum() - 1)
+    low, high = (x[order][np.minimum(np.searchsorted(upto, p, "right"), len(x) - 1)] for p in (np.floor(place), np.ceil(place)))
+    return low + (high - low) * (place - np.floor(place))
+
+
+def boosted(x: np.ndarray, y: np.ndarray, iterations: int, depth: int, leaf: int, rate: float, share: float, seed: int, w: np.ndarray | None = None) -> Trees:
+    """Least-squares boosting: every tree fits what the ones before leave, on a share of the entries."""
+    w = np.ones(len(y)) if w is None else w
+    rng, grower, out = np.random.default_rng(seed), Histograms(x, leaf, w), Trees(float((w * y).sum() / w.sum()))
     fitted, take = np.full(len(y), out.base), max(1, int(round(share * len(y))))
     for _ in range(iterations):
         used = np.arange(len(y)) if take == len(y) else np.sort(rng.permutation(len(y))[:take])
@@ -205,55 +225,187 @@ def boosted(x: np.ndarray, y: np.ndarray, iterations: int, depth: int, leaf: int
     return out
 
 
-def forest(x: np.ndarray, y: np.ndarray, trees: int, leaf: int, share: float, seed: int) -> Trees:
+def forest(x: np.ndarray, y: np.ndarray, trees: int, leaf: int, share: float, seed: int, w: np.ndarray | None = None) -> Trees:
     """Mean of fully grown trees with random cuts, each on all rows."""
+    w = np.ones(len(y)) if w is None else w
     rng, out = np.random.default_rng(seed), Trees(0.0)
     for _ in range(trees):
-        *tree, _ = RandomCuts(x, leaf, share, rng).grow(y, np.arange(len(y)), None, 1.0 / trees)
+        *tree, _ = RandomCuts(x, leaf, share, rng, w).grow(y, np.arange(len(y)), None, 1.0 / trees)
         out.add(*tree)
     return out
 
 
-def fitted(kind: str, x: np.ndarray, y: np.ndarray, seed: int) -> Trees:
-    """An ensemble at the capacity that its number of rows asks for; a constant for fewer than 5 rows or a constant target."""
-    if len(y) < 5 or y.min() == y.max():
-        return Trees(float(y.mean()) if len(y) else 0.0)
+def fitted(kind: str, x: np.ndarray, y: np.ndarray, seed: int, w: np.ndarray | None = None) -> Trees:
+    """An ensemble at the capacity that its number of rows asks for; a constant for fewer than 5 rows or a constant target.
+
+    ``w``: the number of rows that each entry stands for, with their mean in ``y``; one by default.
+    """
+    w = np.ones(len(y)) if w is None else w
+    n = int(w.sum())
+    if n < 5 or y.min() == y.max():
+        return Trees(float((w * y).sum() / n) if n else 0.0)
     if kind == "gbt":
-        iterations, depth, leaf = BOOSTED[tier(len(y))]
-        return boosted(x, y, iterations, depth, leaf, 0.04, 0.8, seed)
+        iterations, depth, leaf = BOOSTED[tier(n)]
+        return boosted(x, y, iterations, depth, leaf, 0.04, 0.8, seed, w)
     if kind == "meta":  # a shallow learner on top of other predictions
         iterations, depth, leaf = META
-        return boosted(x, y, iterations, depth, leaf, 0.05, 1.0, seed)
+        return boosted(x, y, iterations, depth, leaf, 0.05, 1.0, seed, w)
     if kind == "forest":
-        trees, leaf = FOREST[tier(len(y))]
-        return forest(x, y, trees, leaf, 0.3, seed)
+        trees, leaf = FOREST[tier(n)]
+        return forest(x, y, trees, leaf, 0.3, seed, w)
     raise ValueError(f"unknown kind {kind!r}")
 
 
-def fit_trees(teach: DataFrame, group: Sequence[str], features: Sequence[str], y: str, key: Sequence[str], kind: str, seed: int) -> DataFrame:
+# -- rows as cells -----------------------------------------------------------------
+
+
+def vectors_held(kind: str, n_features: int) -> int:
+    """Combinations of features that a group's task may hold; a fully grown forest has a node for each in every tree."""
+    return TEACH_ROWS if kind == "forest" else CELL_VALUES // (BAGS.get(kind, 1) * max(1, n_features))
+
+
+def group_facts(rows: DataFrame, group: str, features: Sequence[str], y: str, teach_rows: int) -> DataFrame:
+    """(group, ``_few``: whether its rows teach one by one, ``_v``: about how many combinations of features, ``_unit``: in which ``y`` is counted)."""
+    unit = F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(F.max(F.abs(y)))) - 53), F.lit(1.0))
+    facts = rows.groupBy(group).agg(
+        (F.count(F.lit(1)) <= teach_rows).alias("_few"), F.approx_count_distinct(F.xxhash64(*features), 0.02).alias("_v"), unit.alias("_unit")
+    )
+    return cut_lineage(facts, "tree_facts")
+
+
+def bin_edges(rows: DataFrame, facts: DataFrame, group: str, features: Sequence[str], vectors: int, max_groups: int) -> DataFrame | None:
+    """(group, ``_edges``: an array per feature) for groups of more than about ``vectors`` combinations of features whose rows do
+    not teach one by one; None without any.
+
+    A feature's edges are its quantiles over all rows of the group: as many as leave no more combinations than that, two bins at least.
+    """
+    over = [r[group] for r in facts.where(~F.col("_few") & (F.col("_v") > vectors)).select(group).collect()]  # of a closed domain
+    if not over:
+        return None
+    many, bins = rows.where(F.col(group).isin(*over)), BINS
+    while True:
+        edges = None
+        for j, f in enumerate(features):
+            wanted = {f"q{i}": i / bins for i in range(1, bins)}
+            mine = exact_quantiles(many.where(~F.isnan(f)), [group], f, wanted, max_groups)
+            mine = mine.select(group, F.array_sort(F.array_distinct(F.array(*wanted))).alias(f"_e{j}"))
+            edges = mine if edges is None else edges.join(mine, group, "full")
+        none = F.array().cast("array<double>")
+        edges = edges.select(group, F.array(*[F.coalesce(f"_e{j}", none) for j in range(len(features))]).alias("_edges"))
+        edges = cut_lineage(edges, "tree_edges")
+        found = with_codes(many, edges, group, features, max_groups).groupBy(group).agg(F.approx_count_distinct(F.xxhash64(*features), 0.02).alias("_v"))
+        if bins <= 2 or (found.agg(F.max("_v")).first()[0] or 0) <= vectors:
+            return edges
+        bins //= 2
+
+
+def with_codes(rows: DataFrame, edges: DataFrame | None, group: str, features: Sequence[str], max_groups: int) -> DataFrame:
+    """Features of the groups that have edges as the number of edges below them (missing ones go left, as in a tree)."""
+    if edges is None:
+        return rows
+    code = lambda f, j: F.size(F.filter(F.col("_edges")[j], lambda e: e < F.col(f))).cast("double")
+    known = lambda f: F.col(f).isNotNull() & ~F.isnan(f)
+    coded = {f: F.when(F.col("_edges").isNull(), F.col(f)).otherwise(F.when(known(f), code(f, j)).otherwise(0.0)) for j, f in enumerate(features)}
+    return rows.join(bounded(edges, max_groups), group, "left").withColumns(coded).drop("_edges")
+
+
+def with_edges(models: DataFrame, edges: DataFrame | None, group: str, max_groups: int) -> DataFrame:
+    """Ensembles that were fitted on codes, with cuts in the features themselves."""
+    if edges is None:
+        return models
+
+    def placed(batches):
+        for pdf in batches:
+            pdf["model"] = [m if e is None else moved(m, e) for m, e in zip(pdf["model"], pdf["_edges"])]
+            yield pdf.drop(columns="_edges")
+
+    return models.join(bounded(edges, max_groups), group, "left").select(*models.columns, "_edges").mapInPandas(placed, models.schema)
+
+
+def moved(blob: bytes, edges: Sequence[Sequence[float]]) -> bytes:
+    m = dict(np.load(io.BytesIO(blob)))
+    for j, e in enumerate(edges):
+        at = m["feature"] == j
+        # a code above a cut is a value above the edge of that number
+        m["threshold"][at] = np.asarray(e, float)[np.floor(m["threshold"][at]).astype(int)]
+    held = io.BytesIO()
+    np.savez(held, **m)
+    return held.getvalue()
+
+
+def cells_of(rows: DataFrame, facts: DataFrame, group: str, parts: Sequence[str], features: Sequence[str], y: str, key: Sequence[str], kind: str, seed: int, max_groups: int) -> DataFrame:
+    """All rows as (group, parts, features, ``_bag``, ``n``, ``_sum``, ``_unit``, ``_m2``, ``_low``, ``_high``): those of equal features together.
+
+    ``_sum`` counts whole units (the group's greatest value has 53 binary digits of them), so it does not depend on the order of rows;
+    ``_m2`` is the squared error about the cell's mean.  Where trees see a share of the rows, a hash of ``key`` deals equal rows over bags.
+    """
+    named = rows.join(bounded(facts.select(group, "_unit"), max_groups), group)
+    bag = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(BAGS.get(kind, 1))).cast("int")
+    counted = named.withColumn("_bag", bag).groupBy(group, *parts, *features, "_bag").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.rint(F.col(y) / F.col("_unit")).cast("decimal(18,0)")).alias("_sum"),
+        F.max("_unit").alias("_unit"),
+        (F.var_pop(y) * F.count(F.lit(1))).alias("_m2"),
+        F.min(y).alias("_low"),
+        F.max(y).alias("_high"),
+    )
+    return cut_lineage(counted, "tree_cells")
+
+
+def cell_mean(total: Column, n: Column) -> Column:
+    return total.cast("double") / n * F.col("_unit")
+
+
+def cells_by(cells: DataFrame, group: Sequence[str], features: Sequence[str], y: str) -> DataFrame:
+    """Cells put together by ``group``: (group, features, ``n``, mean ``y``)."""
+    whole = cells.groupBy(*group, *features, "_bag").agg(F.sum("n").alias("n"), F.sum("_sum").alias("_sum"), F.max("_unit").alias("_unit"))
+    return whole.select(*group, *features, "n", cell_mean(F.col("_sum"), F.col("n")).alias(y))
+
+
+def fit_trees(
+    teach: DataFrame, group: Sequence[str], features: Sequence[str], y: str, key: Sequence[str], kind: str, seed: int, weight: str | None = None
+) -> DataFrame:
     """(group, ``part``, ``n``, ``model``): an ensemble per group of ``teach``, whose groups the caller has bounded.
 
-    Rows are put in the order of ``key``, so a result depends on the rows alone.
+    Entries are put in the order of ``key``, so a result depends on the rows alone; ``weight`` is the number of rows of an entry.
     """
     group, features, key = list(group), list(features), list(key)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*key, y, *features], kind="stable")
         name = "|".join(str(pdf[g].iloc[0]) for g in group)
-        made = fitted(kind, pdf[features].to_numpy(float), pdf[y].to_numpy(float), zlib.crc32(f"{name}|{seed}".encode())).blobs()
-        return pd.DataFrame([[*(pdf[g].iloc[0] for g in group), i, len(pdf), b] for i, b in enumerate(made)], columns=[*group, "part", "n", "model"])
+        w = pdf[weight].to_numpy(float) if weight else np.ones(len(pdf))
+        made = fitted(kind, pdf[features].to_numpy(float), pdf[y].to_numpy(float), zlib.crc32(f"{name}|{seed}".encode()), w).blobs()
+        return pd.DataFrame([[*(pdf[g].iloc[0] for g in group), i, int(w.sum()), b] for i, b in enumerate(made)], columns=[*group, "part", "n", "model"])
 
     kinds = ", ".join(f"{g} {teach.schema[g].dataType.simpleString()}" for g in group)
-    columns = list(dict.fromkeys([*group, *key, y, *features]))
-    return teach.select(*columns).groupBy(*group).applyInPandas(fit, f"{kinds}, part int, n long, model binary")
+    columns = list(dict.fromkeys([*group, *key, y, *features, *([weight] if weight else [])]))
+    # few bytes and much work: unless their number is given, adaptive execution would join all groups in one task
+    dealt = teach.select(*columns).repartition(4 * teach.sparkSession.sparkContext.defaultParallelism, *group)
+    return dealt.groupBy(*group).applyInPandas(fit, f"{kinds}, part int, n long, model binary")
 
 
 def predict_trees(asks: DataFrame, models: DataFrame, group: Sequence[str], features: Sequence[str], keep: Sequence[str], max_groups: int) -> DataFrame:
-    """``keep`` columns of ``asks`` and ``pred`` by the group's ensemble; 0 without one.
+    """``keep`` columns of ``asks`` and ``pred`` by the group's ensemble; 0 without one."""
+    named = list(dict.fromkeys([*group, *features]))
+    return matched(asks, tree_values(asks, models, group, features, max_groups), named).select(*keep, "pred")
+
+
+def matched(asks: DataFrame, values: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``pred`` of ``values`` beside each row; equal values, nulls too, meet."""
+    found = values.select(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(on)], "pred")
+    if values.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    match = [F.col(c).eqNullSafe(F.col(f"_at{i}")) for i, c in enumerate(on)]
+    return asks.join(found, match, "left").drop(*[f"_at{i}" for i in range(len(on))])
+
+
+def tree_values(asks: DataFrame, models: DataFrame, group: Sequence[str], features: Sequence[str], max_groups: int) -> DataFrame:
+    """A written table of (group, features, ``pred``).
 
     Trees cost far more than a join, so each combination of features is walked once per group, wherever its rows are.
     """
-    group, features, keep = list(group), list(features), list(keep)
+    group, features = list(group), list(features)
     asked = asks.select(*group, *features).distinct()
     parts = models.groupBy(*group).agg((F.max("part") + 1).alias("_parts"))
     sizes = asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / ASK_ROWS).cast("int").alias("_salts"))
@@ -275,7 +427,4 @@ def predict_trees(asks: DataFrame, models: DataFrame, group: Sequence[str], feat
 
     shape = ", ".join(f"{c} {asks.schema[c].dataType.simpleString()}" for c in named)
     found = rows.groupBy(*on).cogroup(spread.select(*on, "model").groupBy(*on)).applyInPandas(predict, f"{shape}, pred double")
-    found = found.groupBy(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(named)]).agg(F.sum("pred").alias("pred"))
-    found = cut_lineage(found, "tree_values")  # its size is known then: a small one is broadcast
-    match = [F.col(c).eqNullSafe(F.col(f"_at{i}")) for i, c in enumerate(named)]
-    return asks.join(found, match, "left").select(*keep, "pred")
+    return cut_lineage(found.groupBy(*named).agg(F.sum("pred").alias("pred")), "tree_values")

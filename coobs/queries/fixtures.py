@@ -17,7 +17,7 @@ from coobs.functions.text import char_tokens, compact_key, map_placeholder, word
 from coobs.operators import corpus, folds, relations as R, tables
 from coobs.plans.moments import fold_moments, intercept, slope
 from coobs.queries.registry import table
-from coobs.session import cut_lineage
+from coobs.session import cut_lineage, discard
 
 EVENT_TYPES = ["view", "click", "purchase", "signup", "error"]
 ARCHIVE_TYPES = ["view", "click"]
@@ -248,7 +248,9 @@ def order_folds(spark: SparkSession, sf_dir: str, seed: int = 42, k: int = FOLDS
     """Folds are assigned once and written: every later step reads the same table."""
     # ranks count the rows before they order them, so they are made once as well
     rows = cut_lineage(order_meas(spark, sf_dir), "order_meas")
-    return cut_lineage(folds.property_folds(rows, k=k, seed=seed), "folds")
+    dealt = cut_lineage(folds.property_folds(rows, k=k, seed=seed), "folds")
+    discard(rows)
+    return dealt
 
 
 def meas_folds(spark: SparkSession, sf_dir: str, seed: int = 42, k: int = FOLDS) -> DataFrame:

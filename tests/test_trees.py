@@ -154,3 +154,54 @@ def test_equal_rows_are_walked_once_over_all_tasks(spark, monkeypatch):
     want = np.array([[v if v is not None else float("nan") for v in r] for r in x])
     values = apply(fits.first()["model"], want)
     assert all(r["pred"] == (values[r["id"] % 4] if r["g"] == "g" else 0.0) for r in got)
+
+
+def repeated(spark, n=3000, seed=4):
+    """Many rows of few combinations of features, with noise that only all rows together average out."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for p in ("a", "b"):
+        for i in range(n):
+            f, g = float(rng.integers(0, 6)), float(rng.integers(0, 4))
+            out.append((f"e{i}", p, (f - 2) * g + float(rng.normal(0, 5)), i % 3, i % 2, f, g))
+    return spark.createDataFrame(out, f"{ENTITY} string, {PROPERTY} string, {VALUE} double, fold int, inner int, f double, g double")
+
+
+@pytest.mark.parametrize("kind", ["meta", "forest"])
+def test_cells_teach_what_their_rows_teach(kind):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 5, (900, 2)).astype(float)
+    y = x[:, 0] * x[:, 1] + rng.normal(size=900)
+    cells, at = np.unique(x, axis=0, return_inverse=True)
+    n = np.bincount(at.reshape(-1)).astype(float)
+    mean = np.bincount(at.reshape(-1), y) / n
+    assert np.allclose(predict(trees.fitted(kind, cells, mean, 5, n), cells), predict(trees.fitted(kind, x, y, 5), cells), atol=1e-4)
+
+
+def test_weighted_quantiles_are_those_of_the_rows():
+    rng = np.random.default_rng(1)
+    x, w = rng.normal(size=50), rng.integers(1, 9, 50).astype(float)
+    at = np.linspace(0, 1, 31)
+    assert np.allclose(trees.quantiles(x, w, at), np.quantile(np.repeat(x, w.astype(int)), at))
+
+
+def test_cuts_of_codes_become_cuts_of_values():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 2))
+    x[0, 0] = np.nan
+    edges = [np.quantile(x[1:, 0], [0.2, 0.5, 0.7]), np.quantile(x[:, 1], [0.1, 0.9])]
+    codes = np.column_stack([np.where(np.isnan(x[:, j]), 0, np.searchsorted(e, x[:, j], "left")) for j, e in enumerate(edges)]).astype(float)
+    for kind in ("gbt", "forest"):
+        (blob,) = trees.fitted(kind, codes, x[:, 1] + np.nan_to_num(x[:, 0]) ** 2, 1).blobs()
+        assert (trees.applied(trees.moved(blob, edges), x) == trees.applied(blob, codes)).all()
+
+
+def test_the_stack_is_the_same_by_rows_and_by_cells(spark):
+    df = repeated(spark, 900).drop("inner")
+    by_rows = models.chosen_stack(df, ["f", "g"], ["a", "b"])
+    by_cells = models.chosen_stack(df, ["f", "g"], ["a", "b"], teach_rows=10)
+    both = by_rows.join(by_cells.select(ENTITY, PROPERTY, F.col("stacked").alias("s"), F.col("tree_score").alias("t"), F.col("meta").alias("m")), [ENTITY, PROPERTY]).toPandas()
+    assert len(both) == 1800 and (both["meta"] == both["m"]).all() and set(both["meta"]) == {"trees"}
+    assert np.allclose(both["s"], both["stacked"], atol=1e-4) and np.allclose(both["t"], both["tree_score"], atol=1e-6)
+    # rows meet small tables only: none is shuffled, none is multiplied
+    assert "hashpartitioning(entity" not in by_cells._jdf.queryExecution().toString() and "Generate" not in by_cells._jdf.queryExecution().toString()
