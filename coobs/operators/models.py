@@ -23,7 +23,7 @@ from coobs.plans.joins import bounded
 from coobs.plans.ranking import hash_rank
 from coobs.plans.ridge import MAX_COLUMNS, Cells, moment_cells, solve, with_linear
 from coobs.plans import trees
-from coobs.plans.trees import TEACH_ROWS, fit_trees, predict_trees
+from coobs.plans.trees import TEACH_ROWS, fit_trees
 from coobs.session import cut_lineage
 
 RIDGE_MIN_ROWS = 5
@@ -154,28 +154,36 @@ def per_property_oof(
     """Fit per (property, fold); predict validation and test; average the fold models on
     test and never refit on everything.  Returns (key.., split, pred).
 
-    All fits are groups of one job.  Per property the ``teach_rows`` rows with the least hashes teach
-    (all, if there are fewer), at the capacity their number asks for.  ``augment`` rows (with parent
-    folds) join training parts only, under the same bound.
+    All fits are groups of one job.  All rows teach: one by one in properties of at most ``teach_rows`` rows, beyond
+    that those of equal features together (``plans.trees``).  ``augment`` rows (with parent
+    folds) join training parts only.
     """
-    feats, key = list(features), list(key)
+    feats, key, n = list(features), list(key), len(properties)
     ours = F.col(PROPERTY).isin(*properties)
     clean = cut_lineage(rows.where(ours).fillna(0.0, subset=feats), "tree_rows")
     columns = list(dict.fromkeys([*key, PROPERTY, VALUE, "fold", *feats]))
-    teach = bounded_sample(clean.select(*columns), key, teach_rows, seed)
+    teach = clean.select(*columns)
     if augment is not None:
         extra = augment.where(ours).fillna(0.0, subset=feats)
         for c in key:
             extra = extra if c in extra.columns else extra.withColumn(c, F.lit(None).cast(clean.schema[c].dataType))
-        teach = teach.unionByName(bounded_sample(extra.select(*columns), [*key, VALUE, *feats], teach_rows, seed))
+        teach = cut_lineage(teach.unionByName(extra.select(*columns)), "tree_taught")
     jobs = F.sequence(F.lit(0), F.lit(folds - 1))
-    teach = teach.withColumn("job", F.explode(F.filter(jobs, lambda k: k != F.col("fold"))))
-    fits = cut_lineage(fit_trees(teach, [PROPERTY, "job"], feats, VALUE, key, kind, seed), "tree_fits")
-    asks = clean.select(*key, *[c for c in (PROPERTY,) if c not in key], *feats, F.col("fold").alias("job"), F.lit("oof").alias("split"))
-    asked = test.where(ours).fillna(0.0, subset=feats).withColumn("job", F.explode(jobs)).withColumn("split", F.lit("test"))
-    every = asks.unionByName(asked.select(*asks.columns))
-    found = predict_trees(every, fits, [PROPERTY, "job"], feats, [*key, "job", "split"], len(properties) * folds)
-    return found.groupBy(*key, "split").agg(F.avg("pred").alias("pred"))
+    other = F.explode(F.filter(jobs, lambda k: k != F.col("fold"))).alias("job")
+    taught = taught_entries(teach, ["fold"], {"job": other}, feats, key, kind, teach_rows, seed, n)
+    fits = cut_lineage(fit_trees(taught.entries, [PROPERTY, "job"], feats, VALUE, key, kind, seed, "n"), "tree_fits")
+    fits = trees.with_edges(fits, taught.edges, PROPERTY, n)
+
+    own = clean.select(*dict.fromkeys([*key, PROPERTY, *feats]), F.col("fold").alias("job"))
+    asked = test.where(ours).fillna(0.0, subset=feats).select(*dict.fromkeys([*key, PROPERTY, *feats]))
+    vectors = asked.select(PROPERTY, *feats).distinct().withColumn("job", F.explode(jobs))
+    every = own.select(PROPERTY, "job", *feats).unionByName(vectors.select(PROPERTY, "job", *feats))
+    values = trees.tree_values(every, fits, [PROPERTY, "job"], feats, n * folds)
+    mean = values.groupBy(PROPERTY, *feats).agg(F.avg("pred").alias("pred"))
+    oof = trees.matched(own, values, [PROPERTY, "job", *feats]).withColumn("split", F.lit("oof"))
+    tested = trees.matched(asked, mean, [PROPERTY, *feats]).withColumn("split", F.lit("test"))
+    both = oof.select(*key, "split", "pred").unionByName(tested.select(*key, "split", "pred"))
+    return both.groupBy(*key, "split").agg(F.avg("pred").alias("pred"))
 
 
 @dataclass(frozen=True)
@@ -212,7 +220,7 @@ def taught_entries(
 
 
 def bounded_sample(rows: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """Per property the ``n`` rows with the least hashes of ``key``; all, if there are fewer."""
+    """Per property the ``n`` rows with the least hashes of ``key``; all, if there are fewer.  No model is taught by it."""
     ranked = hash_rank(rows, list(key), seed, [PROPERTY], rank="_rank")
     return ranked.where(F.col("_rank") < n).drop("_rank")
 

@@ -185,6 +185,44 @@ def test_weighted_quantiles_are_those_of_the_rows():
     assert np.allclose(trees.quantiles(x, w, at), np.quantile(np.repeat(x, w.astype(int)), at))
 
 
+@pytest.mark.parametrize("kind", ["gbt"])
+def test_all_rows_of_a_large_property_teach(spark, monkeypatch, kind):
+    made, fit = [], models.fit_trees
+    monkeypatch.setattr(models, "fit_trees", lambda teach, *a: made.append((teach.cache(), fit(teach, *a).cache())) or made[-1][1])
+    rows = repeated(spark)
+    got = models.per_property_oof(rows, rows.drop(VALUE, "fold").limit(0), ["f", "g"], ["a", "b"], kind=kind, folds=3, teach_rows=100)
+    found = {(r[ENTITY], r[PROPERTY]): r["pred"] for r in got.collect()}
+    entries, fits = made[0]
+    assert {r["n"] for r in fits.collect()} == {2000}  # two thirds of 3,000 rows
+    assert entries.groupBy(PROPERTY, "job").count().agg(F.max("count")).first()[0] <= 6 * 4 * trees.BAGS.get(kind, 1)
+    pdf = rows.toPandas()
+    off = []
+    for (p, k, f, g), mine in pdf.groupby([PROPERTY, "fold", "f", "g"]):
+        rest = pdf[(pdf[PROPERTY] == p) & (pdf["fold"] != k) & (pdf["f"] == f) & (pdf["g"] == g)]
+        off.append(found[mine[ENTITY].iloc[0], p] - rest[VALUE].mean())
+    # the mean of some 80 rows with a spread of 5; 100 sampled rows of a property leave one or two in a cell
+    assert np.sqrt(np.mean(np.square(off))) < (0.05 if kind == "forest" else 0.3)
+
+
+def test_many_combinations_are_cut_at_quantiles_of_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 2))
+    y = 3 * x[:, 0] + np.abs(x[:, 1])
+    rows = spark.createDataFrame(
+        [(f"e{i}", p, float(v), i % 3, float(f), float(g)) for i, ((f, g), v) in enumerate(zip(x, y)) for p in ("a", "b")],
+        f"{ENTITY} string, {PROPERTY} string, {VALUE} double, fold int, f double, g double",
+    )
+    monkeypatch.setattr(trees, "CELL_VALUES", 3000)  # 150 combinations
+    made, fit = [], models.fit_trees
+    monkeypatch.setattr(models, "fit_trees", lambda teach, *a: made.append(teach.cache()) or fit(teach, *a))
+    got = models.per_property_oof(rows, rows.drop(VALUE, "fold").limit(0), ["f", "g"], ["a", "b"], folds=3, teach_rows=100)
+    pdf = got.join(rows, [ENTITY, PROPERTY]).toPandas()
+    assert len(pdf) == 3000
+    seen = made[0].groupBy(PROPERTY, "job").agg(F.sum("n").alias("n"), F.countDistinct("f", "g").alias("v")).collect()
+    assert all(r["n"] == 1000 and r["v"] <= 170 for r in seen)
+    assert 1 - ((pdf[VALUE] - pdf["pred"]) ** 2).mean() / pdf[VALUE].var() > 0.9
+
+
 def test_cuts_of_codes_become_cuts_of_values():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 2))
