@@ -185,7 +185,7 @@ def test_weighted_quantiles_are_those_of_the_rows():
     assert np.allclose(trees.quantiles(x, w, at), np.quantile(np.repeat(x, w.astype(int)), at))
 
 
-@pytest.mark.parametrize("kind", ["gbt"])
+@pytest.mark.parametrize("kind", ["gbt", "forest"])
 def test_all_rows_of_a_large_property_teach(spark, monkeypatch, kind):
     made, fit = [], models.fit_trees
     monkeypatch.setattr(models, "fit_trees", lambda teach, *a: made.append((teach.cache(), fit(teach, *a).cache())) or made[-1][1])
