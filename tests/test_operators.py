@@ -13,7 +13,7 @@ from coobs.functions.text import canonical_text, compact_key
 from coobs.operators import corpus, ensemble as E, models, relations as R, score, tables
 from coobs.operators.lineage import Lineage, leak_report
 from coobs.plans import ridge
-from coobs.session import scratch_path
+from coobs.session import cut_lineage, discard, scratch_path
 from coobs.sources import readers, sinks
 
 LABELS = "entity string, property string, value double"
@@ -409,6 +409,15 @@ def test_knn_meets_part_by_part_and_leaves_no_tables(spark, monkeypatch):
     assert {"knn_rows", "knn_sets", "knn_posted", "knn_queries", "knn_met", "knn_open", "knn_info"} <= gone
 
 
+def test_discard_deletes_written_tables_only(spark, tmp_path):
+    kept, gone = cut_lineage(spark.range(3), "a"), cut_lineage(spark.range(4), "a")
+    discard(gone)
+    assert kept.count() == 3 and not any(os.path.exists(f.removeprefix("file://")) for f in gone.inputFiles())
+    spark.range(5).write.parquet(str(tmp_path / "x"))
+    with pytest.raises(ValueError):
+        discard(spark.read.parquet(str(tmp_path / "x")))
+
+
 def test_growing_tables_are_never_broadcast(spark):
     a, b = (spark.range(5).withColumnRenamed("id", "k") for _ in range(2))
     met = corpus._meet(a, b, ["k"])
